@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanings.llm import exact_dedup, mixing, simhash, url_filter
-from gleanings.llm.common import crc_mod, n_words  # noqa: F401
+from gleanings.llm import exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
 from gleanings.session import table
 
 
@@ -68,5 +67,52 @@ rated as (select r.*, source_size, target, case when source_size > 0 then target
 select doc_id, size, source_size, target, cast((floor(u + rate * k) - floor(u + rate * (k - 1))) * size as bigint) as taken from rated
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_exact_dedup": op4_exact_dedup, "op5_simhash": op5_simhash, "op9_mixing": op9_mixing}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_sentences, n_removed, n_chars left and the digest of what is left of every document."""
+    found = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_chars left and the digest of what is left of every document."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and whether decoding gives the text back, of every document."""
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept of every document."""
+    found = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash": op5_simhash,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_mixing": op9_mixing,
+    "op10_lm_scoring": op10_lm_scoring,
+}
 ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL}
