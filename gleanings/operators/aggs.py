@@ -42,7 +42,7 @@ def hotness(stats: DataFrame, scores: DataFrame | None = None, web_hits: DataFra
     rows = stats
     if scores is not None:
         rows = rows.join(scores.select("name", F.col("score").alias("_s")), "name", "left")
-        base = F.coalesce(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(100.0)), F.lit(absent))
+        base = F.when(F.col("_s").isNull(), F.lit(absent)).otherwise(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(100.0)))
     else:
         base = F.least(F.col("total") * 2.0, F.lit(50.0))
     if web_hits is not None:

@@ -82,9 +82,10 @@ def pick_version(versions: DataFrame) -> DataFrame:
 def shingles(text: Column, width: int = 5) -> Column:
     """Distinct character shingles of a text, as hashes: link targets and all but letters, digits and _ removed, lower-cased."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(text), r"\]\([^)]*\)", "]"), r"[^\p{L}\p{N}_]", "")
-    n = F.length(bare)
-    places = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(bare, i, F.lit(width))))))
+    # the characters are bound to a lambda's name, so that they are made once and not for every shingle
+    of = lambda chars: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - width + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(chars, i, F.lit(width)), ""))))
+    chars = F.filter(F.split(bare, ""), lambda c: c != "")
+    return F.get(F.transform(F.array(chars), lambda c: F.when(F.size(c) == 0, F.array().cast("array<bigint>")).otherwise(of(c))), F.lit(0))
 
 
 def shingle_overlap(a: Column, b: Column) -> tuple[Column, Column]:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from gleanings.plans import web_queries  # noqa: F401
-from gleanings.plans.registry import ORACLES, QUERIES  # noqa: F401
+from gleanings.plans import record_queries, text_queries, web_queries  # noqa: F401
+from gleanings.plans.registry import ORACLES, QUERIES, flagship, query
+
+query("flagship")(flagship)
