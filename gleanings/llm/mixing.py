@@ -35,9 +35,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     total = F.sum("source_size").over(everything) * F.lit(float(share))
     # the level if exactly the sources before this one are at their cap
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levelled = weighed.withColumn("level", level).withColumn("at_cap", F.col("level") * F.col("weight") >= F.col("cap"))
-    final = F.min(F.when(~F.col("at_cap"), F.col("level"))).over(everything)
-    return levelled.select("source", "source_size", F.when(final.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight"))).alias("target"))
+    # it rises as long as the sources before it do reach their cap, and falls from there on
+    final = F.max("level").over(everything)
+    return weighed.withColumn("level", level).select("source", "source_size", F.least(F.col("cap"), final * F.col("weight")).alias("target"))
 
 
 def offset_of(source: Column, seed: int) -> Column:

@@ -58,7 +58,7 @@ sources as (select source, cast(sum(size) as bigint) as source_size, [3.0, 1.0,
 capped as (select *, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as total, sum(weight) over () as w from sources),
 levels as (select *, (total - coalesce(sum(cap) over before, 0)) / (w - coalesce(sum(weight) over before, 0)) as level from capped
            window before as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
-final as (select source, source_size, least(cap, coalesce(weight * min(level) filter (where level * weight < cap) over (), cap)) as target from levels),
+final as (select source, source_size, least(cap, weight * max(level) over ()) as target from levels),
 lanes as (select greatest(1, cast(round(pow(count(*), 1.0 / 3)) as bigint)) as n from documents),
 ranked as (select s.*, row_number() over (partition by source order by floor(sqrt(size)), doc_id % n, doc_id) as k from sized s, lanes),
 rated as (select r.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate,
