@@ -110,6 +110,27 @@ query("strip_prompt_blocks", "select doc_id, md5(text || chr(10) || 'end') as bo
     lambda spark, d: table(spark, d, "documents").filter("not contains(text, '\n\n\n')").select("doc_id", F.md5(T.strip_prompt_blocks(F.concat("text", F.lit("\n:::image-prompt\na cat\n:::\nend")))).alias("body_md5"))
 )
 
+query("compact_tables", "select conv_id as doc_id, md5('intro' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| ' || turn || ' | x |' || chr(10) || chr(10) || 'after') as body_md5 from conversations where turn = 0")(
+    lambda spark, d: T.compact_tables(table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("intro\n| a | b |\n\n\n| "), "turn", F.lit(" | x |\nafter")).alias("body"))).select("doc_id", F.md5("body").alias("body_md5"))
+)
+
+
+@query("outline_rows", "with c as (select conv_id, turn, role || ' ' || turn as title, row_number() over (partition by conv_id order by turn) as n from conversations where turn % 3 <> 1) select conv_id as series_id, n as chapter_order, title, case when turn % 2 = 0 then 'spark ' || title else 'alpha beta' end as queries from c where n <= 4")
+def outline_rows(spark, d):
+    """Replies that list a series' turns as chapters; every third has no title and goes."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.struct(F.when(F.col("turn") % 3 != 1, F.concat_ws(" ", "role", "turn")).otherwise(" ").alias("title"), F.lit("s").alias("scope"), F.when(F.col("turn") % 2 == 1, F.array(F.lit("alpha beta"), F.lit("alpha beta"))).otherwise(F.array().cast("array<string>")).alias("queries")).alias("x"))
+    chapters = F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda p: p["x"])
+    replies = c.groupBy(F.col("conv_id").alias("series_id")).agg(F.concat(F.lit("Here it is: "), F.to_json(F.struct(chapters.alias("chapters"))), F.lit(" Done.")).alias("reply"))
+    return T.outline_rows(replies, 4, "spark").select("series_id", "chapter_order", "title", F.array_join("queries", ",").alias("queries"))
+
+
+query("clean_output", "select conv_id, turn, md5(text) as body_md5 from conversations where not contains(text, '```') and not contains(text, '---')")(
+    lambda spark, d: table(spark, d, "conversations").filter("not contains(text, '```') and not contains(text, '---')").select("conv_id", "turn", F.md5(T.clean_output(F.concat(F.lit("```markdown\n"), "text", F.lit("\n```")))).alias("body_md5"))
+)
+query("normalize_tags", "select p_partkey, '#' || replace(p_type, ' ', '') || ' #' || replace(p_brand, '#', ' #') as tags from part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", T.normalize_tags(F.concat(F.lit("Tags: "), "p_type", F.lit("、"), "p_brand", F.lit("，"), "p_type")).alias("tags"))
+)
+
 # -- scores --------------------------------------------------------------------------------------------------------------------------
 HOT = ["tion the", "licensed"]
 _NOW = "timestamp '2024-01-20 00:00:00'"

@@ -164,6 +164,12 @@ query("extract_videos")(lambda spark, d: _dressed(spark, d).select("page_id", F.
 query("published_at", "select page_id, to_timestamp(1700000000 + page_id * 3600)::timestamp as published_at from pages")(lambda spark, d: _dressed(spark, d).select("page_id", H.published_at(F.col("html"), F.lit("2100-01-01").cast("timestamp")).alias("published_at")))
 query("jsonld_image", "select page_id, '/lead-' || page_id || '.jpg' as image from pages")(lambda spark, d: _dressed(spark, d).select("page_id", H.jsonld_image(F.col("html")).alias("image")))
 query("feed_links", f"with {_P} select page_id, sch || '://' || net || '/feed.xml' as feed from parts where page_id % 4 = 0")(lambda spark, d: _dressed(spark, d).select("page_id", F.explode(H.feed_links(F.col("html"), F.col("url"))).alias("feed")))
+query("body_media", "select page_id, m from pages, unnest(['https://h.example/' || page_id || '.jpg', '/two.png', 'https://h.example/' || page_id || '.mp4']) t(m)")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", F.explode(H.body_media(F.concat(F.lit("![a](https://h.example/"), "page_id", F.lit('.jpg) <img src="/two.png"> ![b](https://h.example/'), "page_id", F.lit('.jpg) <video src="https://h.example/'), "page_id", F.lit('.mp4"></video>')))).alias("m"))
+)
+query("has_video", "select page_id, page_id % 3 <> 2 as has_video from pages")(
+    lambda spark, d: table(spark, d, "pages").select("page_id", H.has_video(F.when(F.col("page_id") % 3 == 0, F.lit("x [[VID:1]]")).otherwise(F.lit("plain")), F.when(F.col("page_id") % 3 == 1, F.array("url")).otherwise(F.array().cast("array<string>"))).alias("has_video"))
+)
 query("clean_image_list")(lambda spark, d: crawl.clean_image_list(_dressed(spark, d).select("page_id", H.images(F.col("html")).alias("images"), F.concat(F.lit("[[IMG:1]]\n\ntext\n\n[[IMG:0]]\n\n"), H.page_title(F.col("html"))).alias("body"))))
 
 
