@@ -66,33 +66,32 @@ def spans(raw: bytes, least_words: int, least_sentences: int = 2, **cuts) -> Ite
 
 
 def span_table(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
-    """h1, h2 (the digest), doc_id, first and last sentence of every span of docs."""
+    """h1, h2 (the digest), doc_id and place (first sentence << 32 | last sentence) of every span of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, firsts, lasts, digests = [], [], [], []
+            ids, places, digests = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for first, last, digest in spans(text.encode("utf-8", "surrogatepass"), least_words, **cuts):
                     ids.append(doc)
-                    firsts.append(first)
-                    lasts.append(last)
+                    places.append(first << 32 | last)
                     digests.append(digest)
             if ids:
                 h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())], names=["h1", "h2", "doc_id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ids, pa.int64()), pa.array(places, pa.int64())], names=["h1", "h2", "doc_id", "place"])
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
-    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, first int, last int")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, place long")
 
 
 def removed_sentences(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
-    """doc_id and covered: the [first, last] ranges of sentences to remove, one row for each document that loses any."""
+    """doc_id and covered: the places of spans whose sentences are to be removed, one row for each document that loses any."""
     rows = staged(span_table(docs, least_words, **cuts))
-    begin = F.struct("doc_id", "first")
-    repeated = rows.groupBy("h1", "h2").agg(F.min(begin).alias("origin"), F.max(begin).alias("other")).filter("origin <> other").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "origin")
+    begin = F.struct("doc_id", "place")
+    repeated = rows.groupBy("h1", "h2").agg(F.min(begin).alias("origin"), F.count("*").alias("times")).filter("times > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "origin")
     later = rows.join(repeated, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).filter(begin != F.col("origin"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("covered"))
+    return later.groupBy("doc_id").agg(F.collect_set("place").alias("covered"))
 
 
 def cut_text(text: str, covered: list, **cuts) -> tuple[str, int, int]:
@@ -101,8 +100,8 @@ def cut_text(text: str, covered: list, **cuts) -> tuple[str, int, int]:
     bounds = sentences(raw, **cuts)
     gone = np.zeros(len(bounds) + 1, np.int64)
     for c in covered or ():
-        gone[c["first"]] += 1
-        gone[c["last"] + 1] -= 1
+        gone[c >> 32] += 1
+        gone[(c & 0xFFFFFFFF) + 1] -= 1
     keep = np.cumsum(gone[:-1]) == 0
     left = b"".join(raw[a:b] for (a, b), k in zip(bounds, keep.tolist(), strict=True) if k)
     return left.decode("utf-8", "surrogatepass"), len(bounds), int((~keep).sum())
