@@ -28,6 +28,8 @@ def test_backfill_touches_nulls_only(spark):
 def test_op_states(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "start", "a"), (1, 2, "finish", "b"), (2, 3, "start", "c"), (2, 4, "fail", "bad")], "op_id long, seq long, event string, line string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    # processing-time timeouts would otherwise ask for empty batches for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     q = streams.op_state_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("op_states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     got = {r.op_id: (r.status, r.n_lines, r.error) for r in spark.table("op_states").collect()}
