@@ -8,7 +8,7 @@ The model is log-bilinear: the two previous words' vectors add up to a predictio
 plus its bias is the log of an unnormalised probability. log p(word) = log p(class) + log p(word in class). Both factors are trained in
 numpy by noise-contrastive estimation: the true class (word) is to be told from draws of the unigram distribution (within the class).
 Every partition trains on all of its training tokens once, from the same start, and the parameters are averaged by the number of
-tokens, in two steps of partial aggregation. Scoring multiplies batches of predictions with the class and word matrices and normalises
+tokens, sixty-four at a time. Scoring multiplies batches of predictions with the class and word matrices and normalises
 them exactly, so probabilities of all tokens add up to one.
 
 Exact counts of the ``frequent`` most frequent tokens travel with the scoring tasks (a bounded table); all rarer ones meet their counts
@@ -277,9 +277,10 @@ def train(docs: DataFrame, shared, model: LogBilinear) -> None:
 
     small_batches(spark)
     trained = docs.select("text").mapInArrow(run, "part long, seen double, flat array<double>").withColumn("v", array_to_vector("flat"))
-    # two steps, so that no task gathers the parameters of all partitions
-    some = trained.groupBy((F.col("part") % 16).alias("g")).agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v"), F.sum("seen").alias("seen"))
-    mean = some.agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v")).select(vector_to_array("v").alias("flat")).first()
+    # sixty-four sets of parameters at a time, so that no task gathers those of all partitions
+    for _ in range(2):
+        trained = trained.groupBy(F.floor(F.col("part") / 64).alias("part")).agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v"), F.sum("seen").alias("seen"))
+    mean = trained.agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v")).select(vector_to_array("v").alias("flat")).first()
     if mean is not None and mean.flat:
         model.load(np.array(mean.flat))
 
