@@ -89,7 +89,8 @@ def removed_sentences(docs: DataFrame, least_words: int = 20, **cuts) -> DataFra
     """doc_id and covered: the places of spans whose sentences are to be removed, one row for each document that loses any."""
     rows = staged(span_table(docs, least_words, **cuts))
     begin = F.struct("doc_id", "place")
-    repeated = rows.groupBy("h1", "h2").agg(F.min(begin).alias("origin"), F.count("*").alias("times")).filter("times > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "origin")
+    # written out, so that the join deals out both sides anew and Spark can split a hot span
+    repeated = staged(rows.groupBy("h1", "h2").agg(F.min(begin).alias("origin"), F.count("*").alias("times")).filter("times > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "origin"))
     later = rows.join(repeated, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).filter(begin != F.col("origin"))
     return later.groupBy("doc_id").agg(F.collect_set("place").alias("covered"))
 
