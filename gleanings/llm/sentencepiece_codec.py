@@ -17,6 +17,7 @@ with spaces, so its round trip is not exact; repeated rows are encoded alike; ot
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from functools import lru_cache
@@ -36,7 +37,7 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 class Codec:
     """Tables of one model and the chunks met so far."""
 
-    def __init__(self, model_file: str, remember: int = 600_000):
+    def __init__(self, model_file: str, remember: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -187,11 +188,14 @@ class Codec:
             self.runs[n] = tuple(self.ids[MARK * k] for k in size if k)
         return self.runs[n]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        fresh = {c for chunks in split for c in chunks} - self.known.keys()
+        found = [list(map(self.known.get, chunks)) for chunks in split]
+        fresh = {c for chunks, ids in zip(split, found, strict=True) for c, x in zip(chunks, ids, strict=True) if x is None}
         if fresh:
+            # what is kept is tuples of numbers, of which the cycle collector has nothing to collect
+            gc.disable()
             if len(self.known) + len(fresh) > self.remember:
                 # what came first is what comes most often: the earlier half stays
                 self.known = dict(islice(self.known.items(), self.remember // 2))
@@ -208,8 +212,10 @@ class Codec:
                         self.known[c] = self.space_run(more + 1) + word[1:]
                     else:
                         self.known[c] = self.space_run(more) + word
-        known = self.known
-        return [list(chain.from_iterable(map(known.__getitem__, chunks))) for chunks in split]
+            gc.enable()
+            of = self.known.__getitem__
+            found = [list(map(of, chunks)) for chunks in split]
+        return [np.fromiter(chain.from_iterable(ids), np.int32) for ids in found]
 
     def decode(self, ids) -> bytes:
         """Text of ids in UTF-8: surfaces joined, without the space that encoding put in front."""
@@ -243,7 +249,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(model_file)
-        found = [c.decode(x or []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+        found = [c.decode(x if x is not None else []).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["doc_id", "text"])
 
     return per_batch(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
@@ -262,6 +268,6 @@ def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, ids array<int>, n_tokens long, exact boolean")
 
 
-def _lists(ids: list[list[int]]) -> pa.ListArray:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
