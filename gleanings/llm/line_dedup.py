@@ -19,13 +19,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import SPACE, staged
+from gleanings.llm.common import staged
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) and norm, the line with white space collapsed and trimmed; blank lines left out."""
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.select("doc_id", "line_no", F.trim(F.regexp_replace("line", SPACE, " ")).alias("norm")).filter("norm <> ''")
+    # single spaces only is the common case, and needs no pattern
+    plain = F.translate("line", "\t\x0b\x0c\r", "    ")
+    norm = F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+    return rows.select("doc_id", "line_no", norm.alias("norm")).filter("norm <> ''")
 
 
 #: Length of the first and last words by which partners are found, for lines of n words: the largest power of two up to (n - 1) / 2.
@@ -69,20 +72,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
     """doc_id, line_no of each distinct line (its first place) that has an earlier near line, from occurrences(docs)."""
     anchors = ["head_k1", "head_k2", "tail_k1", "tail_k2"]
-    distinct = staged(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in anchors]))
+    distinct = staged(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in anchors]).drop("h1", "h2"))
     marks = distinct.select("pos", F.explode(F.array_compact(F.array(*anchors))).alias("anchor"))
-    shared = marks.groupBy("anchor").count().filter("count > 1").select("anchor")
+    # written out, so that the join deals out both sides anew and Spark can split a hot key; so below
+    shared = staged(marks.groupBy("anchor").count().filter("count > 1").select("anchor"))
     hopeful = marks.join(shared, "anchor").select("pos").unionByName(distinct.filter("n < 3").select("pos")).distinct()
     wanted = hopeful.groupBy(F.col("pos.doc_id").alias("_d")).agg(F.collect_set("pos.line_no").alias("_n"))
     # the words of those lines, read from the texts again
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_d"))
     words = staged(lines(held.select("doc_id", F.expr("array_join(transform(split(text, '\n'), (x, i) -> if(array_contains(_n, i), x, '')), '\n')").alias("text"))).select(F.struct("doc_id", "line_no").alias("pos"), F.split("norm", " ").alias("w"))).withColumn("n", F.size("w"))
 
-    cut = words.select("pos", "n", F.posexplode(F.expr(_DELETIONS)).alias("i", "key"))
-    earliest = cut.groupBy("key", "i", "n").agg(F.min("pos").alias("m"), F.max("pos").alias("x")).filter("m <> x").drop("x")
-    replaced = cut.join(earliest, ["key", "i", "n"]).filter("m < pos").select("pos", "m")
-    whole = words.select(F.col("pos").alias("p"), F.expr(_WHOLE).alias("key"), (F.col("n") + 1).alias("n"))
-    inserted = cut.join(whole, ["key", "n"]).select(F.greatest("pos", "p").alias("pos"), F.least("pos", "p").alias("m"))
+    # one row for each deletion, and one (i = -1) for the line itself; n is the number of words left
+    keyed = words.select("pos", (F.col("n") - 1).alias("n"), F.posexplode(F.expr(_DELETIONS)).alias("i", "key")).unionByName(words.select("pos", "n", F.lit(-1).alias("i"), F.expr(_WHOLE).alias("key")))
+    keyed = keyed.withColumn("key", F.xxhash64("key", "n"))
+    met_keys = staged(keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
+    close = staged(keyed.join(met_keys, "key"))
+    earliest = close.filter("i >= 0").groupBy("key", "i").agg(F.min("pos").alias("m"), F.max("pos").alias("x")).filter("m <> x").drop("x")
+    replaced = close.join(earliest, ["key", "i"]).filter("m < pos").select("pos", "m")
+    whole = close.filter("i < 0").select(F.col("pos").alias("p"), "key")
+    inserted = close.filter("i >= 0").join(whole, "key").select(F.greatest("pos", "p").alias("pos"), F.least("pos", "p").alias("m"))
     met = replaced.unionByName(inserted).groupBy("pos").agg(F.min("m").alias("m"))
     both = met.join(words.select("pos", "w"), "pos").join(words.select(F.col("pos").alias("m"), F.col("w").alias("v")), "m")
     return both.withColumn("c", F.expr(_COMMON)).filter(_VERIFIED).select("pos.doc_id", "pos.line_no")
@@ -94,7 +102,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     near = near_lines(docs, seen).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("times"))
     judged = firsts.join(near, (F.col("pos.doc_id") == F.col("d")) & (F.col("pos.line_no") == F.col("l")), "left").withColumn("near", F.col("d").isNotNull())
-    wanted = judged.filter("near or times > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pos", "near")
+    wanted = staged(judged.filter("near or times > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pos", "near"))
     gone = seen.join(wanted, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(F.col("near") | (F.struct("doc_id", "line_no") != F.col("pos")))
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
