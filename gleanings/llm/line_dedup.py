@@ -19,15 +19,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import staged
+from gleanings.llm.common import SPACE, staged
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0) and norm, the line with white space collapsed and trimmed; blank lines left out."""
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     # single spaces only is the common case, and needs no pattern
-    plain = F.translate("line", "\t\x0b\x0c\r", "    ")
-    norm = F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+    odd = F.contains("line", F.lit("  "))
+    for space in "\t\r\x0b\x0c":
+        odd = odd | F.contains("line", F.lit(space))
+    norm = F.trim(F.when(odd, F.regexp_replace("line", SPACE, " ")).otherwise(F.col("line")))
     return rows.select("doc_id", "line_no", norm.alias("norm")).filter("norm <> ''")
 
 
@@ -111,10 +113,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text (without repeated and near lines), n_lines (that are not blank) and n_removed of every row of docs."""
     gone = removed_lines(docs).withColumnRenamed("doc_id", "_d")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, F.col("doc_id") == F.col("_d"), "left")
-    blank = r"x rlike '^[\\x20\\x09-\\x0D]*$'"
     return joined.select(
         "doc_id",
         F.expr("case when gone is null then text else array_join(filter(split(text, '\n'), (x, i) -> not array_contains(gone, i)), '\n') end").alias("text"),
-        F.expr(f"coalesce(size(filter(split(text, '\n'), x -> not ({blank}))), 0)").cast("long").alias("n_lines"),
+        F.expr("coalesce(size(filter(split(text, '\n'), x -> btrim(x, ' \\t\\r\\u000b\\u000c') <> '')), 0)").cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
     ).withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
