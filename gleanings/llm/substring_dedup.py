@@ -3,14 +3,20 @@
 A text is cut into sentences: after ".", "!" or "?" before white space, and at line ends. Inside a sentence of more than
 ``long_sentence`` words there are further cuts after words chosen by their own hash, so that the same passage is cut alike wherever it
 stands. From every sentence a span runs over as many following ones (at least two sentences in all) as give ``least_words`` words.
+
+Passages need not begin and end with sentences, so there is a second kind of span, the anchor: ``anchor_words`` words that begin at any
+word. Of every ``window`` successive beginnings the one with the smallest hash is an anchor, wherever it stands, so two texts that
+share anchor_words + window - 1 words (50) share an anchor. As window < anchor_words, the anchors of a passage leave no gaps.
+Texts are also cut where anchors begin and end; what all these cuts leave are the pieces that are counted and removed.
+
 Spans are hashed (128 bits of the lower-cased words) and joined over all documents; the first occurrence of a span, by document id and
-place, stays, and every sentence that a later occurrence covers is removed.
+place, stays, and every piece that a later occurrence covers is removed.
 
 Only hashes and places are shuffled. The first places are found with map-side combine; the join back to all spans is an equi-join
 whose skewed keys Spark splits, so a passage that very many documents share is not gathered in one task.
 
 Defined results: null texts stay null and remove nothing; empty texts stay empty; documents with a null id are left as they are;
-rows with the same id and text are one document and lose the same sentences; repeats within one document count like those between
+rows with the same id and text are one document and lose the same pieces; repeats within one document count like those between
 documents; what is left of a text keeps its own white space. Columns beside doc_id and text are passed on unread.
 """
 
@@ -31,8 +37,8 @@ _END = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|[\x0A]+")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
-def sentences(raw: bytes, long_sentence: int = 24, one_in: int = 8) -> list[tuple[int, int]]:
-    """Bounds of the sentences of a text, which together are the whole text."""
+def _whole_sentences(raw: bytes, long_sentence: int, one_in: int) -> list[tuple[int, int]]:
+    """Bounds of the sentences of a text, long ones cut."""
     ends = [m.end() for m in _END.finditer(raw)]
     if not ends or ends[-1] < len(raw):
         ends.append(len(raw))
@@ -49,10 +55,68 @@ def sentences(raw: bytes, long_sentence: int = 24, one_in: int = 8) -> list[tupl
     return out
 
 
-def spans(raw: bytes, least_words: int, least_sentences: int = 2, **cuts) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, digest) of the span that begins at each sentence, as far as the text has words enough."""
+_POWERS = [np.ones(1, np.uint64)] * 2
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        _POWERS = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, x, np.uint64)])) for x in (_BASE, pow(_BASE, -1, 2**64))]
+    return [p[:n] for p in _POWERS]
+
+
+def _anchors(words: list[bytes], size: int, window: int) -> np.ndarray:
+    """Places of the words at which anchors begin: the smallest hash of each window, the last of equal ones."""
+    n = len(words) - size + 1
+    if n < window:
+        return np.zeros(0, np.int64)
+    up, down = _powers(len(words))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) * up)])
+    h = (sums[size:] - sums[:-size]) * down[:n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    best, reach = np.arange(n), 1
+    while reach < window:
+        step = min(reach, window - reach)
+        left, right = best[:-step], best[step:]
+        best, reach = np.where(h[right] <= h[left], right, left), reach + step
+    return np.unique(best)
+
+
+def _cut(raw: bytes, long_sentence: int = 24, one_in: int = 8, anchor_words: int = 26, window: int = 25) -> tuple[np.ndarray, list, list[bytes], np.ndarray, np.ndarray]:
+    """Ends of the pieces of a text, its sentences, its lower-cased words, and the first words and the bounds of its anchors."""
+    whole = _whole_sentences(raw, long_sentence, one_in)
+    words = raw.lower().split()
+    first = _anchors(words, anchor_words, window)
+    ends = np.array([b for _, b in whole], np.int64)
+    if not len(first):
+        return ends, whole, words, first, np.zeros((0, 2), np.int64)
+    octets = np.frombuffer(raw, np.uint8)
+    blank = (octets == 32) | ((octets >= 9) & (octets <= 13))
+    begins = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    begins = np.concatenate([begins[:0] if blank[0] else [0], begins, [len(raw)]])
+    begins[0] = 0  # white space before the first word goes with it
+    bounds = np.stack([begins[first], begins[first + anchor_words]], 1)
+    return np.unique(np.concatenate([ends, bounds[bounds > 0]])), whole, words, first, bounds
+
+
+def sentences(raw: bytes, **cuts) -> list[tuple[int, int]]:
+    """Bounds of the pieces of a text, sentences or parts of them, which together are the whole text."""
+    ends = _cut(raw, **cuts)[0].tolist()
+    return list(zip([0, *ends], ends, strict=False))
+
+
+def spans(raw: bytes, least_words: int, least_sentences: int = 2, anchor_words: int = 26, **cuts) -> Iterator[tuple[int, int, bytes]]:
+    """(first piece, last piece, digest) of the span that begins at each sentence, as far as the text has words enough, and of each anchor."""
+    ends, whole, every, anchors, bounds = _cut(raw, anchor_words=anchor_words, **cuts)
+    places = np.searchsorted(ends, bounds)  # a piece that begins at x follows the one that ends there
+    for k, (a, b), at in zip(anchors.tolist(), places.tolist(), bounds[:, 0].tolist(), strict=True):
+        yield a + (at > 0), b, xxhash.xxh3_128_digest(b" ".join(every[k : k + anchor_words]))
     low = raw.lower()
-    words = [low[a:b].split() for a, b in sentences(raw, **cuts)]
+    words = [low[a:b].split() for a, b in whole]
+    begin = (np.searchsorted(ends, [a for a, _ in whole]) + [a > 0 for a, _ in whole]).tolist() if whole else []
+    end = np.searchsorted(ends, [b for _, b in whole]).tolist()
     sizes, last, total, n = [len(w) for w in words], -1, 0, len(words)
     for first in range(n):
         while last < n - 1 and (last < first + least_sentences - 1 or total < least_words):
@@ -61,12 +125,12 @@ def spans(raw: bytes, least_words: int, least_sentences: int = 2, **cuts) -> Ite
         if total < least_words or last < first + least_sentences - 1:
             return
         if sizes[first]:  # a blank sentence begins no span of its own
-            yield first, last, xxhash.xxh3_128_digest(b" ".join(x for w in words[first : last + 1] for x in w))
+            yield begin[first], end[last], xxhash.xxh3_128_digest(b" ".join(x for w in words[first : last + 1] for x in w))
         total -= sizes[first]
 
 
 def span_table(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
-    """h1, h2 (the digest), doc_id and place (first sentence << 32 | last sentence) of every span of docs."""
+    """h1, h2 (the digest), doc_id and place (first piece << 32 | last piece) of every span of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +150,7 @@ def span_table(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
 
 
 def removed_sentences(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
-    """doc_id and covered: the places of spans whose sentences are to be removed, one row for each document that loses any."""
+    """doc_id and covered: the places of spans whose pieces are to be removed, one row for each document that loses any."""
     rows = staged(span_table(docs, least_words, **cuts))
     begin = F.struct("doc_id", "place")
     # written out, so that the join deals out both sides anew and Spark can split a hot span
@@ -96,7 +160,7 @@ def removed_sentences(docs: DataFrame, least_words: int = 20, **cuts) -> DataFra
 
 
 def cut_text(text: str, covered: list, **cuts) -> tuple[str, int, int]:
-    """What is left of a text, its number of sentences and the number removed."""
+    """What is left of a text, its number of pieces and the number removed."""
     raw = text.encode("utf-8", "surrogatepass")
     bounds = sentences(raw, **cuts)
     gone = np.zeros(len(bounds) + 1, np.int64)
@@ -109,7 +173,7 @@ def cut_text(text: str, covered: list, **cuts) -> tuple[str, int, int]:
 
 
 def dedup_passages(docs: DataFrame, least_words: int = 20, **cuts) -> DataFrame:
-    """doc_id, text (without repeated passages), n_sentences and n_removed of every row of docs."""
+    """doc_id, text (without repeated passages), n_sentences and n_removed (both in pieces) of every row of docs."""
     gone = removed_sentences(docs, least_words, **cuts).withColumnRenamed("doc_id", "_d")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 

@@ -155,6 +155,34 @@ def test_substring_dedup(spark):
     assert passage.split(". ")[3] not in got[5].text
 
 
+def test_passages_set_anywhere_share_a_span():
+    r = random.Random(8)
+    some = lambda n: [f"v{r.randint(0, 5000)}" + r.choice(["", "", "", "", "", "", ".", "\n"]) * (r.random() < r.choice([0, 0.5])) for _ in range(n)]
+    for n in (50, 51, 60, 100):
+        for _ in range(150):
+            passage = some(n)
+            found = []
+            for _ in range(2):
+                left, right = some(r.randint(0, 60)), some(r.randint(0, 60))
+                raw = " ".join(left + passage + right).encode()
+                pieces = substring_dedup.sentences(raw)
+                assert b"".join(raw[a:b] for a, b in pieces) == raw
+                found.append({h for _, _, h in substring_dedup.spans(raw, 20)})
+                for a, b, h in substring_dedup.spans(raw, 20):
+                    assert h == xxhash.xxh3_128_digest(b" ".join(raw[pieces[a][0] : pieces[b][1]].lower().split()))
+            assert found[0] & found[1]
+
+
+def test_substring_dedup_of_a_passage_within_a_sentence(spark):
+    r = random.Random(9)
+    some = lambda n: " ".join(f"v{r.randint(0, 5000)}" for _ in range(n))
+    passage = some(51)
+    rows = [(i, some(40) + " " + (passage + " " if i in (2, 5) else "") + some(40), "s") for i in range(8)] + [(20, "", "s"), (21, " \n ", "s")]
+    got = {x.doc_id: x for x in substring_dedup.dedup_passages(table(spark, rows)).collect()}
+    assert {i for i in got if got[i].n_removed} == {5}
+    assert len(got[5].text.split()) <= 131 - 26 and all(w in got[5].text.split() for w in rows[5][1].split()[:40] + rows[5][1].split()[-40:])
+
+
 def edit_words(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
