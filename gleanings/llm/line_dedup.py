@@ -5,6 +5,10 @@ itself and for every deletion of one word; equal keys meet in a join. A key is t
 keys of a line follow from running XORs. Two deletions of the same place meet for a replacement; a deletion meets a whole line for
 an insertion. The word lists of what met are then compared, and a line goes if an earlier line, by document id and line number, is near or equal.
 
+One word is little of a long line and all of a short one. So the bound follows the length: a pair is near by one edit only if its longer
+line has at least ``near_words`` words, and shorter lines go only if they are equal to an earlier one. With 10, as op3 has it, near
+lines agree in 90 % of their words at least; the default of 1 applies the edit to lines of every length.
+
 Before the neighbourhood is emitted, lines without any possible partner are set aside exactly: one edit cannot touch both the
 first and the last L words of a line that has more than 2 L, so a partner shares one of these two; L is the largest power of two that fits.
 Equal lines are one before the join. Keys are aggregated with map-side combine and joined back, so hot keys are never gathered.
@@ -71,8 +75,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, seen: DataFrame, near_words: int = 1) -> DataFrame:
     """doc_id, line_no of each distinct line (its first place) that has an earlier near line, from occurrences(docs)."""
+    seen = seen.filter(F.col("n") >= near_words - 1)  # the shorter line of a pair may have one word less
     anchors = ["head_k1", "head_k2", "tail_k1", "tail_k2"]
     distinct = staged(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in anchors]).drop("h1", "h2"))
     marks = distinct.select("pos", F.explode(F.array_compact(F.array(*anchors))).alias("anchor"))
@@ -84,8 +89,9 @@ def near_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_d"))
     words = staged(lines(held.select("doc_id", F.expr("array_join(transform(split(text, '\n'), (x, i) -> if(array_contains(_n, i), x, '')), '\n')").alias("text"))).select(F.struct("doc_id", "line_no").alias("pos"), F.split("norm", " ").alias("w"))).withColumn("n", F.size("w"))
 
-    # one row for each deletion, and one (i = -1) for the line itself; n is the number of words left
-    keyed = words.select("pos", (F.col("n") - 1).alias("n"), F.posexplode(F.expr(_DELETIONS)).alias("i", "key")).unionByName(words.select("pos", "n", F.lit(-1).alias("i"), F.expr(_WHOLE).alias("key")))
+    # one row for each deletion, and one (i = -1) for the line itself; n is the number of words left. What meets has a deletion of its
+    # longer line on one side at least, so the bound on the length holds for all that meets
+    keyed = words.filter(F.col("n") >= near_words).select("pos", (F.col("n") - 1).alias("n"), F.posexplode(F.expr(_DELETIONS)).alias("i", "key")).unionByName(words.select("pos", "n", F.lit(-1).alias("i"), F.expr(_WHOLE).alias("key")))
     keyed = keyed.withColumn("key", F.xxhash64("key", "n"))
     met_keys = staged(keyed.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
     close = staged(keyed.join(met_keys, "key"))
@@ -98,10 +104,10 @@ def near_lines(docs: DataFrame, seen: DataFrame) -> DataFrame:
     return both.withColumn("c", F.expr(_COMMON)).filter(_VERIFIED).select("pos.doc_id", "pos.line_no")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, near_words: int = 1) -> DataFrame:
     """doc_id and gone (line numbers to remove), one row for each document that loses lines."""
     seen = staged(occurrences(docs))
-    near = near_lines(docs, seen).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
+    near = near_lines(docs, seen, near_words).select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"))
     firsts = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("pos"), F.count("*").alias("times"))
     judged = firsts.join(near, (F.col("pos.doc_id") == F.col("d")) & (F.col("pos.line_no") == F.col("l")), "left").withColumn("near", F.col("d").isNotNull())
     wanted = staged(judged.filter("near or times > 1").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "pos", "near"))
@@ -109,9 +115,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = 1) -> DataFrame:
     """doc_id, text (without repeated and near lines), n_lines (that are not blank) and n_removed of every row of docs."""
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "_d")
+    gone = removed_lines(docs, near_words).withColumnRenamed("doc_id", "_d")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, F.col("doc_id") == F.col("_d"), "left")
     return joined.select(
         "doc_id",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanings.llm import exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, text_stats, url_filter
 from gleanings.llm.components import connected_components
-from gleanings.llm.registry import PIECES
+from gleanings.llm.registry import PIECES, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, norm string, row long, kept boolean, fp long, label int"
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
@@ -213,6 +213,15 @@ def test_line_dedup(spark):
             assert got[i].n_removed == sum(g[0] == i for g in gone) and got[i].n_lines == sum(p[0] == i for p in places)
 
 
+def test_op3_keeps_short_lines_that_only_share_words(spark, tmp_path):
+    w = [f"v{i}" for i in range(30)]
+    texts = ["And.\nAnd onhe.\n" + " ".join(w[:9]) + "\n" + " ".join(w[10:20]), "Adoboque.\nAnd ornd.\nAnd.\n" + " ".join(w[:8] + ["x"]), " ".join(w[10:19] + ["x"]) + "\n" + " ".join(w[10:19]) + "\n" + " ".join(w[:8]) + "\n" + " ".join(w[:9] + ["y"])]
+    table(spark, [(i, t, "s") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_removed, x.n_chars) for x in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    left = [texts[0], "Adoboque.\nAnd ornd.\n" + " ".join(w[:8] + ["x"]), " ".join(w[:8])]
+    assert got == {0: (0, len(left[0])), 1: (1, len(left[1])), 2: (3, len(left[2]))}
+
+
 def test_codec_equals_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     r = random.Random(5)
