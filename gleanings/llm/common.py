@@ -34,6 +34,23 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tells rows apart within a stage, where ids are null or repeated.
+ROW = "_stage_row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written out so that the numbers stay the same whenever they are read."""
+    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of rows (from with_row) one for each group of groups (ROW, group): that with the smallest doc_id, null last. All columns but ROW."""
+    ids = rows.select(F.col(ROW).alias("_r"), F.col("doc_id").cast("long").alias("_d"))
+    order = F.struct(F.col("_d").isNull().alias("none"), F.col("_d").alias("id"), F.col("_r").alias("row"))
+    first = groups.join(ids, F.col(ROW) == F.col("_r")).groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_keep"))
+    return rows.join(first, F.col(ROW) == F.col("_keep"), "left_semi").drop(ROW)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Long texts travel to Python in batches of few rows, so that a batch stays within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import SPACE, small_batches, staged
+from gleanings.llm.common import ROW, SPACE, first_of_groups, small_batches, staged, with_row
 
 _RUNS = "doc_id long, part int, run long, first_in_run boolean, keep_id long, group_size long, edge boolean, edge_text binary, text_sha256 string"
 _NAMES = [c.split()[0] for c in _RUNS.split(", ")]
@@ -98,6 +98,7 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def dedup(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Needs ids that tell rows apart; rows of one id and text count as one."""
-    kept = exact_groups(docs, partitions).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs that stay, with all their columns: one of each group, null and repeated ids included."""
+    rows = with_row(docs)
+    groups = exact_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), partitions)
+    return first_of_groups(rows, groups.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import staged
+from gleanings.llm.common import ROW, staged, with_row
 from gleanings.llm.text_stats import MEASURES, text_stats, with_measures
 
 #: (measure, "<=" or ">", threshold)
@@ -113,12 +113,19 @@ def as_column(rules: list[list[Condition]]) -> Column:
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
     """doc_id, the counts and measures, base_failed and kept of every row of docs."""
-    stats = with_measures(staged(text_stats(docs)))
+    return _judged(text_stats(docs), labels, sample, label)
+
+
+def _judged(counts: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
+    stats = with_measures(staged(counts))
     rules = learn(training_rows(stats, labels, sample, label).toPandas(), list(MEASURES))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & as_column(rules))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Needs ids that tell rows apart."""
-    kept = judge(docs, labels, **options).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep"]), "left_semi")
+    """The rows of docs that are kept, with all their columns; each is judged by its own text, null and repeated ids included."""
+    rows = with_row(docs)
+    counts = text_stats(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    counts = counts.join(rows.select(F.col(ROW).alias("_r"), F.col("doc_id").cast("long").alias("doc_id")), F.col(ROW) == F.col("_r")).drop("_r")
+    kept = _judged(counts, labels, **options).filter("kept").select(F.col(ROW).alias("_keep"))
+    return rows.join(kept, F.col(ROW) == F.col("_keep"), "left_semi").drop(ROW)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import per_batch, staged, texts
+from gleanings.llm.common import ROW, first_of_groups, per_batch, staged, texts, with_row
 from gleanings.llm.components import connected_components
 
 
@@ -84,6 +84,7 @@ def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 3)
 
 
 def dedup(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all their columns. Needs ids that tell rows apart."""
-    kept = near_groups(docs, width, seed, most).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """Of each component the row with the smallest id (null last), with all its columns; of rows with the same id one stays."""
+    rows = with_row(docs)
+    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), width, seed, most)
+    return first_of_groups(rows, groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")))

@@ -6,7 +6,7 @@ import corpus_pipeline
 import duckdb
 import pytest
 
-from gleanings.llm import quality_rules, registry, simhash
+from gleanings.llm import exact_dedup, quality_rules, registry, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +38,28 @@ def test_stages(spark):
     assert len(kept["sentencepiece"]) == len(kept["mixing"]) and all(r.exact for r in kept["sentencepiece"])
 
 
+def test_stages_take_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (1, b), (1, b), (1, c), (None, "lone"), (2, "lone too"), (2, "lone too")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    wanted = Counter([(None, a), (1, b), (1, c), (None, "lone"), (2, "lone too")])
+    for dedup in (exact_dedup.dedup, simhash.dedup):
+        got = dedup(docs)
+        assert got.columns == docs.columns and Counter((r.doc_id, r.text) for r in got.collect()) == wanted
+
+
+def test_quality_judges_each_row_by_its_own_text(spark):
+    tables = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")]
+    judged = quality_rules.judge(*tables).select("doc_id", "kept").collect()
+    verdict = {r.doc_id: r.kept for r in judged}
+    text = {r.doc_id: r.text for r in tables[0].collect()}
+    good, bad = (next(i for i in sorted(verdict) if verdict[i] is k and text[i]) for k in (True, False))
+    more = [(None, text[good]), (None, text[good]), (None, text[bad]), (10**9, text[good]), (10**9, text[bad])]
+    docs = tables[0].select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = Counter((r.doc_id, r.text) for r in quality_rules.keep(docs, tables[1]).collect() if r.doc_id in (None, 10**9))
+    assert got == Counter({(None, text[good]): 2, (10**9, text[good]): 1})
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
