@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,11 +17,18 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: what the session names in spark.checkpoint.dir, or what SparkContext.setCheckpointDir() was given.
+
+    Where neither is set, a session in local mode, whose driver and executors are one process, gets a temporary folder of its own;
+    on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: operators write their intermediate tables there")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
+        found = context.getCheckpointDir()
     return found
 
 
@@ -51,9 +59,31 @@ def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(first, F.col(ROW) == F.col("_keep"), "left_semi").drop(ROW)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts travel to Python in batches of few rows, so that a batch stays within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of text that a function of batches sees at once (more only where one row is larger).
+GROUP_BYTES = 6 << 20
+
+
+def small_batches(spark: SparkSession, most_bytes: int = GROUP_BYTES) -> None:
+    """Rows travel to Python in batches of few bytes, so that a batch of long texts stays within a worker's memory.
+
+    Plans read the limit when they run, so it is a setting of the session; a lower one of the caller's stays.
+    """
+    now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if not (now and now.isdigit() and 0 < int(now) <= most_bytes):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+
+
+def grouped_batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held = []
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

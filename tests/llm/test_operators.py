@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -225,7 +227,7 @@ def test_op3_keeps_short_lines_that_only_share_words(spark, tmp_path):
 def test_codec_equals_the_library(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     r = random.Random(5)
-    extra = ["  two  spaces ", "\n\n a\tb", "漢字 and 😀", " " * 37, "x" * 300, "é́ß", "".join(chr(r.randint(32, 0x2FF)) for _ in range(400)), "1234567890 3.14159"] + [" " * k + "q" for k in range(1, 40)]
+    extra = ["a\0b", "\0", " \0\0 x\0", "  two  spaces ", "\n\n a\tb", "漢字 and 😀", " " * 37, "x" * 300, "é́ß", "".join(chr(r.randint(32, 0x2FF)) for _ in range(400)), "1234567890 3.14159"] + [" " * k + "q" for k in range(1, 40)]
     rows = AWKWARD + [(500 + i, t, "s") for i, t in enumerate(extra)]
     got = {x.doc_id: x for x in sentencepiece_codec.round_trip(table(spark, rows), PIECES).collect()}
     for i, t, _ in rows:
@@ -235,6 +237,34 @@ def test_codec_equals_the_library(spark):
     assert {x.doc_id: x.text for x in sentencepiece_codec.decode(encoded, PIECES).collect()} == {i: t or "" for i, t, _ in rows}
 
 
+def test_codec_of_odd_and_unbroken_texts():
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.Codec(PIECES, remember=2_000)
+    r = random.Random(11)
+    bits = ["a", "the", "ing", "\0", " ", "  ", "\n", "\t", "漢", "字", "😀", "é", "er", "▁", "12", "https://", "\r"]
+    odd = ["".join(r.choice(bits) for _ in range(r.randint(0, 50))) for _ in range(800)] + ["x" * n for n in (63, 64, 65, 66)] + ["thequickbrownfox" * 60, " " * 1500, " " * 1500 + "漢", None]
+    lines = "\n".join("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(70)) for _ in range(5_000))
+    for texts in (odd, odd[::-1], [lines], ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(1_000_000))], []):
+        ids, sizes = codec.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == [i for t in texts for i in sp.encode(t or "")]
+        raw, n = codec.decode(ids, sizes)
+        ends = np.cumsum(n).tolist()
+        assert [raw[b - k : b].tobytes().decode().removeprefix(" ") for b, k in zip(ends, n.tolist(), strict=True)] == [(t or "").replace("▁", " ") for t in texts]
+    assert len(codec.known) <= 2_000 + 1_000 and all(len(c) <= sentencepiece_codec.SHORT for c in codec.known)
+
+
+def test_codec_windows(monkeypatch):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 40)
+    text = "unbrokenwordsthatgoonandonoverwindows" * 20 + "漢字" * 50
+    assert sentencepiece_codec.Codec(PIECES).encode(pa.array([text]))[0].tolist() == sp.encode(text)
+
+
+def test_codec_takes_no_rows_and_null_ids(spark):
+    assert sentencepiece_codec.round_trip(table(spark, []), PIECES).count() == 0
+    got = sentencepiece_codec.round_trip(table(spark, [(None, "one", "s"), (None, "one", "s"), (3, None, "s")]), PIECES).collect()
+    assert sorted((x.doc_id is None, x.n_tokens, x.exact) for x in got) == [(False, 0, True), (True, 1, True), (True, 1, True)]
+
+
 def slow_repeats(words):
     n = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
     return len({k for i in range(len(words) - 7) if n[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)})
