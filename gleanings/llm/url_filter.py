@@ -2,16 +2,18 @@
 
 A rule fits a URL if its host is the URL's host or a parent domain of it, and the URL's path starts with the rule's path.
 Each URL is keyed once per parent domain as reversed host + "/" + path, so that every rule is a plain prefix and covers one
-interval of the sorted keys. Rules and keys are swept together in key order: the last rule that began carries the stack of the
-rules it is nested in, and those that still cover the key are the ones that fit.
+interval of the sorted keys. Rules and distinct keys are swept together in key order: the last rule that began carries the stack of
+the rules it is nested in, and those that still cover the key are the ones that fit.
 
-The order is cut into ranges by splitters sampled from the keys (at most ``ranges`` short strings). A rule is handed to the range
-it begins in, and to later ranges only if its interval reaches into them; so no range needs another one's rows, and a host with
-very many URLs spreads over many ranges.
+Spark's range partitioning cuts the order into as many ranges as the session has shuffle partitions (or fewer, where adaptive execution
+joins small ones); the ranges are written out with their numbers. A rule stands in the range it begins in. Of those that began in an earlier
+range, exactly the rules that are prefixes of a range's first key reach into it, so each range gets these by an equi-join and needs no other range's rows.
+Keys are distinct before the sweep: a host with very many URLs spreads over many ranges, and a parent key that very many hosts share
+is one row; what fits it is joined back, which Spark can split.
 
 Defined results: a null URL, or one without "://", has an empty host and path and meets no rule; rules with a null or empty host
 are ignored, a null path is the empty prefix; of equal rules the blocking one counts; of rules of one length the blocking one,
-then the smaller string. Repeated rows of pages give repeated rows. Columns beside the named ones are ignored.
+then the smaller string. Repeated rows of pages give repeated rows, null ids stay. Columns beside the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from gleanings.llm.common import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sorts below every character of a host or path, so that a host's keys come before those of longer host labels.
 SEP = "\x01"
@@ -67,44 +71,28 @@ def rule_keys(rules: DataFrame) -> DataFrame:
     return stacks
 
 
-def match_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow", ranges: int = 200) -> DataFrame:
-    """id, host, path, rule (null if none fits) and verdict of every row of pages. ranges bounds the number of splitters."""
+def match_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", url_column: str = "url", default: str = "allow") -> DataFrame:
+    """id, host, path, rule (null if none fits) and verdict of every row of pages."""
     urls = pages.select(F.col(id_column).alias("_id"), url_host(F.col(url_column)).alias("_host"), url_path(F.col(url_column)).alias("_path"))
     # one row for each distinct address: copies and popular addresses collapse before the sweep
     distinct = urls.filter("_host <> ''").groupBy("_host", "_path").count().select("_host", "_path")
     labels = F.split("_host", r"\.")
     keys = distinct.select("_host", "_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(_reversed_host(F.slice(labels, -i, i)), F.lit(SEP), F.col("_path")))).alias("key"))
 
-    splitters = _splitters(keys, ranges)
-    place = lambda key: F.aggregate(F.array(*map(F.lit, splitters)), F.lit(0), lambda n, s: n + F.when(s <= key, 1).otherwise(0)) if splitters else F.lit(0)
     ruled = rule_keys(rules)
-    begin, end = place(F.col("key")), place(F.concat("key", F.lit("\U0010ffff")))
-    # in later ranges the rule counts as begun before every key
-    rule_rows = ruled.select(F.explode(F.sequence(begin, end)).alias("range"), begin.alias("first"), "key", "stack").select(
-        "range",
-        F.when(F.col("range") == F.col("first"), F.col("key")).otherwise("").alias("at"),
-        F.lit(0).alias("kind"),
-        F.length("key").alias("depth"),
-        "stack",
-        F.lit(None).cast("string").alias("_host"),
-        F.lit(None).cast("string").alias("_path"),
-    )
-    key_rows = keys.select(place(F.col("key")).alias("range"), F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("depth"), F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack"), "_host", "_path")
+    no_stack = F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack")
+    starts = ruled.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.length("key").alias("depth"), "stack")
+    stops = keys.select(F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("depth")).distinct().select("*", no_stack)
+    ranged = staged(starts.unionByName(stops).repartitionByRange("at").withColumn("range", F.spark_partition_id()))
+    firsts = ranged.groupBy("range").agg(F.min("at").alias("low"))
+    prefixes = firsts.select("range", F.explode(F.expr("transform(sequence(1, length(low)), i -> substring(low, 1, i))")).alias("key"))
+    carried = prefixes.join(ruled, "key").select(F.lit("").alias("at"), F.lit(0).alias("kind"), F.length("key").alias("depth"), "stack", "range")
     sweep = W.partitionBy("range").orderBy("at", "kind", "depth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = rule_rows.unionByName(key_rows).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    fits = F.filter("open", lambda r: F.startswith(F.col("at"), r["key"]))
-    fitting = swept.select("_host", "_path", F.explode(fits).alias("r")).select("_host", "_path", F.struct(F.length("r.rule").alias("n"), F.col("r.verdict").alias("verdict"), F.col("r.rule").alias("rule")).alias("r"))
-    best = fitting.groupBy("_host", "_path").agg(F.max_by("r", F.struct("r.n", "r.verdict")).alias("r"))
+    swept = ranged.unionByName(carried).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    fits = swept.select(F.col("at").alias("key"), F.filter("open", lambda r: F.startswith(F.col("at"), r["key"])).alias("fits")).filter("size(fits) > 0")
+    fitting = keys.join(fits, "key").select("_host", "_path", F.explode("fits").alias("r")).select("_host", "_path", F.struct((-F.length("r.rule")).alias("n"), (F.col("r.verdict") != "block").alias("v"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")).alias("r"))
+    # the longest rule, of those the blocking one, of those the smaller string
+    best = fitting.groupBy("_host", "_path").agg(F.min("r").alias("r"))
     return urls.join(best, ["_host", "_path"], "left").select(
         F.col("_id").alias(id_column), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.lit(default)).alias("verdict")
     )
-
-
-def _splitters(keys: DataFrame, ranges: int) -> list[str]:
-    """Up to ranges - 1 evenly spaced keys of a sample whose expected size is 20 for each range."""
-    n = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = min(ranges, 2 * n)
-    # a fixed number of the smallest hashes is a uniform sample without a second pass for the count
-    sample = keys.select(F.substring("key", 1, 200).alias("key"), F.xxhash64("key").alias("h")).orderBy("h").limit(20 * ranges)
-    found = sorted(r.key for r in sample.select("key").collect())
-    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
