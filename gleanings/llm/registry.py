@@ -59,14 +59,14 @@ capped as (select *, 2.0 * source_size as cap, 1.5 * sum(source_size) over () as
 levels as (select *, (total - coalesce(sum(cap) over before, 0)) / (w - coalesce(sum(weight) over before, 0)) as level from capped
            window before as (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 final as (select source, source_size, least(cap, weight * max(level) over ()) as target from levels),
-lanes as (select greatest(1, cast(round(pow(count(*), 1.0 / 3)) as bigint)) as n from documents),
-ranked as (select s.*, row_number() over (partition by source order by floor(sqrt(size)), doc_id % n, doc_id) as k from sized s, lanes),
+ranked as (select *, row_number() over (partition by source order by floor(sqrt(size)), cast('0x' || substr(md5(cast(doc_id as varchar)), 1, 8) as bigint) % 1024, doc_id) as k from sized),
 rated as (select r.*, source_size, target, case when source_size > 0 then target / source_size else 0 end as rate,
           cast(('0x' || substr(md5('7' || coalesce('=' || r.source, 'null')), 1, 8)) as bigint) / 4294967296.0 as u
           from ranked r join final f on r.source is not distinct from f.source)
 select doc_id, size, source_size, target, cast((floor(u + rate * k) - floor(u + rate * (k - 1))) * size as bigint) as taken from rated
 """
 
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_chars left and the digest of what is left of every document."""
     found = substring_dedup.dedup_passages(table(spark, sf_dir, "documents"))
