@@ -89,10 +89,10 @@ def exact_groups(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     whole = edges.groupBy("edge_text").agg(F.min("keep_id").alias("k"), F.sum("group_size").alias("g"))
     merged = edges.select("part", "run", "edge_text").distinct().join(whole, "edge_text").select(F.col("part").alias("p"), F.col("run").alias("r"), "k", "g")
     plain = rows.filter("not edge").select("doc_id", "keep_id", "group_size", "text_sha256", "first_in_run")
-    cut = rows.filter("edge").join(F.broadcast(merged), (F.col("part") == F.col("p")) & (F.col("run") == F.col("r")))
+    cut = rows.filter("edge").join(merged, (F.col("part") == F.col("p")) & (F.col("run") == F.col("r")))
     # a run that goes on in the next partition has its first row in the earliest of them
     firsts = edges.join(merged, (F.col("part") == F.col("p")) & (F.col("run") == F.col("r"))).groupBy("edge_text").agg(F.min("part").alias("fp")).join(edges.select("edge_text", "part", "run").distinct(), "edge_text").filter("part = fp").select(F.col("part").alias("fp"), F.col("run").alias("fr"))
-    cut = cut.join(F.broadcast(firsts), (F.col("part") == F.col("fp")) & (F.col("run") == F.col("fr")), "left")
+    cut = cut.join(firsts, (F.col("part") == F.col("fp")) & (F.col("run") == F.col("fr")), "left")
     cut = cut.select("doc_id", F.col("k").alias("keep_id"), F.col("g").alias("group_size"), "text_sha256", (F.col("first_in_run") & F.col("fp").isNotNull()).alias("first_in_run"))
     return plain.unionByName(cut).select("doc_id", "keep_id", "group_size", F.col("first_in_run").alias("kept"), "text_sha256")
 
