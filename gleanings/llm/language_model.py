@@ -7,12 +7,14 @@ more class, within which a token has its smoothed share of counts, unseen tokens
 The model is log-bilinear: the two previous words' vectors add up to a prediction, whose product with a class's or a word's vector
 plus its bias is the log of an unnormalised probability. log p(word) = log p(class) + log p(word in class). Both factors are trained in
 numpy by noise-contrastive estimation: the true class (word) is to be told from draws of the unigram distribution (within the class).
-Every partition trains on all of its training tokens once, from the same start, and the parameters are averaged by the number of
-tokens, sixty-four at a time. Scoring multiplies batches of predictions with the class and word matrices and normalises
+Training documents are dealt to shards by a hash of their id (of their text where the id is null); the number of shards follows from the
+number of training tokens. A shard is read in the order of hashes and trained on once, from the same start; the parameters of all shards
+are averaged by their numbers of tokens, in slices and thirty-two shards at a time. So the model is a function of the table, however it is
+partitioned, and no task gathers the parameters of all shards. Scoring multiplies batches of predictions with the class and word matrices and normalises
 them exactly, so probabilities of all tokens add up to one.
 
-Exact counts of the ``frequent`` most frequent tokens travel with the scoring tasks (a bounded table); all rarer ones meet their counts
-in an equi-join. Nothing that grows with the corpus reaches the driver.
+Exact counts of the ``frequent`` most frequent tokens of up to ``LONGEST`` bytes travel with the scoring tasks (a bounded table); all others meet
+their counts in an equi-join. Nothing that grows with the corpus reaches the driver.
 
 Defined results: null texts count as empty and have one token, the end; rows with a null id are in no held-out fold; with no training
 rows every count is zero, and both scores are those of uniform unseen tokens; repeated rows score alike.
@@ -24,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ from gleanings.llm.common import crc_mod, small_batches, staged, texts
 
 END = b"\n"  # no word has a line end in it
 CLASS = 64
+#: Bytes of the longest token that travels; training tokens a shard; slices of the parameters; shards averaged at a time; tokens a block.
+LONGEST, SHARD_TOKENS, SLICES, FAN_IN, BLOCK = 64, 2_000_000, 64, 32, 65_536
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -85,14 +90,15 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, frequent: int = 200_000, model_words: int = 4096) -> Vocabulary:
     """At most ``frequent`` words: those above the lowest count bin that fits."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bins = counts.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()  # a few hundred rows at most
+    short = counts.filter(F.length("word") <= LONGEST)
+    bins = short.groupBy(F.floor(F.log2("c") * 8).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()  # a few hundred rows at most
     least, held = math.inf, 0
     for b in sorted(bins, key=lambda r: -r.b):
         held += b.n
         if held > frequent:
             break
         least = b.least
-    rows = counts.filter(F.col("c") >= (least if least < math.inf else 2**62)).collect()
+    rows = short.filter(F.col("c") >= (least if least < math.inf else 2**62)).collect()
     rows.sort(key=lambda r: (-r.c, bytes(r.word)))
     return Vocabulary([bytes(r.word) for r in rows], np.array([r.c for r in rows], np.int64), min(model_words, len(rows)), total, distinct)
 
@@ -110,6 +116,8 @@ class LogBilinear:
         self.class_noise /= self.class_noise.sum()
         within = padded.reshape(k, CLASS)
         self.word_noise = within / np.maximum(within.sum(1, keepdims=True), 1e-9)
+        steps = np.cumsum(self.word_noise, axis=1)
+        self.word_steps = np.where(steps >= steps[:, -1:], 2.0, steps)[:, : CLASS - 1] if k else steps  # no draw goes beyond the last word
         draw = lambda *shape: (random.standard_normal(shape) * 0.1).astype(np.float32)
         with np.errstate(divide="ignore"):
             self.parts = {
@@ -185,15 +193,18 @@ class LogBilinear:
             _add(dense, word, g[:, None] * rk)
             order = np.argsort(group[at].astype(np.int16), kind="stable")
             bounds = np.searchsorted(group[at][order], np.arange(self.k + 1))
+            draws, eye = random.random((self.k, noise)), np.eye(CLASS, dtype=np.float32)
             for c in range(self.k):
                 mine = order[bounds[c] : bounds[c + 1]]
                 if len(mine):
-                    w = c * CLASS + random.choice(CLASS, noise, p=self.word_noise[c])
-                    x = rk[mine]
+                    w = np.searchsorted(self.word_steps[c], draws[c], "right")
+                    spread = eye[w]  # draws of the same word add up
+                    w += c * CLASS
+                    x, block = rk[mine], slice(c * CLASS, (c + 1) * CLASS)
                     g_false = _sigmoid(x @ p["words"][w].T + p["word_bias"][w] - log_noise[w])
                     drk[mine] += g_false @ p["words"][w]
-                    np.add.at(dense, w, g_false.T @ x)
-                    np.add.at(bias, w, g_false.sum(0))
+                    dense[block] += spread.T @ (g_false.T @ x)
+                    bias[block] += g_false.sum(0) @ spread
             dr[at] += drk
             slopes["words"], slopes["word_bias"] = (slice(None), dense), (slice(None), bias)
         for name, context in (("one", one), ("two", two)):
@@ -212,7 +223,8 @@ class LogBilinear:
             r = p["one"][one[i : i + step]] + p["two"][two[i : i + step]]
             group = np.where(mine < self.m, mine // CLASS, self.k)
             logits = r @ p["classes"].T + p["class_bias"]
-            got = logits[np.arange(len(mine)), group] - _log_sum(logits)
+            got = logits[np.arange(len(mine)), group]
+            got -= _log_sum(logits)
             order = np.argsort(group.astype(np.int16), kind="stable")
             bounds = np.searchsorted(group[order], np.arange(self.k + 1))
             for c in range(self.k):
@@ -220,7 +232,8 @@ class LogBilinear:
                 if len(at):
                     block = slice(c * CLASS, (c + 1) * CLASS)
                     logits = r[at] @ p["words"][block].T + p["word_bias"][block]
-                    got[at] += logits[np.arange(len(at)), mine[at] - c * CLASS] - _log_sum(logits)
+                    own = logits[np.arange(len(at)), mine[at] - c * CLASS]
+                    got[at] += own - _log_sum(logits)
             out[i : i + step] = got
         return out
 
@@ -230,8 +243,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1, keepdims=True)
-    return np.log(np.exp(logits - top).sum(1)) + top[:, 0]
+    """Log of the sum of exponentials of each row; the rows are used up."""
+    top = logits.max(1)
+    logits -= top[:, None]
+    return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)) + top
 
 
 def _add(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -250,39 +265,58 @@ def _as_ids(found: list[list[bytes]], index: dict[bytes, int]) -> tuple[np.ndarr
     return ids, begins
 
 
-def train(docs: DataFrame, shared, model: LogBilinear) -> None:
-    """Train on the texts of docs within their partitions and average. ``shared`` is the broadcast vocabulary."""
+def _blocks(rows: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts put together to blocks of BLOCK tokens or a little more, with the places at which texts begin."""
+    held, n = [], 0
+    for ids in rows:
+        held.append(ids)
+        n += len(ids)
+        if n >= BLOCK:
+            yield np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)])[:-1]
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held).astype(np.int64), np.cumsum([0, *map(len, held)])[:-1]
+
+
+def train(docs: DataFrame, shared, model: LogBilinear, total: int) -> None:
+    """Train on the texts of docs (doc_id, text), shard by shard, and average. ``shared`` is the broadcast vocabulary, total the number of tokens."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    spark = docs.sparkSession
+    spark, shards = docs.sparkSession, max(1, -(-total // SHARD_TOKENS))
     start = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        vocab, local = shared.value, start.value
-        local.load(local.flat())  # an own copy of the start
+    def as_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
         index = {w: i for i, w in enumerate(vocab.words[: vocab.m])}
+        for batch in batches:
+            found = [np.array([index.get(w, vocab.m) for w in tokens(t)], np.uint16).tobytes() for t in texts(batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["shard", "h", "doc_id", "text_hash", "ids"])
 
-        def numbered() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for batch in batches:
-                ids, begins = _as_ids([tokens(t) for t in texts(batch.column(0))], index)
-                yield np.where(ids < 0, vocab.m, ids), begins
-
-        seen = local.train(numbered())
-        if seen:
-            flat = local.flat()
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat.astype(np.float64)))], names=["part", "seen", "flat"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = start.value.flat()
+        rows = ((shard, ids) for batch in batches for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for shard, mine in groupby(rows, lambda r: r[0]):
+            local = start.value
+            local.load(first.copy())
+            seen = local.train(_blocks(np.frombuffer(ids, np.uint16) for _, ids in mine))
+            slices = np.array_split(local.flat().astype(np.float64), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * SLICES, pa.int64()), pa.array(range(SLICES), pa.int64()), pa.array([float(seen)] * SLICES), pa.array(slices, pa.list_(pa.float64()))], names=["part", "slice", "seen", "flat"])
+            local.load(first)
 
     small_batches(spark)
-    trained = docs.select("text").mapInArrow(run, "part long, seen double, flat array<double>").withColumn("v", array_to_vector("flat"))
-    # sixty-four sets of parameters at a time, so that no task gathers those of all partitions
-    for _ in range(2):
-        trained = trained.groupBy(F.floor(F.col("part") / 64).alias("part")).agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v"), F.sum("seen").alias("seen"))
-    mean = trained.agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v")).select(vector_to_array("v").alias("flat")).first()
-    if mean is not None and mean.flat:
-        model.load(np.array(mean.flat))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")))
+    rows = docs.select(F.pmod(key, F.lit(shards)).alias("shard"), key.alias("h"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    ids = rows.mapInArrow(as_ids, "shard long, h long, doc_id long, text_hash long, ids binary")
+    dealt = ids.repartition("shard").sortWithinPartitions("shard", "h", "doc_id", "text_hash").select("shard", "ids")
+    trained = dealt.mapInArrow(run, "part long, slice long, seen double, flat array<double>").select("part", "slice", "seen", array_to_vector("flat").alias("v"))
+    while shards > 1:
+        trained = trained.groupBy("slice", F.floor(F.col("part") / FAN_IN).alias("part")).agg(Summarizer.mean(F.col("v"), F.col("seen")).alias("v"), F.sum("seen").alias("seen"))
+        shards = -(-shards // FAN_IN)
+    # one set of parameters, whatever the input
+    found = trained.select("slice", vector_to_array("v").alias("flat")).collect()
+    if found:
+        model.load(np.concatenate([r.flat for r in sorted(found, key=lambda r: r.slice)]))
 
 
 def score_texts(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int = 200_000, model_words: int = 4096) -> DataFrame:
@@ -296,7 +330,7 @@ def score_texts(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int =
     model = LogBilinear(vocab.counts[: vocab.m], vocab.total - in_model)
     shared = spark.sparkContext.broadcast(vocab)
     if vocab.m:
-        train(seen, shared, model)
+        train(seen, shared, model, vocab.total)
     ready = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +376,7 @@ def score_texts(docs: DataFrame, fold: int = 1, folds: int = 5, frequent: int =
     small_batches(spark)
     scored = staged(rows.mapInArrow(run, schema))
     least = int(vocab.counts.min()) if len(vocab.counts) else 2**62
-    few = counts.filter(F.col("c") < least)
+    few = counts.filter((F.col("c") < least) | (F.length("word") > LONGEST))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(few, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("n_rare")).withColumnRenamed("row", "_r")
