@@ -137,8 +137,8 @@ def test_substring_dedup(spark):
     seen, first = defaultdict(list), {}
     for i, t, _ in rows:
         if i is not None and t:
-            for a, b, h in substring_dedup.spans(t.encode(), 20):
-                seen[h].append((i, a, b))
+            for a, b, *h in zip(*[x.tolist() for x in substring_dedup.Cut(t.encode()).spans(20)], strict=True):
+                seen[tuple(h)].append((i, a, b))
     first = {h: min(p) for h, p in seen.items()}
     gone = defaultdict(set)
     for h, places in seen.items():
@@ -160,6 +160,7 @@ def test_substring_dedup(spark):
 def test_passages_set_anywhere_share_a_span():
     r = random.Random(8)
     some = lambda n: [f"v{r.randint(0, 5000)}" + r.choice(["", "", "", "", "", "", ".", "\n"]) * (r.random() < r.choice([0, 0.5])) for _ in range(n)]
+    seen, back = {}, {}
     for n in (50, 51, 60, 100):
         for _ in range(150):
             passage = some(n)
@@ -169,9 +170,11 @@ def test_passages_set_anywhere_share_a_span():
                 raw = " ".join(left + passage + right).encode()
                 pieces = substring_dedup.sentences(raw)
                 assert b"".join(raw[a:b] for a, b in pieces) == raw
-                found.append({h for _, _, h in substring_dedup.spans(raw, 20)})
-                for a, b, h in substring_dedup.spans(raw, 20):
-                    assert h == xxhash.xxh3_128_digest(b" ".join(raw[pieces[a][0] : pieces[b][1]].lower().split()))
+                each = list(zip(*[x.tolist() for x in substring_dedup.Cut(raw).spans(20)], strict=True))
+                found.append({tuple(x[2:]) for x in each})
+                for a, b, *h in each:  # the same words have the same digest, and no others
+                    words = tuple(raw[pieces[a][0] : pieces[b][1]].lower().split())
+                    assert seen.setdefault(words, tuple(h)) == tuple(h) and back.setdefault(tuple(h), words) == words
             assert found[0] & found[1]
 
 
@@ -185,6 +188,56 @@ def test_substring_dedup_of_a_passage_within_a_sentence(spark):
     assert len(got[5].text.split()) <= 131 - 26 and all(w in got[5].text.split() for w in rows[5][1].split()[:40] + rows[5][1].split()[-40:])
 
 
+def own_sentences(text):
+    """Bounds of sentences, for texts whose sentences end with one mark and one space, or one line end, and have 24 words at most."""
+    ends = [k + 1 for k, c in enumerate(text) if c == "\n" or (c == " " and text[k - 1] in ".!?")]
+    ends += [len(text)] * (not ends or ends[-1] < len(text))
+    return list(zip([0, *ends], ends))
+
+
+def test_substring_dedup_against_an_own_cutter(spark):
+    """Texts of short sentences without anchors' reach: what is covered by a later equal run of sentences of 20 words goes."""
+    r = random.Random(12)
+    pool = [" ".join(f"u{r.randint(0, 10**6)}" for _ in range(r.randint(8, 11))) + r.choice([". ", "? ", "\n"]) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        k = r.randint(0, 27)
+        # runs of two or three shared sentences, of under 50 words, between sentences of their own
+        own = lambda: " ".join(f"x{r.randint(0, 10**9)}" for _ in range(r.randint(3, 9))) + ". "
+        rows.append((i, own() + "".join(pool[k : k + r.randint(2, 3)]) + own(), "s"))
+    seen, gone = {}, defaultdict(set)
+    for i, t, _ in rows:
+        cut = own_sentences(t)
+        words = [t[a:b].lower().split() for a, b in cut]
+        for a in range(len(cut)):
+            b, n = a, len(words[a])
+            while b + 1 < len(cut) and (b == a or n < 20):
+                b += 1
+                n += len(words[b])
+            if n >= 20 and b > a:
+                key = tuple(w for x in words[a : b + 1] for w in x)
+                if seen.setdefault(key, (i, a)) != (i, a):
+                    gone[i] |= set(range(a, b + 1))
+    got = {x.doc_id: x for x in substring_dedup.dedup_passages(table(spark, rows), anchor_words=200, window=100).collect()}
+    assert len(gone) > 10
+    for i, t, _ in rows:
+        assert got[i].text == "".join(t[a:b] for k, (a, b) in enumerate(own_sentences(t)) if k not in gone[i]) and got[i].n_removed == len(gone[i])
+
+
+def test_substring_dedup_of_repeated_ids_long_sentences_and_no_rows(spark):
+    r = random.Random(13)
+    some = lambda n: " ".join(f"v{r.randint(0, 10**6)}" for _ in range(n))
+    passage, other, long = some(120), some(130), some(400)
+    rows = [(1, passage, "s"), (2, passage, "s"), (2, other, "s"), (3, long, "s"), (4, some(30) + " " + long, "s"), (5, other, "s"), (5, other, "s"), (6, "word " * 100_000, "s")]
+    got = sorted(((x.doc_id, x.text, x.n_removed) for x in substring_dedup.dedup_passages(table(spark, rows)).collect()), key=str)
+    of = lambda i: [(t, n) for d, t, n in got if d == i]
+    assert of(1) == [(passage, 0)] and (other, 0) in of(2) and of(3) == [(long, 0)]
+    assert all(len(t.split()) < 30 for t, n in of(2) if n) and len([n for _, n in of(2) if n]) == 1
+    assert len(of(4)[0][0].split()) < 30 + 60 and of(5)[0] == of(5)[1] and len(of(5)[0][0].split()) < 60
+    assert len(of(6)[0][0].split()) < 1000
+    assert substring_dedup.dedup_passages(table(spark, [])).count() == 0
+
+
 def edit_words(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -215,6 +268,16 @@ def test_line_dedup(spark):
             assert got[i].n_removed == sum(g[0] == i for g in gone) and got[i].n_lines == sum(p[0] == i for p in places)
 
 
+def test_line_dedup_of_repeated_ids_long_lines_and_no_rows(spark):
+    w = [f"v{i}" for i in range(5000)]
+    long, near, same = " ".join(w), " ".join(w[:2500] + ["x"] + w[2501:]), "one line of ten words that stands in many texts\nand a second"
+    shorter = " ".join(w[:4000] + w[4001:])
+    rows = [(1, long, "s"), (2, near, "s"), (3, shorter, "s"), (4, same, "s"), (4, "another text\nof the same id", "s"), (5, same, "s"), (5, same, "s"), (6, "another text", "s")]
+    got = Counter((x.doc_id, x.text, x.n_removed) for x in line_dedup.dedup_lines(table(spark, rows)).collect())
+    assert got == Counter([(1, long, 0), (2, "", 1), (3, "", 1), (4, same, 0), (4, "another text\nof the same id", 0), (5, "", 2), (5, "", 2), (6, "", 1)])
+    assert line_dedup.dedup_lines(table(spark, [])).count() == 0
+
+
 def test_op3_keeps_short_lines_that_only_share_words(spark, tmp_path):
     w = [f"v{i}" for i in range(30)]
     texts = ["And.\nAnd onhe.\n" + " ".join(w[:9]) + "\n" + " ".join(w[10:20]), "Adoboque.\nAnd ornd.\nAnd.\n" + " ".join(w[:8] + ["x"]), " ".join(w[10:19] + ["x"]) + "\n" + " ".join(w[10:19]) + "\n" + " ".join(w[:8]) + "\n" + " ".join(w[:9] + ["y"])]
@@ -369,6 +432,61 @@ def test_lm_scores(spark):
     assert language_model.score_texts(table(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_scores_are_a_function_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 400)  # several shards, and two levels of averages
+    monkeypatch.setattr(language_model, "FAN_IN", 3)
+    rows = AWKWARD + [(None, "w1 w2 w3", "s"), (None, None, "s"), (7, "w1", "s"), (7, "w2 " * 200, "s"), (8, "long" * 50 + " w1", "s")]
+    docs = table(spark, rows)
+    one = sorted((r.n_tokens, r.base_score, r.score) for r in language_model.score_texts(docs.repartition(2)).collect())
+    other = sorted((r.n_tokens, r.base_score, r.score) for r in language_model.score_texts(docs.orderBy(F.desc("text")).repartition(9)).collect())
+    assert len(one) == len(rows) and np.allclose(one, other, rtol=1e-6)
+
+
+def slow_log_probability(model, word, one, two, m):
+    """Of one word, by plain sums over the parameters."""
+    p, k = model.parts, model.k
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+    r = [float(a) + float(b) for a, b in zip(p["one"][one], p["two"][two], strict=True)]
+    logits = [dot(r, p["classes"][c]) + float(p["class_bias"][c]) for c in range(k + 1)]
+    group = word // language_model.CLASS if word < m else k
+    out = logits[group] - math.log(sum(math.exp(x) for x in logits))
+    if word < m:
+        inside = {w: dot(r, p["words"][w]) + float(p["word_bias"][w]) for w in range(group * language_model.CLASS, (group + 1) * language_model.CLASS)}
+        out += inside[word] - math.log(sum(math.exp(x) for x in inside.values()))
+    return out
+
+
+def test_lm_scores_by_plain_loops(spark, monkeypatch):
+    import zlib
+
+    learned = []
+    load = language_model.LogBilinear.load
+    monkeypatch.setattr(language_model.LogBilinear, "load", lambda self, flat: (load(self, flat), learned.append(self))[0])
+    rows = AWKWARD
+    got = {r.doc_id: r.score for r in language_model.score_texts(table(spark, rows), model_words=20).collect()}
+    model = learned[-1]  # the averaged parameters, as the driver loads them
+    toks = {i: [*(t or "").encode().lower().split(), b"\n"] for i, t, _ in rows}
+    count = Counter(w for i, t in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in t)
+    ranked = sorted(count, key=lambda w: (-count[w], w))
+    m = min(20, len(ranked))
+    place, others, types = {w: i for i, w in enumerate(ranked[:m])}, sum(count[w] for w in ranked[m:]), len(ranked) - m
+    for i, words in toks.items():
+        total, one, two = 0.0, m + 1, m + 1
+        for w in words[:300]:
+            k = place.get(w, m)
+            total += slow_log_probability(model, k, one, two, m) / math.log(10)
+            if k == m:
+                total += math.log10((count[w] + 0.5) / (others + 0.5 * (types + 1)))
+            one, two = k, one
+        if len(words) <= 300:
+            assert got[i] == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
+def test_lm_without_training_rows(spark):
+    got = language_model.score_texts(table(spark, [(i, "w1 w2", "s") for i in (1, 1, 2)]), fold=0, folds=1).collect()
+    assert len(got) == 3 and all(r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.base_score == pytest.approx(3 * math.log10(0.5 / 0.5)) for r in got)
+
+
 def test_lm_probabilities_add_up():
     import numpy as np
 
