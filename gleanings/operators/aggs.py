@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -51,10 +54,14 @@ def hotness(stats: DataFrame, scores: DataFrame | None = None, web_hits: DataFra
     return rows.select("name", "total", F.least(base, F.lit(100.0)).alias("score"))
 
 
-def archive_by_day(articles: DataFrame, at: str, source: str, id_column: str) -> DataFrame:
-    """day, n and items: the day's articles by source, then id."""
-    item = F.struct(F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(id_column).alias("id"))
-    return articles.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item)).alias("items"))
+def archive_by_day(articles: DataFrame, at: str, source: str, id_column: str, most: int = 500) -> DataFrame:
+    """day, n and items: the first articles of the day by source, then id, ``most`` at most (a page; n counts all)."""
+    day, name = F.to_date(at), F.coalesce(F.col(source), F.lit(""))
+    rows = articles.select(day.alias("day"), name.alias("source"), F.col(id_column).alias("id"))
+    total = rows.groupBy("day").agg(F.count("*").alias("n"))
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("day").orderBy("source", "id"))).filter(F.col("_n") <= most)
+    items = first.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("items"))
+    return total.join(items, total["day"].eqNullSafe(items["day"])).select(total["day"], "n", "items")
 
 
 def sensitive_counts(hits: DataFrame) -> DataFrame:
@@ -83,21 +90,31 @@ def reachability(checks: DataFrame, retries: int = 3) -> DataFrame:
     return tried.groupBy("source").agg(F.bool_or("ok").alias("reachable"), F.min_by("candidate", F.when(F.col("ok"), F.col("candidate_ord"))).alias("repaired_to"))
 
 
+def reachability_totals(summary: DataFrame) -> DataFrame:
+    """One row: sources checked, reachable, not reachable, and of these repaired by a candidate."""
+    return summary.agg(F.count("*").alias("sources"), F.count_if("reachable").alias("reachable"), F.count_if(~F.col("reachable")).alias("unreachable"), F.count_if(F.col("repaired_to").isNotNull()).alias("repaired"))
+
+
+# Texts by which failure messages are told apart, in order.
+REASONS = (
+    ("403 forbidden", ("403", "forbidden")),
+    ("404 not found", ("404", "not found")),
+    ("429 rate limited", ("429", "too many requests")),
+    ("dns", ("getaddrinfo", "nameresolution", "failed to resolve", "name or service not known")),
+    ("redirects", ("redirect",)),
+    ("timeout", ("timed out", "timeout")),
+    ("reset", ("forcibly closed", "connection reset", "10054", "closed connection", "incompleteread", "connection broken", "connection aborted")),
+    ("tls", ("ssl", "certificate")),
+)
+
+
 def skip_reason(message: Column) -> Column:
     """Bucket of a failure message, by ordered rules."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(m.rlike("403|forbidden"), "403 forbidden")
-        .when(m.rlike("404|not found"), "404 not found")
-        .when(m.rlike("429|too many requests"), "429 rate limited")
-        .when(m.rlike("getaddrinfo|nameresolution|failed to resolve|name or service not known"), "dns")
-        .when(m.rlike("redirect"), "redirects")
-        .when(m.rlike("timed out|timeout"), "timeout")
-        .when(m.rlike("forcibly closed|connection reset|10054|closed connection|incompleteread|connection broken|connection aborted"), "reset")
-        .when(m.rlike("ssl|certificate"), "tls")
-        .when(m.rlike(r"\b5[0-9][0-9]\b|server error"), "5xx")
-        .otherwise("other")
-    )
+    out = F.lit("other")
+    for test, reason in [(m.rlike(r"\b5[0-9][0-9]\b|server error"), "5xx"), *[(reduce(lambda a, b: a | b, [F.contains(m, F.lit(x)) for x in texts]), name) for name, texts in reversed(REASONS)]]:
+        out = F.when(test, reason).otherwise(out)
+    return out
 
 
 def skip_reasons(failures: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanings.functions import urls
+from gleanings.session import written
 
 
 def first_per(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -44,8 +43,15 @@ def collapse_sources(sources: DataFrame, order: str, name_column: str = "name")
     return first_per(sources.withColumn("source_key", F.lower(F.trim(F.col(name_column)))), ["source_key"], order)
 
 
-def dedupe_terms(terms: DataFrame, limit: int) -> DataFrame:
-    """terms (key, priority, ord, term): trimmed, the first of each spelling, seeds (lower priority) first, then the limit."""
+def dedupe_terms(terms: DataFrame, limit: int, keys: DataFrame | None = None, templates: tuple[str, ...] = ()) -> DataFrame:
+    """terms (key, priority, ord, term): trimmed, the first of each spelling, seeds (lower priority) first, then the limit.
+
+    Of keys (key, name) those without any term get the templates, with "{}" standing for their name.
+    """
+    if keys is not None:
+        lacking = keys.join(terms.filter("trim(term) <> ''").select("key").distinct(), "key", "left_anti")
+        generic = lacking.select("key", F.lit(0).alias("priority"), F.posexplode(F.array(*[F.replace(F.lit(t), F.lit("{}"), F.col("name")) for t in templates])).alias("ord", "term"))
+        terms = terms.select("key", "priority", "ord", "term").unionByName(generic)
     first = first_per(terms.withColumn("term", F.trim("term")).filter("term <> ''").withColumn("_t", F.lower("term")), ["key", "_t"], "priority", "ord")
     place = F.row_number().over(W.partitionBy("key").orderBy("priority", "ord"))
     return first.withColumn("place", place).filter(F.col("place") <= limit).drop("_t")
@@ -94,46 +100,57 @@ def shingle_overlap(a: Column, b: Column) -> tuple[Column, Column]:
     return both, (F.size(a) + F.size(b) - both).cast("long")
 
 
+def shingle_classes(docs: DataFrame, id_column: str, text: Column, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(id, class_id, chars) of every document that has shingles, and (class_id, s) of every class.
+
+    Documents with the same set of shingles are one class, named by its smallest id; nothing of a class but that one's set is used further on.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.length(text).alias("chars"), shingles(text, width).alias("s")).filter("size(s) > 0")
+    ordered = F.array_sort("s")
+    keyed = written(rows.select("id", "chars", "s", F.xxhash64(ordered).alias("k1"), F.xxhash64(F.lit("again"), ordered).alias("k2")))
+    least = written(keyed.groupBy("k1", "k2").agg(F.min("id").alias("class_id")))
+    members = keyed.select("id", "chars", "k1", "k2").join(least, ["k1", "k2"]).select("id", "class_id", "chars")
+    # an id that occurs twice may stand for one class only once
+    sets = keyed.join(least, ["k1", "k2"]).filter("id = class_id").select("class_id", "s").dropDuplicates(["class_id"])
+    return members, written(sets)
+
+
 def near_pairs(docs: DataFrame, id_column: str, text: Column, percent: int = 82, width: int = 5) -> DataFrame:
-    """(a, b, overlap, least): pairs whose overlap coefficient is at least percent / 100; a is the one with fewer shingles.
+    """(a, b, overlap, least): pairs of classes whose overlap coefficient is at least percent / 100; a is the one with fewer shingles."""
+    return _near_pairs(shingle_classes(docs, id_column, text, width)[1], percent)
+
+
+def _near_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Near pairs of sets (class_id, s).
 
     The coefficient is at least Jaccard, so it is the larger of the two. With shingles in order of rarity, a set of n that shares
-    ceil(t n) of them with a larger one has one of its first n - ceil(t n) + 1 in common; only these meet in the join.
+    ceil(t n) of them with a larger one has one of its first n - ceil(t n) + 1 in common; only these meet in the join. Both sides of that join
+    are dealt out by Spark, which splits a hot shingle; sets differ, so a group of copies meets others once.
     """
-    sets = _stored(docs.select(F.col(id_column).alias("id"), shingles(text, width).alias("s")).filter("size(s) > 0"))
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    often = each.groupBy("h").agg(F.count("*").alias("df"))
-    ranked = each.join(often, "h").filter("df > 1")
+    each = sets.select(F.col("class_id").alias("id"), F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = written(each.join(often, "h"))
     # shingles that no other set has come first in the order of rarity and can meet nothing
-    alone = sets.select("id", F.size("s").alias("n")).join(ranked.groupBy("id").agg(F.count("*").alias("shared")), "id").withColumn("lead", F.col("n") - F.col("shared"))
+    alone = ranked.groupBy("id").agg((F.first("n") - F.count("*")).alias("lead"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
-    prefix = ranked.withColumn("p", place).join(alone.select("id", "lead"), "id").filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + 1")).select(F.col("id").alias("a"), F.col("n").alias("na"), "h")
-    full = each.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    met = prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))").select("a", "b").distinct()
-    pairs = met.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    placed = ranked.withColumn("p", place).join(alone, "id")
+    prefix = placed.filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + 1")).select(F.col("id").alias("a"), F.col("n").alias("na"), "h")
+    full = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
+    met = written(prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))").select("a", "b").distinct())
+    pairs = met.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
     both, _ = shingle_overlap(F.col("sa"), F.col("sb"))
     return pairs.select("a", "b", both.alias("overlap"), F.size("sa").cast("long").alias("least")).filter(F.col("overlap") * 100 >= F.col("least") * percent)
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder and read back; computed in place where the session names none."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder}/gleanings-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(id, root): the smallest id that each paired id reaches, by rounds of minimum labels with pointer jumping."""
-    both = _stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = _stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     for _ in range(most_rounds):
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
         low = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
         up = label.select(F.col("id").alias("r"), F.col("root").alias("up"))
-        jumped = _stored(low.join(up, F.col("root") == F.col("r"), "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
+        jumped = written(low.join(up, F.col("root") == F.col("r"), "left").select("id", F.least("root", F.coalesce("up", "root")).alias("root")))
         same = jumped.join(label.withColumnRenamed("root", "was"), "id").filter("root <> was").limit(1).count() == 0
         label = jumped
         if same:
@@ -144,26 +161,39 @@ def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str, text_column: str, percent: int = 82, width: int = 5) -> DataFrame:
     """(leader, chosen): what stays when documents are read in id order, each near one kept before replacing it if longer.
 
-    leader is the id whose place a kept document has, chosen the document that stands there. Signatures of different components are
-    never near, so the order is followed within each component only.
+    leader is the id whose place a kept document has, chosen the document that stands there. Documents of different components are
+    never near. A class that is near no other one needs no order: its first document leads, and the first of its longest is chosen,
+    by aggregation, however many copies it has. Only in components of several classes the order is followed, on ids, lengths and the
+    links between classes; no text or set of shingles reaches that step, whose task holds some tens of bytes a document of the component.
     """
-    pairs = _stored(near_pairs(docs, id_column, F.col(text_column), percent, width))
+    members, sets = shingle_classes(docs, id_column, F.col(text_column), width)
+    pairs = written(_near_pairs(sets, percent).select("a", "b"))
     rooted = components(pairs)
-    sets = docs.select(F.col(id_column).alias("id"), F.length(text_column).alias("chars"), shingles(F.col(text_column), width).alias("s")).join(rooted, "id")
-
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for row in rows.sort_values("id").itertuples():
-            mine = set(row.s)
-            for place in kept:
-                if len(mine & place[2]) * 100 >= percent * min(len(mine), len(place[2])):
-                    if row.chars > place[3]:
-                        place[1:] = [row.id, mine, row.chars]
-                    break
-            else:
-                kept.append([row.id, row.id, mine, row.chars])
-        return pd.DataFrame([k[:2] for k in kept], columns=["leader", "chosen"])
-
-    several = sets.groupBy("root").applyInPandas(follow, "leader long, chosen long")
-    single = docs.select(F.col(id_column).cast("long").alias("leader")).join(rooted.select(F.col("id").alias("leader")), "leader", "left_anti")
-    return single.withColumn("chosen", F.col("leader")).unionByName(several)
+    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
+    placed = written(members.join(rooted.select(F.col("id").alias("class_id"), "root"), "class_id", "left"))
+    lone = placed.filter("root is null").groupBy("class_id").agg(F.min("id").alias("leader"), F.min(F.struct((-F.col("chars")).alias("n"), "id")).alias("x")).select("leader", F.col("x.id").alias("chosen"))
+    # a class's links travel once, with its first document
+    mixed = placed.filter("root is not null").join(links, (F.col("class_id") == F.col("a")) & (F.col("id") == F.col("class_id")), "left").select("root", "id", "class_id", "chars", "near")
+    several = mixed.groupBy("root").applyInPandas(_follow, "leader long, chosen long")
+    empty = docs.select(F.col(id_column).cast("long").alias("leader")).join(members.select(F.col("id").alias("leader")), "leader", "left_anti")
+    return lone.unionByName(several).unionByName(empty.withColumn("chosen", F.col("leader")))
+
+
+def _follow(rows: pd.DataFrame) -> pd.DataFrame:
+    """One component in id order. An entry is kept at its leader's place; ``standing`` has the entries at which a class stands now."""
+    rows = rows.sort_values("id", kind="stable")
+    near = {c: set(n) for c, n in zip(rows["class_id"], rows["near"], strict=True) if n is not None}
+    leaders: list[int] = []
+    stands: list[tuple[int, int, int]] = []  # of each entry: chosen id, its class, its length
+    standing: dict[int, set[int]] = {}
+    for doc, kind, chars in zip(rows["id"].tolist(), rows["class_id"].tolist(), rows["chars"].tolist(), strict=True):
+        found = [e for c in (kind, *near.get(kind, ())) for e in standing.get(c, ())]
+        if not found:
+            standing.setdefault(kind, set()).add(len(leaders))
+            leaders.append(doc)
+            stands.append((doc, kind, chars))
+        elif chars > stands[entry := min(found)][2]:
+            standing[stands[entry][1]].discard(entry)
+            standing.setdefault(kind, set()).add(entry)
+            stands[entry] = (doc, kind, chars)
+    return pd.DataFrame({"leader": leaders, "chosen": [s[0] for s in stands]})

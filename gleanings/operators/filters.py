@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanings.functions import text as T
+from gleanings.session import written
 
 
 def age_verdict(at: Column, now: Column, days: int | None) -> Column:
@@ -63,18 +64,18 @@ def chunked(df: DataFrame, order: str, n: int, partitions_by: list[str] | None =
     if keys:
         rn = F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1
         return df.withColumn("chunk", F.floor(rn / n).cast("long")).withColumn("slot", (rn % n).cast("int"))
-    numbered = _numbered(df, order)
-    return numbered.withColumn("chunk", F.floor(F.col("_no") / n).cast("long")).withColumn("slot", (F.col("_no") % n).cast("int")).drop("_no")
+    placed = numbered(df, order)
+    return placed.withColumn("chunk", F.floor(F.col("_no") / n).cast("long")).withColumn("slot", (F.col("_no") % n).cast("int")).drop("_no")
 
 
-def _numbered(df: DataFrame, order: str, lanes: int = 1024) -> DataFrame:
-    """_no from 0 in order of a whole-number column, without gathering all rows: totals of ranges first, then places within a range."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = max(1, ((high or 0) - (low or 0)) // lanes + 1)
-    ranged = df.withColumn("_range", F.floor((F.col(order) - F.lit(low or 0)) / width))
-    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """_no from 0 in the order of a column without ties, without gathering all rows: Spark cuts the order into ranges of like size, whose totals
+    are summed first; then come places within a range."""
+    ranged = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    begins = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     within = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
-    return ranged.withColumn("_in", within).join(F.broadcast(before), "_range").withColumn("_no", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
+    return ranged.withColumn("_in", within).join(begins, "_range").withColumn("_no", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
 
 
 def relevance_gate(articles: DataFrame, replies: DataFrame, order: str, chunk: int = 8) -> DataFrame:
@@ -90,6 +91,15 @@ def required_length(source_chars: Column) -> Column:
     return F.when(source_chars < 300, 0).when(source_chars < 1500, source_chars).otherwise(F.least(F.greatest(fifth, F.lit(1500)), F.lit(3000))).cast("long")
 
 
+# Least lengths of a synthesis by the depth that was asked for.
+SYNTHESIS_FLOORS = {"beginner": 500, "intermediate": 600, "advanced": 800}
+
+
+def synthesis_floor(depth: Column) -> Column:
+    """Least length of a synthesised body; 0 where no depth was asked for."""
+    return F.coalesce(*[F.when(depth == name, n) for name, n in SYNTHESIS_FLOORS.items()], F.lit(0))
+
+
 def list_filter(df: DataFrame, **equal) -> DataFrame:
     """Equality predicates joined by AND; those that are None are left out."""
     for name, value in equal.items():
@@ -113,6 +123,17 @@ def first_nonempty_wave(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_w", lowest).filter("wave = _w and relevant").drop("_w")
 
 
+def source_search(sources: DataFrame, needle: str | None = None, topic: str | None = None, mode: str | None = None, **equal) -> DataFrame:
+    """Sources (name, url, type, topics, mode): keyword_search over name and url, those that have the topic, and those to be scraped in the
+    mode (other types have none and stay), by name."""
+    found = keyword_search(sources, needle, ["name", "url"], **equal)
+    if topic is not None:
+        found = found.filter(F.array_contains("topics", topic))
+    if mode is not None:
+        found = found.filter((F.col("type") != "scrape") | (F.col("mode") == mode))
+    return found.orderBy("name")
+
+
 def keyword_search(df: DataFrame, needle: str | None, columns: list[str], **equal) -> DataFrame:
     """Case-insensitive substring over any of the columns; a blank needle keeps all."""
     n = (needle or "").strip().lower()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanings.functions import html as H
 from gleanings.functions import urls
 from gleanings.operators.dedup import first_per
 
@@ -60,14 +61,20 @@ def classify_topics(articles: DataFrame, topics: list[tuple[str, list[str]]], bo
     return found.select(id_column, F.coalesce("hit", "said", F.lit("uncategorized")).alias("topic"))
 
 
-def localize_urls(articles: DataFrame, url_map: DataFrame, id_column: str = "id") -> DataFrame:
-    """Remote addresses in body and images that the map (remote, local) has, replaced; others stay."""
-    wanted = articles.select(id_column, F.explode("images").alias("remote")).distinct().join(url_map, "remote")
-    maps = wanted.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct((-F.length("remote")).alias("n"), "remote", "local"))).alias("_m"))
+def localize_urls(articles: DataFrame, url_map: DataFrame, id_column: str = "id", body_prefix: str = "") -> DataFrame:
+    """Remote addresses in body, images and videos that the map (remote, local) has, replaced; others stay. Longer addresses go first in the
+    body, where local ones may get a prefix (a relative path)."""
+    lists = [c for c in ("images", "videos") if c in articles.columns]
+    named = F.array_distinct(F.concat(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists], H.body_media(F.coalesce("body", F.lit("")))))
+    wanted = articles.select(id_column, F.explode(named).alias("remote")).join(url_map, "remote")
+    maps = wanted.groupBy(id_column).agg(F.array_sort(F.collect_set(F.struct((-F.length("remote")).alias("n"), "remote", "local"))).alias("_m"))
     joined = articles.join(maps, id_column, "left")
-    swap = lambda text: F.aggregate(F.coalesce("_m", F.expr("cast(array() as array<struct<n:int,remote:string,local:string>>)")), text, lambda t, m: F.replace(t, m["remote"], m["local"]))
+    none = F.expr("cast(array() as array<struct<n:int,remote:string,local:string>>)")
+    # addresses get a mark first, so that none is looked for inside the local name of another
+    marked = F.aggregate(F.coalesce("_m", none), F.col("body"), lambda t, m: F.replace(t, m["remote"], F.concat(F.lit("\x02"), F.md5(m["remote"].cast("binary")), F.lit("\x02"))))
+    swapped = F.aggregate(F.coalesce("_m", none), marked, lambda t, m: F.replace(t, F.concat(F.lit("\x02"), F.md5(m["remote"].cast("binary")), F.lit("\x02")), F.concat(F.lit(body_prefix), m["local"])))
     found = lambda u: F.get(F.filter(F.col("_m"), lambda m: m["remote"] == u), F.lit(0))["local"]
-    return joined.withColumn("body", swap(F.col("body"))).withColumn("images", F.transform("images", lambda u: F.coalesce(found(u), u))).drop("_m")
+    return joined.withColumns({"body": swapped, **{c: F.transform(c, lambda u: F.coalesce(found(u), u)) for c in lists}}).drop("_m")
 
 
 def resolve_image_refs(drafts: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -101,6 +108,14 @@ def delete_cascade(parents: DataFrame, children: DataFrame, ids: DataFrame, pare
     return parents.join(gone, parent_key, "left_anti"), children.join(gone.withColumnRenamed(parent_key, child_key), child_key, "left_anti")
 
 
+def delete_series(series: DataFrame, drafts: DataFrame, chapters: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Series, drafts and chapters without those of the given series ids, and one row with the number of rows gone of each."""
+    gone = ids.select("series_id").distinct()
+    kept = [df.join(gone, "series_id", "left_anti") for df in (series, drafts, chapters)]
+    counts = [df.join(gone, "series_id", "left_semi").agg(F.count("*").alias("n")).withColumn("of", F.lit(of)) for df, of in ((series, "series"), (drafts, "drafts"), (chapters, "chapters"))]
+    return *kept, counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy().pivot("of", ["series", "drafts", "chapters"]).agg(F.first("n"))
+
+
 def widen_references(primary: DataFrame, widened: DataFrame, k: int, least: int = 2) -> DataFrame:
     """refs (group, ord, url): groups with fewer than ``least`` get the widened ones with a new URL key after their own, then the first k."""
     p = primary.withColumn("url_key", urls.url_key(F.col("url"))).withColumn("widened", F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,6 +13,15 @@ def recent_page(df: DataFrame, at: Column, tie: str, limit: int = 60, offset: in
     return df.orderBy(at.desc(), F.col(tie).desc()).offset(offset).limit(limit)
 
 
+def page_with_more(df: DataFrame, at: Column, tie: str, limit: int = 60, offset: int = 0) -> DataFrame:
+    """recent_page() and has_more: whether rows follow the page."""
+    limit, offset = min(max(limit, 1), 200), max(offset, 0)
+    order = [at.desc(), F.col(tie).desc()]
+    some = df.orderBy(*order).offset(offset).limit(limit + 1)  # a page and one row
+    placed = some.withColumn("_n", F.row_number().over(W.orderBy(*order))).withColumn("has_more", F.count("*").over(W.partitionBy()) > limit)
+    return placed.filter(F.col("_n") <= limit).drop("_n")
+
+
 def recent(df: DataFrame, at: str, tie: str, n: int) -> DataFrame:
     return df.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(n)
 
@@ -49,9 +59,11 @@ def rank_by_topic(articles: DataFrame, title: Column, body: Column, topic: str,
 
 
 def draft_listing(drafts: DataFrame, status: str | None = None, limit: int = 60, offset: int = 0) -> DataFrame:
-    """drafts (draft_id, title_cn, title_candidates, status, origin, updated_at) -> one page with display title and time in UTC+8."""
+    """drafts (draft_id, title_cn, title_candidates, status, origin, updated_at) -> one page with display title, time in UTC+8 and
+    the total of all pages."""
     kept = drafts if status is None else drafts.filter(F.col("status") == status)
-    page = recent_page(kept, F.col("updated_at"), "draft_id", limit, offset)
+    total = kept.agg(F.count("*").alias("total"))  # one row
+    page = recent_page(kept, F.col("updated_at"), "draft_id", limit, offset).join(F.broadcast(total), F.col("total") > 0)
     title = F.coalesce(F.nullif(F.trim("title_cn"), F.lit("")), F.get("title_candidates", F.lit(0)), F.lit(""))
     shown = F.date_format(F.from_utc_timestamp("updated_at", "Asia/Shanghai"), "yyyy-MM-dd HH:mm")
-    return page.select("draft_id", title.alias("title"), "status", F.coalesce("origin", F.lit("rewrite")).alias("origin"), shown.alias("shown_at"))
+    return page.select("draft_id", title.alias("title"), "status", F.coalesce("origin", F.lit("rewrite")).alias("origin"), shown.alias("shown_at"), "total")

@@ -27,6 +27,11 @@ def replace_group(target: DataFrame, rows: DataFrame, group: str, order: str, wr
     return target.join(fresh.select(group).distinct(), group, "left_anti").unionByName(fresh)
 
 
+def added_count(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """One row: how many rows add_if_absent() adds."""
+    return rows.join(target.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("added"))
+
+
 def add_if_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """The target and those rows whose key it lacks."""
     return target.unionByName(rows.join(target.select(key).distinct(), key, "left_anti"))

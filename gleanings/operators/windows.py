@@ -10,13 +10,23 @@ from gleanings.functions import urls
 
 
 def source_diverse_topk(ranked: DataFrame, k: int, source: str = "source", rank: str = "rank", per_source: int = 2, keys: list[str] | None = None) -> DataFrame:
-    """The first k rows where third and later rows of a source wait until all others are served. With keys, k for each key."""
+    """The first k rows where third and later rows of a source wait until all others are served. With keys, k for each key.
+
+    Rows must have distinct ranks. Nobody needs a late row's place in its source. The first rows of each source are a filter on the row
+    number, which Spark applies before the shuffle too. The late rows that are served are among the first k rows of all, and so are all
+    rows of their sources in front of them; so a source with very many rows is never sorted.
+    """
     keys = keys or []
-    own = W.partitionBy(*keys, F.lower(F.col(source))).orderBy(rank)
-    rows = ranked.withColumn("_late", F.row_number().over(own) > per_source)
-    if not keys:
-        return rows.orderBy("_late", rank).limit(k).drop("_late")
-    return rows.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy("_late", rank))).filter(F.col("_rn") <= k).drop("_late", "_rn")
+    own = F.row_number().over(W.partitionBy(*keys, F.lower(F.col(source))).orderBy(rank))
+
+    def first(df: DataFrame, *order: str) -> DataFrame:
+        if not keys:
+            return df.orderBy(*order).limit(k)
+        return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+    early = first(ranked.withColumn("_n", own).filter(F.col("_n") <= per_source).drop("_n"), rank)
+    late = first(ranked, rank).withColumn("_n", own).filter(F.col("_n") > per_source).drop("_n")
+    return first(early.withColumn("_late", F.lit(False)).unionByName(late.withColumn("_late", F.lit(True))), "_late", rank).drop("_late")
 
 
 def rank_titles(candidates: DataFrame, n: int = 5, longest: int = 30) -> DataFrame:
@@ -76,6 +86,11 @@ def latest_op(ops: DataFrame, key: str = "op_type", at: str = "ts", tie: str = "
     return ops.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(F.col(at).desc(), F.col(tie).desc()))).filter("_rn = 1").drop("_rn")
 
 
+def running_ops(ops: DataFrame, at: str = "started_at", tie: str = "op_id") -> DataFrame:
+    """Operations that still run, in the order in which they began."""
+    return ops.filter("status = 'running'").orderBy(at, tie)
+
+
 def log_tail(lines: DataFrame, key: str, order: str, n: int = 500) -> DataFrame:
     """Last n lines of each key."""
     return lines.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).filter(F.col("_rn") <= n).drop("_rn")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanings.functions import html as H
@@ -65,7 +66,8 @@ _FURN = (
 _VIDEO = "(" + " or ".join([f"contains(lower(url), '{x}')" for x in U.VIDEO_HOSTS] + [f"ends_with(split_part(split_part(lower(url), '?', 1), '#', 1), '{x}')" for x in U.VIDEO_ENDINGS]) + ")"
 _INPLAT = "(" + " or ".join(f"lower(net) = '{d}' or ends_with(lower(net), '.{d}')" for d in U.IN_PLATFORM) + ")"
 _ENGINE = r"regexp_matches(lower(net) || pth, '(^|\.)(bing\.com|google\.[a-z.]+|baidu\.com|duckduckgo\.com)/(search|s|html)?$')"
-query("url_class", f"with {_P} select page_id, case when {_FURN} then 'furniture' when {_INPLAT} then 'in_platform' when {_VIDEO} then 'video' when {_ENGINE} then 'search' else 'content' end as class from parts")(_of_url(U.url_class, "class"))
+_CHROME = r"(regexp_matches(lower(url), '(?:page_loader|spinner|loading|placeholder)\.(?:png|gif|svg)') or regexp_matches(lower(url), '_fillwz|_transform|__scale|__resizedimage') or regexp_matches(lower(url), '(?:favicon|touchicon|apple[-.]touch|og_logo)[\w-]*\.(?:png|ico|jpg|svg)') or regexp_matches(lower(url), '(?:icon|logo)[\w-]*\.svg$'))"
+query("url_class", f"with {_P} select page_id, case when {_FURN} then 'furniture' when {_CHROME} then 'chrome' when {_INPLAT} then 'in_platform' when {_VIDEO} then 'video' when {_ENGINE} then 'search' else 'content' end as class from parts")(_of_url(U.url_class, "class"))
 _HOST = r"lower(regexp_replace(regexp_replace(net, '^.*@', ''), ':\d*$', ''))"
 query("public_url", f"with {_P} select page_id, coalesce(lower(sch) in ('http', 'https') and {_HOST} <> '' and {_HOST} <> 'localhost' and not regexp_matches({_HOST}, '\\.(local|internal|localhost)$') and not regexp_matches({_HOST}, '^(0|10|127|169\\.254|192\\.168|172\\.(1[6-9]|2[0-9]|3[01])|22[4-9]|23[0-9]|24[0-9]|25[0-5])\\.'), false) as public from parts")(
     _of_url(U.public_url, "public")
@@ -75,11 +77,16 @@ query("media_url_triage", f"with {_P} select page_id, case when starts_with(lowe
 )
 
 
-@query("media_url")
+@query("media_url", r"select page_id, case when page_id % 3 = 1 then 'https:' || regexp_replace(url, '^https?:', '') else url end || case when page_id % 3 = 0 and page_id % 2 = 0 then '/a%20b%C3%A9=1' else '' end as media_url from pages")
 def media_url(spark, d):
     """Attribute values as crawled pages have them, made of the page addresses, undone again."""
     p = table(spark, d, "pages")
-    dressed = F.when(F.col("page_id") % 3 == 0, F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" 2x, other.png 1x"))).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?:", "")).otherwise(F.concat(F.lit("https://proxy.example.org/img?url="), F.url_encode("url")))
+    tail = F.when(F.col("page_id") % 2 == 0, F.lit("/a b\u00e9\\u003d1")).otherwise(F.lit(" 2x, other.png 1x"))
+    dressed = (
+        F.when(F.col("page_id") % 3 == 0, F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), tail))
+        .when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?:", ""))
+        .otherwise(F.concat(F.lit("https://proxy.example.org/img?url="), F.url_encode("url")))
+    )
     return p.select("page_id", U.media_url(dressed).alias("media_url"))
 
 
@@ -104,16 +111,26 @@ links as (select page_id, link, min(pos) as pos, min(url) as url from resolved g
 query("extract_links", f"with {_LINKS} select page_id, link, cast(pos as bigint) as pos from links")(lambda spark, d: H.links(table(spark, d, "pages")))
 
 
-@query("pagination_links", f"with {_LINKS}, s as (select *, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as a, regexp_extract(link, '^(?:{_S}:)?//([^/?#]*)', 1) as b from links) select page_id, link from s where a = b and regexp_matches(link, '(?i)[?&]page=\\d+|/page/\\d+|/p/\\d+')")
+def _linked(spark, d):
+    """Pages with links that the plain ones lack: to further pages, to other hosts, to what is no article and to dot paths."""
+    more = F.concat(F.lit('<a href="/page/'), F.col("page_id") % 9, F.lit('">more</a><a href="?page='), "page_id", F.lit('">next</a><a href="https://else.example/p/1">x</a><a href=/tag/one>t</a><a href="/files/a.pdf">f</a><a href=/privacy/x>p</a>'))
+    return table(spark, d, "pages").withColumn("html", F.concat("html", more))
+
+
+_MORE = "html || '<a href=\"/page/' || (page_id % 9) || '\">more</a><a href=\"?page=' || page_id || '\">next</a><a href=\"https://else.example/p/1\">x</a><a href=/tag/one>t</a><a href=\"/files/a.pdf\">f</a><a href=/privacy/x>p</a>'"
+_LINKED = _LINKS.replace("from pages)", f"from (select page_id, url, {_MORE} as html from pages))")
+
+
+@query("pagination_links", f"with {_LINKED}, s as (select *, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as a, regexp_extract(link, '^(?:{_S}:)?//([^/?#]*)', 1) as b from links) select page_id, link from s where a = b and regexp_matches(link, '(?i)[?&]page=\\d+|/page/\\d+|/p/\\d+')")
 def pagination_links(spark, d):
-    pages = table(spark, d, "pages")
+    pages = _linked(spark, d)
     found = H.links(pages).join(pages.select("page_id", "url"), "page_id")
     return found.filter((U.netloc(F.col("url")) == U.netloc(F.col("link"))) & H.is_pagination(F.col("link"))).select("page_id", "link")
 
 
-@query("accept_links", f"with {_LINKS}, s as (select page_id, link, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as base, {_parts('link')} from links), g as (select *, {_SEGS} from s) select page_id, link from g where net = base and contains(link, '/') and not contains(link, 'tag') and {_TIER} = 'article'")
+@query("accept_links", f"with {_LINKED}, s as (select page_id, link, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as base, {_parts('link')} from links), g as (select *, {_SEGS} from s) select page_id, link from g where net = base and contains(link, '/') and not contains(link, 'tag') and {_TIER} = 'article'")
 def accept_links(spark, d):
-    pages = table(spark, d, "pages")
+    pages = _linked(spark, d)
     rules = pages.select("page_id", U.netloc(F.col("url")).alias("base_host"), F.lit("/").alias("include_pattern"), F.lit("tag").alias("exclude_pattern"))
     return crawl.accept_links(H.links(pages).join(rules, "page_id")).select("page_id", "link")
 
@@ -128,8 +145,8 @@ query("paragraph_text", f"select page_id, {_PARAS} as body from pages")(lambda s
 def _article_sql(title: str, body: str) -> str:
     lines = rf"len(list_filter(string_split(b, chr(10)), lambda s: not regexp_matches(s, '^\s*$') and not regexp_matches(s, '^\s*http') and not starts_with(s, '![') and not regexp_matches(s, '^\s*\[\[(?:IMG|VIDEO):'))) >= 3"
     linked = r"coalesce(list_sum(list_transform(regexp_extract_all(b, '(\[[^\]]+\]\([^)]+\))', 1), lambda x: length(x))), 0) * 5 <= length(regexp_replace(b, '\s', '', 'g')) * 2"
-    listing = r"regexp_matches(t, '^(news(\s*&?\s*events)?|newsletter|archive|blog\s+archive|events?\s+archive|article\s+archive|press\s+release)')"
-    return f"length(b) >= 300 and {lines} and {linked} and not (t in ('404', 'page not found', 'not found') or (contains(t, '404') and contains(t, 'not found'))) and not {listing}"
+    listing = " or ".join(f"starts_with(regexp_replace(t, '[\\s\u00a0]+', ' ', 'g'), '{x}')" for x in H.LISTING_STARTS)
+    return f"length(b) >= 300 and {lines} and {linked} and not (t in ('404', 'page not found', 'not found') or (contains(t, '404') and contains(t, 'not found'))) and not ({listing})"
 
 
 query("is_article", rf"with a as (select doc_id, lower(trim(split_part(coalesce(text, ''), chr(10), 1))) as t, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b from documents) select doc_id, {_article_sql('t', 'b')} as is_article from a")(
@@ -141,45 +158,136 @@ query("extract_articles", rf"with e as (select page_id, url, case when {_TITLE}
 query("strip_boilerplate", r"with l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda s: not regexp_matches(s, '^\s*$') and not regexp_matches(s, '^\s*http') and not starts_with(s, '![') and not regexp_matches(s, '^\s*\[\[(?:IMG|VIDEO):')) as ls from documents) select doc_id, md5(case when len(ls) > 0 and len(list_filter(ls, lambda s: not regexp_matches(s, '(?i)licen[cs]ed? |all rights reserved|!!'))) = 0 then '' else text end) as body_md5 from l")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", F.md5(H.strip_boilerplate(F.col("text"), "(?i)licen[cs]ed? |all rights reserved|!!")).alias("body_md5"))
 )
-query("is_feed_document", "select page_id, regexp_matches(lower(substr(ltrim(html), 1, 1500)), '<rss|<feed|<rdf:rdf|<channel') as is_feed from pages")(
-    lambda spark, d: table(spark, d, "pages").select("page_id", H.is_feed_document(F.col("html")).alias("is_feed"))
-)
+@query("is_feed_document", "select page_id, page_id % 4 = 0 or (page_id % 4 <> 1 and regexp_matches(lower(substr(ltrim(html), 1, 1500)), '<rss|<feed|<rdf:rdf|<channel')) as is_feed from pages")
+def is_feed_document(spark, d):
+    """Pages, of which a quarter is wrapped as a feed, and a quarter names a feed only behind its first 1,500 characters."""
+    html = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(' \n<?xml version="1.0"?><RSS version="2.0">'), "html")).when(F.col("page_id") % 4 == 1, F.concat(F.repeat(F.lit("x"), 1500), F.lit("<rss>"), "html")).otherwise(F.col("html"))
+    return table(spark, d, "pages").select("page_id", H.is_feed_document(html).alias("is_feed"))
+
+
+@query("feed_of_site", f"with {_P}, f as (select net as site, page_id % 5 as path_ord, min(url) as url from parts where page_id % 3 = 0 group by 1, 2) select site, arg_min(url, path_ord) as url from f group by 1")
+def feed_of_site(spark, d):
+    """The first well-known path of each site whose document is a feed: every third page is one, at one of five paths."""
+    p = table(spark, d, "pages")
+    docs = p.select(U.netloc(F.col("url")).alias("site"), (F.col("page_id") % 5).alias("path_ord"), "url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<feed>"), "html")).otherwise(F.col("html")).alias("text"))
+    return crawl.feed_of_site(docs)
 
 
 def _dressed(spark, d):
     """Crawled pages with the media, dates and feeds that the plain ones lack, all made of their own addresses."""
     p = table(spark, d, "pages")
-    stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 3600), "yyyy-MM-dd'T'HH:mm:ss")
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 3600)
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    kind = F.col("page_id") % 6
+    dated = (
+        F.when(kind == 0, F.concat(F.lit('<meta property="article:published_time" content="'), stamp, F.lit('">')))
+        .when(kind == 1, F.concat(F.lit('<time datetime="'), stamp, F.lit('">x</time>')))
+        .when(kind == 2, F.concat(F.lit("<meta content='"), stamp, F.lit("' itemprop=datePublished>")))
+        .when(kind == 3, F.concat(F.lit('<script>f("{\\"dateModified\\":\\"2001-01-01\\",\\"publishedAt\\":\\"'), stamp, F.lit('\\"}")</script>')))
+        .when(kind == 4, F.concat(F.lit('<meta name="DC.Date" content="'), stamp, F.lit('"><meta name="date" content="no date">')))
+        .otherwise(F.concat(F.lit('<script>{"createdAt": "2001-01-01"}</script><p>Posted '), F.date_format(at, "MMM d, yyyy"), F.lit("</p>")))
+    )
     head = F.concat(
-        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), stamp, F.lit('">'))).otherwise(F.concat(F.lit('<time datetime="'), stamp, F.lit('">x</time>'))),
-        F.when(F.col("page_id") % 4 == 0, F.lit('<link rel="alternate" type="application/rss+xml" href="/feed.xml">')).otherwise(""),
+        dated,
+        F.when(F.col("page_id") % 4 == 0, F.lit('<link rel="alternate" type="application/rss+xml" href="/feed.xml">')).when(F.col("page_id") % 4 == 1, F.lit("<link type=application/atom+xml href=/atom.xml>")).otherwise(""),
         F.lit('<script type="application/ld+json">{"@type": "NewsArticle", "image": {"url": "/lead-'), F.col("page_id"), F.lit('.jpg"}}</script>'),
     )
-    media = F.concat(F.lit('<img data-src="/pics/'), F.col("page_id"), F.lit('.jpg"><img src="data:image/png;base64,x"><img src="/assets/logo.svg"><video src="/films/'), F.col("page_id"), F.lit('.mp4"></video><iframe src="https://www.youtube.com/embed/'), F.col("page_id"), F.lit('"></iframe>'))
+    media = F.concat(F.lit('<img data-src="/pics/'), F.col("page_id"), F.lit('.jpg"><img src="data:image/png;base64,x"><img src=/assets/logo.svg><source srcset="../up/a.avif 2x, b.png"><video src=/films/'), F.col("page_id"), F.lit('.mp4></video><iframe src="https://www.youtube.com/embed/'), F.col("page_id"), F.lit('"></iframe>'))
     return p.withColumn("html", F.concat(head, "html", media))
 
 
-query("extract_images")(lambda spark, d: _dressed(spark, d).select("page_id", F.posexplode(H.images(F.col("html"))).alias("pos", "image")))
-query("extract_videos")(lambda spark, d: _dressed(spark, d).select("page_id", F.posexplode(H.videos(F.col("html"))).alias("pos", "video")))
-query("published_at", "select page_id, to_timestamp(1700000000 + page_id * 3600)::timestamp as published_at from pages")(lambda spark, d: _dressed(spark, d).select("page_id", H.published_at(F.col("html"), F.lit("2100-01-01").cast("timestamp")).alias("published_at")))
-query("jsonld_image", "select page_id, '/lead-' || page_id || '.jpg' as image from pages")(lambda spark, d: _dressed(spark, d).select("page_id", H.jsonld_image(F.col("html")).alias("image")))
-query("feed_links", f"with {_P} select page_id, sch || '://' || net || '/feed.xml' as feed from parts where page_id % 4 = 0")(lambda spark, d: _dressed(spark, d).select("page_id", F.explode(H.feed_links(F.col("html"), F.col("url"))).alias("feed")))
-query("body_media", "select page_id, m from pages, unnest(['https://h.example/' || page_id || '.jpg', '/two.png', 'https://h.example/' || page_id || '.mp4']) t(m)")(
-    lambda spark, d: table(spark, d, "pages").select("page_id", F.explode(H.body_media(F.concat(F.lit("![a](https://h.example/"), "page_id", F.lit('.jpg) <img src="/two.png"> ![b](https://h.example/'), "page_id", F.lit('.jpg) <video src="https://h.example/'), "page_id", F.lit('.mp4"></video>')))).alias("m"))
-)
-query("has_video", "select page_id, page_id % 3 <> 2 as has_video from pages")(
-    lambda spark, d: table(spark, d, "pages").select("page_id", H.has_video(F.when(F.col("page_id") % 3 == 0, F.lit("x [[VID:1]]")).otherwise(F.lit("plain")), F.when(F.col("page_id") % 3 == 1, F.array("url")).otherwise(F.array().cast("array<string>"))).alias("has_video"))
+_ROOT = "sch || '://' || net"
+#: "../up/a.avif" against the page: its folder's parent; no path of the pages has dots itself.
+_UP = f"{_ROOT} || regexp_replace(regexp_replace(pth, '[^/]*$', ''), '[^/]+/$', '') || case when regexp_replace(pth, '[^/]*$', '') = '' then '/' else '' end || 'up/a.avif'"
+
+
+@query("extract_images", f"with {_P}, i as (select page_id, [{_ROOT} || '/pics/' || page_id || '.jpg', {_ROOT} || '/assets/logo.svg', {_UP}, {_ROOT} || '/lead-' || page_id || '.jpg'] as x from parts) select page_id, unnest(range(4)) as pos, unnest(x) as image from i")
+def extract_images(spark, d):
+    return _dressed(spark, d).select("page_id", F.posexplode(H.images(F.col("html"), F.col("url"))).alias("pos", "image"))
+
+
+@query("extract_videos", f"with {_P}, i as (select page_id, ['https://www.youtube.com/embed/' || page_id, {_ROOT} || '/films/' || page_id || '.mp4'] as x from parts) select page_id, unnest(range(2)) as pos, unnest(x) as video from i")
+def extract_videos(spark, d):
+    return _dressed(spark, d).select("page_id", F.posexplode(H.videos(F.col("html"), F.col("url"))).alias("pos", "video"))
+
+
+@query("published_at", "select page_id, case when page_id % 6 = 5 then cast(cast(to_timestamp(1700000000 + page_id * 3600) as date) as timestamp) else to_timestamp(1700000000 + page_id * 3600)::timestamp end as published_at from pages")
+def published_at(spark, d):
+    """A date in a tag of each kind, in escaped JSON, and written out; the last with a less trusted one in front."""
+    return _dressed(spark, d).select("page_id", H.published_at(F.col("html"), F.lit("2100-01-01").cast("timestamp")).alias("published_at"))
+
+
+@query("jsonld_image", f"with {_P} select page_id, {_ROOT} || '/lead-' || page_id || '.jpg' as image from parts")
+def jsonld_image(spark, d):
+    return _dressed(spark, d).select("page_id", H.jsonld_image(F.col("html"), F.col("url")).alias("image"))
+
+
+@query("feed_links", f"with {_P} select page_id, {_ROOT} || '/feed.xml' as feed from parts where page_id % 4 = 0")
+def feed_links(spark, d):
+    return _dressed(spark, d).select("page_id", F.explode(H.feed_links(F.col("html"), F.col("url"))).alias("feed"))
+
+
+@query("feed_source", f"with {_P} select page_id, case page_id % 4 when 0 then {_ROOT} || '/feed.xml' when 1 then {_ROOT} || '/atom.xml' else url end as source, case when page_id % 4 < 2 then 'rss' else 'scrape' end as type from parts")
+def feed_source(spark, d):
+    """A page's feed whatever its relation, else the page itself."""
+    found = _dressed(spark, d).select("page_id", H.feed_source(F.col("html"), F.col("url")).alias("s"))
+    return found.select("page_id", F.col("s.url").alias("source"), "s.type")
+
+
+def _cited(spark, d):
+    """Bodies out of the pages' own paragraphs with media referred to between them."""
+    p = table(spark, d, "pages")
+    body = H.paragraph_text(F.col("html"))
+    front = F.concat(F.lit("![a](https://h.example/"), "page_id", F.lit('.jpg) <img src="/two.png"> '))
+    back = F.concat(F.lit(" ![b](https://h.example/"), "page_id", F.lit('.jpg) <video src="https://h.example/'), "page_id", F.lit('.mp4"></video> ▶ [film](https://h.example/f.webm) ▶ [page](https://h.example/watch)'))
+    return p.select("page_id", "url", F.concat(front, body, back).alias("body"))
+
+
+@query("body_media", "select page_id, m from pages, unnest(['https://h.example/' || page_id || '.jpg', '/two.png', 'https://h.example/' || page_id || '.mp4', 'https://h.example/f.webm']) t(m)")
+def body_media(spark, d):
+    """(No paragraph of the pages refers to media itself.)"""
+    return _cited(spark, d).select("page_id", F.explode(H.body_media(F.col("body"))).alias("m"))
+
+
+@query("has_video", f"select page_id, page_id % 3 <> 2 or regexp_matches({_PARAS}, '(?i)\\.(?:mp4|webm|mov|m4v|ogv|m3u8)\\b|<video\\b|youtube\\.com/|youtu\\.be/') as has_video from pages")
+def has_video(spark, d):
+    """Paragraphs with a token, beside a listed video, or as they are."""
+    body = H.paragraph_text(F.col("html"))
+    marked = F.when(F.col("page_id") % 3 == 0, F.concat(body, F.lit(" [[VID:1]]"))).otherwise(body)
+    listed = F.when(F.col("page_id") % 3 == 1, F.array("url")).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "pages").select("page_id", H.has_video(marked, listed).alias("has_video"))
+
+
+@query(
+    "clean_image_list",
+    f"""with {_P}, t as (select page_id, {_TITLE} as title from pages), u as (select page_id, {_ROOT} || '/pics/' || page_id || '.jpg' || chr(10) || {_UP} || chr(10) || {_ROOT} || '/lead-' || page_id || '.jpg' as images from parts)
+ select page_id, images, '[[IMG:1]]' || chr(10) || chr(10) || '[[IMG:2]]' || chr(10) || chr(10) || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '[[IMG:0]]' || chr(10) || chr(10) || title as body from t join u using (page_id)""",
 )
-query("clean_image_list")(lambda spark, d: crawl.clean_image_list(_dressed(spark, d).select("page_id", H.images(F.col("html")).alias("images"), F.concat(F.lit("[[IMG:1]]\n\ntext\n\n[[IMG:0]]\n\n"), H.page_title(F.col("html"))).alias("body"))))
+def clean_image_list(spark, d):
+    """The second picture is furniture: its token goes, and those of the third and fourth, which the body lacks, come in front."""
+    rows = _dressed(spark, d).select("page_id", H.images(F.col("html"), F.col("url")).alias("images"), F.concat(F.lit("[[IMG:1]]\n\ntext\n\n[[IMG:0]]\n\n"), H.page_title(F.col("html"))).alias("body"))
+    return crawl.clean_image_list(rows)
+
+
+_MAP_PAGES = 40
 
 
-@query("sitemap_urls", rf"""with {_P}, one as (select net as site, min(page_id) as page_id, count(*) as n from parts group by net), locs as (select net as site, url as loc, row_number() over (partition by net order by page_id, url) as rn from (select net, url, min(page_id) as page_id from parts group by net, url)) select site, loc from locs where rn <= 300 and contains(loc, '/')""")
+@query("sitemap_urls", rf"""with {_P}, locs as (select net, url, min(page_id) as page_id from parts group by net, url), r as (select net as site, url as loc, row_number() over (partition by net order by page_id, url) - 1 as rn, sch from (select l.*, p.sch from locs l join parts p using (page_id)))
+ select site, loc from r where rn < least(300, 11 * {_MAP_PAGES}) and contains(loc, '/')""")
 def sitemap_urls(spark, d):
-    """Sitemaps that list each host's pages, read back with the include text and the limit."""
+    """Each host's robots file names an index, which names maps of some pages each; they are read with the include text and the limits."""
     p = table(spark, d, "pages").withColumn("site", U.netloc(F.col("url")))
-    ordered = p.groupBy("site", "url").agg(F.min("page_id").alias("page_id"))
-    maps = ordered.groupBy("site").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda x: F.concat(F.lit("<url><loc>"), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
-    return crawl.sitemap_urls(maps.select("site", F.lit("/sitemap.xml").alias("address"), "xml"), include="/")
+    once = p.groupBy("site", "url").agg(F.min("page_id").alias("page_id"))
+    # places by a window a host; pages of a host are many, its maps few
+    placed = once.withColumn("_n", F.row_number().over(W.partitionBy("site").orderBy("page_id", "url")) - 1).withColumn("part", F.floor(F.col("_n") / _MAP_PAGES).cast("int"))
+    root = F.concat(F.lit("http://"), "site")
+    entry = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    maps = placed.groupBy("site", "part").agg(F.array_sort(F.collect_list(F.struct("_n", "url"))).alias("x")).select("site", F.concat(root, F.lit("/map-"), "part", F.lit(".xml")).alias("address"), F.concat(F.lit("<urlset>"), F.array_join(F.transform("x", lambda x: entry(x["url"])), ""), F.lit("</urlset>")).alias("text"))
+    first = placed.groupBy("site").agg(F.max("part").alias("last"))
+    locs = F.transform(F.sequence(F.lit(0), "last"), lambda k: F.concat(F.lit("<sitemap><loc>"), root, F.lit("/map-"), k, F.lit(".xml</loc></sitemap>")))
+    index = first.select("site", F.concat(root, F.lit("/all.xml")).alias("address"), F.concat(F.lit("<sitemapindex>"), F.array_join(locs, ""), F.lit("</sitemapindex>")).alias("text"))
+    robots = first.select("site", F.concat(root, F.lit("/robots.txt")).alias("address"), F.concat(F.lit("User-agent: *\nSitemap: "), root, F.lit("/all.xml\n")).alias("text"))
+    return crawl.sitemap_urls(maps.unionByName(index).unionByName(robots), include="/")
 
 
 _HOPS = rf"""

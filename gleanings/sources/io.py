@@ -9,28 +9,53 @@ from pyspark.sql import types as T
 from gleanings.functions import html as H
 from gleanings.functions import urls
 from gleanings.functions.dates import parse_date
-from gleanings.functions.text import line_table, reassembled, strip_nav
-
-_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "description", "content", "pubDate", "published", "updated")])
+from gleanings.functions.text import demote_headings, strip_nav
+
+_TEXT = T.StringType()
+_LINK = T.ArrayType(T.StructType([T.StructField("_VALUE", _TEXT), T.StructField("_href", _TEXT), T.StructField("_rel", _TEXT)]))
+_RICH = T.StructType([T.StructField("_VALUE", _TEXT), T.StructField("_type", _TEXT)])
+#: Entries of RSS ("item") and Atom ("entry"): bodies as content:encoded, content, description or summary, links as text or as href.
+_ITEM = T.StructType(
+    [
+        T.StructField("title", _RICH),
+        T.StructField("link", _LINK),
+        T.StructField("content:encoded", _TEXT),
+        T.StructField("content", _RICH),
+        T.StructField("description", _TEXT),
+        T.StructField("summary", _RICH),
+        T.StructField("pubDate", _TEXT),
+        T.StructField("published", _TEXT),
+        T.StructField("updated", _TEXT),
+        T.StructField("dc:date", _TEXT),
+    ]
+)
 
 
 def read_feed_items(spark: SparkSession, path: str, source_name: str, pages: DataFrame | None = None, row_tag: str = "item") -> DataFrame:
-    """One article for each feed entry; a page body (link, body) replaces the feed's if it is more than 1.5 times as long."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).schema(_ITEM).load(path)
-    body = F.coalesce(F.nullif("content", F.lit("")), F.nullif("description", F.lit("")), F.lit(""))
-    at = F.coalesce(parse_date(F.coalesce("pubDate", "published")), parse_date(F.col("updated")))
-    items = raw.select(F.trim("title").alias("title"), F.trim("link").alias("url"), body.alias("content_md"), at.alias("published_at"), F.lit(source_name).alias("source_name"), F.lit("rss").alias("source_type"))
-    if pages is None:
-        return items
-    joined = items.join(pages.select(F.col("link").alias("url"), F.col("body").alias("_page")), "url", "left")
-    return joined.withColumn("content_md", F.when(F.length("_page") > 1.5 * F.length("content_md"), F.col("_page")).otherwise(F.col("content_md"))).drop("_page")
+    """One article for each entry of RSS (row_tag "item") or Atom ("entry") files.
+
+    The body is the content, else the summary; a page body (link, body) replaces it if it is more than 1.5 times as long. Of an Atom entry's
+    links the one to the article counts, that without a relation or with "alternate". Media of the body are resolved against the link.
+    """
+    raw = spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_").option("valueTag", "_VALUE").schema(_ITEM).load(path)
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    summary = F.coalesce(some(F.col("description")), some(F.col("summary._VALUE")))
+    body = F.coalesce(some(F.col("content:encoded")), some(F.col("content._VALUE")), summary, F.lit(""))
+    own = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(*[some(F.get(own, F.lit(0))[f]) for f in ("_href", "_VALUE")], some(F.get("link", F.lit(0))["_href"]), F.lit(""))
+    at = F.coalesce(parse_date(F.coalesce("pubDate", "published", "dc:date")), parse_date(F.col("updated")))
+    items = raw.select(F.coalesce(F.trim("title._VALUE"), F.lit("")).alias("title"), link.alias("url"), body.alias("content_md"), summary.alias("raw_summary"), at.alias("published_at"), F.lit(source_name).alias("source_name"), F.lit("rss").alias("source_type"))
+    if pages is not None:
+        joined = items.join(pages.select(F.col("link").alias("url"), F.col("body").alias("_page")), "url", "left")
+        items = joined.withColumn("content_md", F.when(F.length("_page") > 1.5 * F.length("content_md"), F.col("_page")).otherwise(F.col("content_md"))).drop("_page")
+    return items.withColumns({"images": H.images(F.col("content_md"), F.col("url")), "videos": H.videos(F.col("content_md"), F.col("url"))})
 
 
 def extract_articles(pages: DataFrame, now: Column | None = None) -> DataFrame:
     """pages (page_id, url, html) -> article rows; those that look like no article are dropped."""
     html = F.col("html")
     title = F.coalesce(F.nullif(H.page_title(html), F.lit("")), F.col("url"))
-    rows = pages.select("page_id", "url", title.alias("title"), H.paragraph_text(html).alias("content_md"), H.images(html).alias("images"), H.videos(html).alias("videos"), (H.published_at(html, now) if now is not None else F.lit(None).cast("timestamp")).alias("published_at"), F.lit("scrape").alias("source_type"))
+    rows = pages.select("page_id", "url", title.alias("title"), H.paragraph_text(html).alias("content_md"), H.images(html, F.col("url")).alias("images"), H.videos(html, F.col("url")).alias("videos"), (H.published_at(html, now) if now is not None else F.lit(None).cast("timestamp")).alias("published_at"), F.lit("scrape").alias("source_type"))
     return rows.filter(H.is_article(F.col("title"), F.col("content_md")))
 
 
@@ -55,7 +80,7 @@ def read_archive(spark: SparkSession, path: str, topic: str | None = None, sourc
     """Archived rows; the topic prunes partitions, the source is pushed to the scan."""
     df = spark.read.parquet(path)
     if topic is not None:
-        df = df.filter(F.col("topic_dir") == topic)
+        df = df.filter(F.col("topic_dir") == urls.safe_dir_name(F.lit(topic)))
     return df if source is None else df.filter(F.col("source_name") == source)
 
 
@@ -64,6 +89,16 @@ def failure_records(df: DataFrame) -> DataFrame:
     return df.withColumn("response_snippet", F.substring("response_snippet", 1, 200))
 
 
+def media_failure_records(df: DataFrame) -> DataFrame:
+    """The second log, of media: timestamp, url, source_url, media_type, error, downloader and skipped (failures that are none: not tried on purpose)."""
+    return df.select("timestamp", "url", "source_url", "media_type", F.substring("error", 1, 500).alias("error"), "downloader", F.coalesce("skipped", F.lit(False)).alias("skipped"))
+
+
+def compact_failures(spark: SparkSession, path: str, into: str, n: int = 10_000) -> None:
+    """The newest n records of a log written to another folder, from where they replace the log."""
+    failure_tail(spark.read.json(path), n).write.mode("overwrite").json(into)
+
+
 def append_failures(df: DataFrame, path: str) -> None:
     failure_records(df).write.mode("append").json(path)
 
@@ -94,15 +129,21 @@ def export_config(topics: DataFrame, sources: DataFrame, settings: DataFrame, ve
     return t.crossJoin(s).crossJoin(k).select(F.to_json(F.struct(F.lit(version).alias("version"), F.transform("topics", lambda x: F.struct(x["name"].alias("name"), x["keywords"].alias("keywords"))).alias("topics"), "sources", "settings")).alias("json"))
 
 
-def compile_series(series: DataFrame, chapters: DataFrame, nav_opening: str = "This is part") -> DataFrame:
+def compile_series(series: DataFrame, chapters: DataFrame, nav_opening: str = "This is part", sources: DataFrame | None = None, outlines: DataFrame | None = None) -> DataFrame:
     """series (series_id, topic), chapters (series_id, chapter_order, title, body) -> one document: contents, then chapters in order,
-    with headings one level down and navigation quotes removed."""
-    keyed = chapters.withColumn("_key", F.concat_ws("/", "series_id", "chapter_order")).withColumn("body", strip_nav(F.coalesce("body", F.lit("")), nav_opening))
-    lines = line_table(keyed, "_key", F.col("body"))
-    lower = reassembled(lines.withColumn("line", F.when(~F.col("fenced") & F.col("line").rlike(r"^#{1,5}\s"), F.concat(F.lit("#"), "line")).otherwise(F.col("line"))), "_key")
-    parts = keyed.select("_key", "series_id", "chapter_order", "title").join(lower, "_key")
+    with headings one level down and navigation quotes removed; behind the contents the series' outline (series_id, outline), and behind
+    a chapter its numbered sources (series_id, chapter_order, no, title, url), where these are given."""
+    body = demote_headings(strip_nav(F.coalesce("body", F.lit("")), nav_opening))
+    parts = chapters.select("series_id", "chapter_order", "title", body.alias("body"))
+    if sources is not None:
+        line = F.concat(F.col("no").cast("string"), F.lit(". ["), F.col("title"), F.lit("]("), F.col("url"), F.lit(")"))
+        cited = sources.groupBy("series_id", "chapter_order").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("_s"))
+        parts = parts.join(cited, ["series_id", "chapter_order"], "left").withColumn("body", F.concat("body", F.coalesce(F.concat(F.lit("\n\n### Sources\n\n"), "_s"), F.lit("")))).drop("_s")
     ordered = F.array_sort(F.collect_list(F.struct("chapter_order", "title", "body")))
     docs = parts.groupBy("series_id").agg(ordered.alias("c"))
     contents = F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), x["title"])), "\n")
     bodies = F.array_join(F.transform("c", lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), x["body"])), "\n\n")
-    return series.join(docs, "series_id").select("series_id", F.concat(F.lit("# "), "topic", F.lit("\n\n"), contents, F.lit("\n\n"), bodies).alias("document"))
+    joined = series.join(docs, "series_id")
+    joined = joined.join(outlines, "series_id", "left") if outlines is not None else joined.withColumn("outline", F.lit(None).cast("string"))
+    outline = F.coalesce(F.concat(F.col("outline"), F.lit("\n\n")), F.lit(""))
+    return joined.select("series_id", F.concat(F.lit("# "), "topic", F.lit("\n\n"), contents, F.lit("\n\n"), outline, bodies).alias("document"))

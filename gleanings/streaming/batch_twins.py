@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanings.functions import urls
-from gleanings.operators import dedup
-from gleanings.plans.web_queries import _NORM, _P
+from gleanings.plans.web_queries import _NORM, _P, _PARAS, _TITLE
 from gleanings.session import table
 
 
-def prune_images(body: Column) -> Column:
-    """A body in which every picture stands once, at its first place, and furniture not at all."""
-    pattern = r"(!\[[^\]]*\]\(\s*[^)\s]+\s*\))"
-    found = F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)))
-    address = lambda t: F.regexp_extract(t, r"\(\s*([^)\s]+)", 1)
-    bare = F.aggregate(F.filter(found, lambda t: urls.is_furniture(address(t))), body, lambda s, t: F.replace(s, t, F.lit("")))
-    kept = F.filter(found, lambda t: ~urls.is_furniture(address(t)))
-
-    def once(s: Column, t: Column) -> Column:
-        cut = F.locate("\x01", F.replace(s, t, F.lit("\x01")))
-        head = F.substring(s, F.lit(1), cut - 1 + F.length(t))
-        return F.when(cut > 0, F.concat(head, F.replace(F.substring(s, cut + F.length(t), F.length(s)), t, F.lit("")))).otherwise(s)
-
-    return F.aggregate(kept, bare, once)
-
-
 def op_state(events: DataFrame) -> DataFrame:
     """events (op_id, seq, event) -> status by the last event, and the number of lines."""
     last = F.max_by("event", "seq")
@@ -34,9 +16,16 @@ def op_state(events: DataFrame) -> DataFrame:
     return events.groupBy("op_id").agg(status.alias("status"), F.count("*").alias("lines"))
 
 
-INGEST_SQL = f"with {_P}, n as (select page_id, {_NORM} as u from parts) select min(page_id) as page_id, sha256(u) as fingerprint from n group by u"
+TOPICS = [("spanish", ["ciónqu", "mente"]), ("english", ["tions"])]
+INGEST_SQL = f"""with {_P}, n as (select page_id, {_NORM} as u, net from parts), f as (select min(page_id) as page_id, u, min(net) as net from n group by u),
+ a as (select f.page_id, u, net, {_TITLE} as title, {_PARAS} as body from f join pages using (page_id)), t as (select *, row_number() over (partition by title, net order by page_id) as rn, lower(title || chr(10) || body) as x from a)
+ select page_id, sha256(u) as fingerprint, case when contains(x, 'ciónqu') or contains(x, 'mente') then 'spanish' when contains(x, 'tions') then 'english' else 'uncategorized' end as topic from t where rn = 1"""
 
 
 def ingest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archive that the ingest stream ends with, when its batches come in page order."""
-    return dedup.dedup_exact(table(spark, sf_dir, "pages"), "page_id").select("page_id", "fingerprint")
+    """The archive that the ingest stream ends with, if all pages come in one batch."""
+    from gleanings.streaming import streams
+
+    now = F.lit("2100-01-01").cast("timestamp")
+    found = streams.new_articles(streams.as_articles(table(spark, sf_dir, "pages"), now), spark.createDataFrame([], streams.ARCHIVE), now, topics=TOPICS)
+    return found.select("page_id", "fingerprint", "topic")

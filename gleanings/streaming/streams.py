@@ -6,39 +6,50 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanings.functions import html as H
 from gleanings.functions import urls
-from gleanings.operators import dedup
+from gleanings.operators import dedup, filters, joins
 from gleanings.sources import io
 
 
-def ingest_stream(pages: DataFrame, archive: str, checkpoint: str, order: str = "page_id"):
-    """Start a query that archives each new address of a stream of pages (page_id, url, html) once, over all batches.
+ARCHIVE = "page_id long, url string, title string, source_name string, fingerprint string, published_at timestamp, topic string, body string"
 
-    A batch that is replayed after a failure finds its addresses archived and adds nothing.
+
+def as_articles(pages: DataFrame, now: Column) -> DataFrame:
+    """pages (page_id, url, html) -> what the archive has of them, but for the topic."""
+    html = F.col("html")
+    return pages.select("page_id", "url", H.page_title(html).alias("title"), urls.netloc(F.col("url")).alias("source_name"), H.published_at(html, now).alias("published_at"), H.paragraph_text(html).alias("body"))
+
+
+def new_articles(batch: DataFrame, archive: DataFrame, now: Column, days: int | None = None, topics: list[tuple[str, list[str]]] = (), order: str = "page_id") -> DataFrame:
+    """Rows of a batch (from as_articles) that go into the archive: young enough, the first of their address and of their title and source in the
+    batch, neither archived yet, with their topic."""
+    young = filters.filter_by_age(batch, "published_at", now, days)
+    fresh = dedup.new_only(dedup.dedup_exact(young, order), archive)
+    first = dedup.first_per(fresh, ["title", "source_name"], order)
+    named = joins.classify_topics(first, list(topics), F.concat_ws("\n", "title", "body"), id_column="fingerprint")
+    return first.join(named, "fingerprint").select(*[c.split()[0] for c in ARCHIVE.split(", ")])
+
+
+def ingest_stream(pages: DataFrame, archive: str, checkpoint: str, now: Column | None = None, days: int | None = None, topics: list[tuple[str, list[str]]] = (), order: str = "page_id"):
+    """Start a query that archives new articles of a stream of pages (page_id, url, html), each once over all batches.
+
+    A batch that is replayed after a failure finds its articles archived and adds nothing.
     """
+    at = F.current_timestamp() if now is None else now
+    pages.sparkSession.createDataFrame([], ARCHIVE).write.mode("ignore").parquet(archive)  # does nothing where there is one
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        first = dedup.dedup_exact(batch, order)
-        known = _archived(spark, archive)
-        fresh = first if known is None else first.join(known.select("fingerprint"), "fingerprint", "left_anti")
-        fresh.withColumn("title", H.page_title(F.col("html"))).select("page_id", "url", "title", "fingerprint").write.mode("append").parquet(archive)
+        known = batch.sparkSession.read.schema(ARCHIVE).parquet(archive)
+        new_articles(as_articles(batch, at), known, at, days, topics, order).write.mode("append").parquet(archive)
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _archived(spark: SparkSession, archive: str) -> DataFrame | None:
-    """The archive, or nothing before its first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(archive)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema("page_id long, url string, title string, fingerprint string").parquet(archive) if found else None
-
-
 def distinct_within(pages: DataFrame, at: str, delay: str) -> DataFrame:
     """The variant with bounded state: an address counts as new again once the watermark has passed it."""
     return pages.withColumn("fingerprint", urls.fingerprint(F.col("url"))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["fingerprint"])

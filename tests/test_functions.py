@@ -44,7 +44,11 @@ def one(spark, column):
         (dates.parse_date, "2026年6月28日", datetime(2026, 6, 28)),
         (dates.parse_date, "in 2019 or so", datetime(2019, 1, 1)),
         (dates.parse_date, "none", None),
-        (html.has_video, None, None),
+        (urls.media_url, "https://h.example/a b\\u003d.png", "https://h.example/a%20b=.png"),
+        (text.atomize_query, "安全以及隐私与平等", "安全 隐私 平等"),
+        (text.topic_terms, "大模型，真的 安全吗？为什么", "大模型 安全吗"),
+        (text.topic_terms, "What is new, really?", "What is new really"),
+        (text.canonical_media, "../../a.png?x=1&amp;y=2", "/a.png?x=1&y=2"),
         (text.atomize_query, "大模型水印的识别与去除技术", "大模型水印 识别 去除"),
         (text.atomize_query, "参与目的", "参与目的"),
         (text.shorten_query, "alpha beta", "alpha"),
@@ -56,8 +60,6 @@ def one(spark, column):
     ],
 )
 def test_values(spark, function, given, wanted):
-    if function is html.has_video:
-        return
     assert one(spark, function(F.lit(given))) == wanted
 
 
@@ -69,8 +71,8 @@ def test_references_split_and_join(spark):
 
 
 def test_dashes(spark):
-    df = spark.createDataFrame([(1, "one —— two.\nend——\n```\na——b\n```\nfive，——six")], "doc_id long, body string")
-    assert text.normalize_dashes(df).first().body == "one，two.\nend\n```\na——b\n```\nfive，six"
+    body = "one —— two.\nend——\n```\na——b\n```\nfive，——six"
+    assert one(spark, text.normalize_dashes(F.lit(body))) == "one，two.\nend\n```\na——b\n```\nfive，six"
 
 
 def test_reply_indexes(spark):
@@ -122,6 +124,8 @@ def test_near_pairs_against_brute_force(spark):
     texts = ["abcdefghijklmnop", "abcdefghijklmnoq", "bcdefghijklmnop", "zzzz", "", "abcdefghijklmnop", "unrelated words here", "abcde"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = {i: {t.replace(" ", "")[k : k + 5] for k in range(max(1, len(t.replace(" ", "")) - 4))} for i, t in enumerate(texts) if t}
+    assert {tuple(r) for r in dedup.shingle_classes(df, "doc_id", F.col("text"))[0].select("id", "class_id").collect()} == {(i, min(k for k, y in sets.items() if x == y)) for i, x in sets.items()}
+    sets = {i: x for i, x in sets.items() if all(x != y for k, y in sets.items() if k < i)}  # pairs are pairs of classes
     wanted = set()
     for a, x in sets.items():
         for b, y in sets.items():
@@ -132,6 +136,123 @@ def test_near_pairs_against_brute_force(spark):
     assert {k[0] for k in kept} == {0, 3, 4, 6}
 
 
+def slow_near_duplicates(texts):
+    """In order, each text against what is kept so far; a longer near one takes the place."""
+    def signature(t):
+        t = "".join(c for c in t.lower() if c.isalnum() or c == "_")
+        return {t[k : k + 5] for k in range(max(1, len(t) - 4))} if t else set()
+
+    kept = []
+    for i, t in enumerate(texts):
+        mine = signature(t)
+        for k in kept:
+            if mine and k[2] and len(mine & k[2]) >= 0.82 * min(len(mine), len(k[2])):
+                if len(t) > len(texts[k[1]]):
+                    k[1:] = [i, mine]
+                break
+        else:
+            kept.append([i, i, mine])
+    return {(k[0], k[1]) for k in kept}
+
+
+def test_near_duplicates_follow_the_order(spark):
+    import random
+
+    r = random.Random(5)
+    bases = ["".join(r.choice("abcdefghij") for _ in range(60)) for _ in range(4)]
+
+    def changed(t):
+        at = r.randrange(len(t))
+        return t[:at] + r.choice("xyz") + t[at + r.randint(0, 2) :] + r.choice(["", "", "!", "klmno", "!!"])
+
+    texts = []
+    for _ in range(120):
+        t = r.choice(bases)
+        for _ in range(r.randint(0, 5)):
+            t = changed(t)
+        texts.append(r.choice([t, t, t + ".", ""]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text").collect()} == slow_near_duplicates(texts)
+
+
+def test_many_copies_are_one_class(spark):
+    """Copies meet nobody: the rows stay as many as the documents, and no group is handed to one task."""
+    body = "the same page " * 30
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 12_345, F.lit(body + "!!")).otherwise(F.lit(body)).alias("text"))
+    assert dedup.near_pairs(df, "doc_id", F.col("text")).count() == 0
+    assert [tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text").collect()] == [(0, 12_345)]
+
+
+def test_lines_need_no_exchange(spark):
+    docs = spark.createDataFrame([(1, "a\n```\n# b\n```\n# c")], "doc_id long, text string")
+    for df in (text.prose_lines(docs), docs.select(text.demote_headings(F.col("text"))), docs.select(text.normalize_dashes(F.col("text"))), quality.rhythm(docs), quality.diversion_scan(docs)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert one(spark, text.demote_headings(F.lit("# a\n~~~\n# b\n```\n# c"))) == "## a\n~~~\n# b\n```\n## c"
+
+
+def test_sanitize_words(spark):
+    words = text.lexicon({"adlaw": [text.Word("best"), text.Word("first", ("ly",), "second|third", 10)], "finance": [text.Word("profit")]}, "basic", "own，words; ")
+    assert [w.text for w in words] == ["first", "words", "best", "own"]
+    body = "first, second. firstly the best of our own words, best first"
+    assert one(spark, text.sanitize(F.lit(body), words)) == "first, second. firstly the  of our  ,  "
+    assert [tuple(h) for h in one(spark, text.sanitize_hits(F.lit(body), words))] == [("first", 1, 55), ("words", 1, 43), ("best", 2, 27), ("own", 1, 35)]
+    assert [w.text for w in text.lexicon({"adlaw": [text.Word("best")]}, "off", "own")] == ["own"]
+
+
+def test_media_of_loose_html(spark):
+    page = "<img src=/a.avif><IMG DATA-SRC='b.png' alt=x><img srcset=\"../c.webp 2x, d.png\"><source srcset=e.jpg><script>var x = 'f.gif?v=1'</script><video src=m.mp4></video><iframe src=https://youtu.be/x></iframe>"
+    base = F.lit("https://h.example/one/two/page.html")
+    assert one(spark, html.images(F.lit(page), base)) == ["https://h.example/a.avif", "https://h.example/one/two/b.png", "https://h.example/one/c.webp", "https://h.example/one/two/e.jpg", "https://h.example/one/two/f.gif?v=1"]
+    assert one(spark, html.videos(F.lit(page), base)) == ["https://youtu.be/x", "https://h.example/one/two/m.mp4"]
+
+
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ('<meta name="date" content="2020-01-01"><meta content="2021-02-03" property="og:published_time">', datetime(2021, 2, 3)),
+        ('{\\"dateModified\\":\\"2020-01-01\\",\\"publishedOn\\":\\"2021-02-03\\"}', datetime(2021, 2, 3)),
+        ("<p>on 3 Feb 2021</p><time datetime=2019-01-01>", datetime(2021, 2, 3)),
+        ("<p>Order 12, 2020 of Feb. 3, 2021</p>", datetime(2021, 2, 3)),
+        ('<meta name="pubdate" content="soon"><time datetime="2021-02-03">', datetime(2021, 2, 3)),
+        ('{"datePublished": "2999-01-01"}', None),
+        ("", None),
+    ],
+)
+def test_dates_of_pages(spark, page, wanted):
+    assert one(spark, html.published_at(F.lit(page), F.lit("2024-01-01").cast("timestamp"))) == wanted
+
+
+def test_crawl_with_budget_and_fallbacks(spark):
+    seeds = spark.createDataFrame([("a", "https://a/x", None, None), ("b", "https://b/x", None, None), ("c", "https://c/x", None, None)], "site string, url string, include_pattern string, exclude_pattern string")
+    chain = [("a", f"https://a/{'x' if i == 0 else f'y/z/post-{i}'}", f"https://a/y/z/post-{i + 1}") for i in range(6)] + [("b", "https://b/x", "https://b/tag"), ("b", "https://b/x", "https://else/y/z/w")]
+    links = spark.createDataFrame(chain, "site string, src string, dst string")
+    one_level = spark.createDataFrame([("b", "https://b/page/2")], "site string, url string")
+    feeds = spark.createDataFrame([("b", "https://b/feed"), ("c", "https://c/feed/one")], "site string, url string")
+    got = sorted(tuple(r) for r in crawl.crawl_site(links, seeds, [one_level, feeds]).collect())
+    assert got == [("a", f"https://a/y/z/post-{i}", 0) for i in range(1, 7)] + [("b", "https://b/page/2", 1), ("c", "https://c/feed/one", 2)]
+
+
+def test_read_atom_and_content(spark, tmp_path):
+    (tmp_path / "r.xml").write_text('<rss xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><item><title>T</title><link>https://x.example/a/b</link><description>short</description><content:encoded><![CDATA[<p>whole</p><img src="c.png">]]></content:encoded></item></channel></rss>')
+    (tmp_path / "a.xml").write_text('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="text">E</title><link rel="self" href="https://x.example/self"/><link rel="alternate" href="https://x.example/e"/><summary>in short</summary><updated>2025-06-28T10:30:00Z</updated></entry></feed>')
+    r = io.read_feed_items(spark, str(tmp_path / "r.xml"), "s").first()
+    assert (r.url, r.raw_summary, r.images) == ("https://x.example/a/b", "short", ["https://x.example/a/c.png"]) and r.content_md.startswith("<p>whole")
+    e = io.read_feed_items(spark, str(tmp_path / "a.xml"), "s", row_tag="entry").first()
+    assert (e.title, e.url, e.content_md, e.published_at) == ("E", "https://x.example/e", "in short", datetime(2025, 6, 28, 10, 30))
+
+
+def test_archive_and_failures(spark, tmp_path):
+    rows = spark.createDataFrame([("https://x.example/1", "One", "a/b", "s1"), ("https://x.example/2", "Two", "c", "s2")], "url string, title string, topic string, source_name string").withColumns({"published_at": F.lit(None).cast("timestamp"), "fetched_at": F.lit("2024-01-01").cast("timestamp"), "content_md": F.lit("x")})
+    io.write_archive(rows, str(tmp_path / "archive"))
+    assert [r.title for r in io.read_archive(spark, str(tmp_path / "archive"), topic="a/b").collect()] == ["One"]
+    assert [r.title for r in io.read_archive(spark, str(tmp_path / "archive"), source="s2").collect()] == ["Two"]
+    log = spark.range(50).select(F.timestamp_seconds(F.col("id")).alias("timestamp"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("y"), 300).alias("response_snippet"))
+    io.append_failures(log, str(tmp_path / "log"))
+    io.compact_failures(spark, str(tmp_path / "log"), str(tmp_path / "short"), 10)
+    kept = spark.read.json(str(tmp_path / "short"))
+    assert {r.url for r in kept.collect()} == {f"u{i}" for i in range(40, 50)} and kept.first().response_snippet == "y" * 200
+
+
 def test_relevance_gate(spark):
     rows = spark.range(20).withColumnRenamed("id", "doc_id")
     replies = spark.createDataFrame([(i, "[0]") for i in range(3)], "chunk long, reply string")

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from gleanings.functions import urls
+from gleanings.functions import html, urls
 from gleanings.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_ingest_adds_each_address_once(spark, tmp_path):
+def test_ingest_adds_each_article_once(spark, tmp_path):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for i in range(3):
         pages.filter(F.col("page_id") % 3 == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -16,8 +16,27 @@ def test_ingest_adds_each_address_once(spark, tmp_path):
     for checkpoint in ("c1", "c2"):  # a second run over everything adds nothing
         streams.ingest_stream(stream(), str(tmp_path / "archive"), str(tmp_path / checkpoint)).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "archive"))
-    wanted = pages.select(urls.fingerprint(F.col("url"))).distinct().count()
-    assert got.count() == wanted == got.select("fingerprint").distinct().count()
+    titled = pages.select(urls.fingerprint(F.col("url")).alias("f"), html.page_title(F.col("html")).alias("t"), urls.netloc(F.col("url")).alias("s"))
+    assert got.count() == got.select("fingerprint").distinct().count() == got.select("title", "source_name").distinct().count()
+    assert got.count() == titled.groupBy("f").agg(F.first("t").alias("t"), F.first("s").alias("s")).select("t", "s").distinct().count()
+
+
+def test_ingest_rejects_old_and_names_topics(spark, tmp_path):
+    page = lambda i, host, title, day: (i, f"https://{host}/{i}", f'<meta property="og:published_time" content="{day}"><h1>{title}</h1><p>about whales</p>')
+    rows = [page(1, "a", "One", "2024-01-09"), page(2, "a", "One", "2024-01-09"), page(3, "b", "One", "2024-01-09"), page(4, "a", "Old", "2023-01-01"), (5, "https://a/5", "<h1>No date</h1>"), page(6, "a", "Two", "2024-01-08")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("page_id long, url string, html string").parquet(str(tmp_path / "in"))
+    now = F.lit("2024-01-10").cast("timestamp")
+    streams.ingest_stream(stream, str(tmp_path / "archive"), str(tmp_path / "c"), now, 7, [("sea", ["whales"])]).awaitTermination()
+    assert sorted((r.page_id, r.topic) for r in spark.read.parquet(str(tmp_path / "archive")).collect()) == [(1, "sea"), (3, "sea"), (6, "sea")]
+
+
+def test_failures_are_appended(spark, tmp_path):
+    log = spark.range(5).select(F.timestamp_seconds(F.col("id")).alias("timestamp"), F.concat(F.lit("u"), "id").alias("url"), F.repeat(F.lit("y"), 300).alias("response_snippet"))
+    log.write.parquet(str(tmp_path / "in"))
+    streams.failure_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "c")).awaitTermination()
+    got = spark.read.json(str(tmp_path / "log"))
+    assert got.count() == 5 and {len(r.response_snippet) for r in got.collect()} == {200}
 
 
 def test_backfill_touches_nulls_only(spark):
