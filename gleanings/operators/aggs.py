@@ -40,9 +40,9 @@ def source_stats(articles: DataFrame, today: Column) -> DataFrame:
     return articles.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.to_date("at") >= today).alias("recent"))
 
 
-def hotness(stats: DataFrame, scores: DataFrame | None = None, web_hits: DataFrame | None = None, absent: float = 30.0) -> DataFrame:
-    """stats (name, total) -> name, total, score: an outside score (``absent`` where it has none) or twice the total up to 50, plus 3 a web hit up to 15 hits."""
-    rows = stats
+def hotness(stats: DataFrame, scores: DataFrame | None = None, web_hits: DataFrame | None = None, absent: float = 30.0, names: DataFrame | None = None) -> DataFrame:
+    """stats (name, total), of all names or of those that a configuration lists -> name, total, score: an outside score (``absent`` where it has none) or twice the total up to 50, plus 3 a web hit up to 15 hits."""
+    rows = stats if names is None else names.select("name").distinct().join(stats, "name", "left").withColumn("total", F.coalesce("total", F.lit(0)))
     if scores is not None:
         rows = rows.join(scores.select("name", F.col("score").alias("_s")), "name", "left")
         base = F.when(F.col("_s").isNull(), F.lit(absent)).otherwise(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(100.0)))
@@ -54,6 +54,11 @@ def hotness(stats: DataFrame, scores: DataFrame | None = None, web_hits: DataFra
     return rows.select("name", "total", F.least(base, F.lit(100.0)).alias("score"))
 
 
+def by_hotness(rows: DataFrame) -> DataFrame:
+    """hotness() in order: score, then total, then name."""
+    return rows.orderBy(F.col("score").desc(), F.col("total").desc(), "name")
+
+
 def archive_by_day(articles: DataFrame, at: str, source: str, id_column: str, most: int = 500) -> DataFrame:
     """day, n and items: the first articles of the day by source, then id, ``most`` at most (a page; n counts all)."""
     day, name = F.to_date(at), F.coalesce(F.col(source), F.lit(""))

@@ -84,18 +84,16 @@ def crawl_site(links: DataFrame, seeds: DataFrame, fallbacks: list[DataFrame] =
     """
     budget = max(10 * max_pages, 30)
     cap = max(50 * budget, 2000)
-    read = written(seeds.select("site", "url", F.lit(0).alias("level")))
-    known, last, n = read, read, 0
-    while levels is None or n < levels:
-        n += 1
+    known = last = written(seeds.select("site", "url", F.lit(True).alias("read")))
+    level = 0
+    while levels is None or level < levels:
+        level += 1
         found = last.join(links.select("site", F.col("src").alias("url"), "dst"), ["site", "url"]).select("site", F.col("dst").alias("url")).distinct()
-        fresh = found.join(known, ["site", "url"], "left_anti")
-        held = known.groupBy("site").agg(F.count("*").alias("_held"), F.count_if("read").alias("_read")) if "read" in known.columns else known.groupBy("site").agg(F.count("*").alias("_held"), F.count("*").alias("_read"))
-        rn = F.row_number().over(W.partitionBy("site").orderBy("url"))
-        numbered = fresh.withColumn("_rn", rn).join(held, "site").filter(F.col("_rn") + F.col("_held") <= cap)
-        fresh = written(numbered.select("site", "url", F.lit(n).alias("level"), (F.col("_rn") + F.col("_read") <= budget).alias("read")))
-        known = (known if "read" in known.columns else known.withColumn("read", F.lit(True))).unionByName(fresh)
-        last = fresh.filter("read")
+        fresh = found.join(known.select("site", "url"), ["site", "url"], "left_anti")
+        held = known.groupBy("site").agg(F.count("*").alias("_held"), F.count_if("read").alias("_read"))
+        numbered = fresh.withColumn("_n", F.row_number().over(W.partitionBy("site").orderBy("url"))).join(held, "site").filter(F.col("_n") + F.col("_held") <= cap)
+        fresh = written(numbered.select("site", "url", (F.col("_n") + F.col("_read") <= budget).alias("read")))
+        known, last = known.unionByName(fresh), fresh.filter("read")
         if last.limit(1).count() == 0:
             break
     rules = seeds.select("site", F.col("url").alias("seed"), urls.netloc(F.col("url")).alias("base_host"), "include_pattern", "exclude_pattern")

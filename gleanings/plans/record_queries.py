@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanings.functions import text as T
@@ -394,6 +395,16 @@ def hotness(spark, d):
     return aggs.hotness(t, scores, t.select("name", (F.col("total") % 20).alias("hits")))
 
 
+@query("hotness_unscored", "with t as (select source as name, count(*) as total from documents group by 1), n as (select distinct source as name from documents where source <> 'src1' union select 'no such source'), j as (select name, coalesce(total, 0) as total from n left join t using (name)) select name, total, cast(least(total * 2.0, 50.0) as double) as score, row_number() over (order by least(total * 2.0, 50.0) desc, total desc, name) as place from j")
+def hotness_unscored(spark, d):
+    """Names of a configuration, one of them without any document, without outside scores, in order."""
+    docs = table(spark, d, "documents")
+    names = docs.filter("source <> 'src1'").select(F.col("source").alias("name")).unionByName(docs.limit(1).select(F.lit("no such source").alias("name")))
+    found = aggs.by_hotness(aggs.hotness(docs.groupBy(F.col("source").alias("name")).agg(F.count("*").alias("total")), names=names))
+    # a handful of sources
+    return found.withColumn("place", F.row_number().over(W.orderBy(F.col("score").desc(), F.col("total").desc(), "name")).cast("bigint"))
+
+
 @query("archive_by_day", "select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n, string_agg(o_clerk || ':' || o_orderkey, ',' order by o_clerk, o_orderkey) as items from orders group by 1".replace("o_clerk", "o_orderpriority"))
 def archive_by_day(spark, d):
     found = aggs.archive_by_day(table(spark, d, "orders"), "o_orderdate", "o_orderpriority", "o_orderkey")

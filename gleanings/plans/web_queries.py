@@ -310,6 +310,33 @@ def crawl_frontier(spark, d):
     return crawl.frontier(edges, nodes.groupBy("site").agg(F.min("u").alias("url")), levels=2)
 
 
+_SITE = rf"regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1)"
+
+
+@query(
+    "crawl_site",
+    rf"""with recursive {_LINKS.strip()},
+ nodes as (select {_SITE} as site, regexp_replace(split_part(url, '#', 1), '/+$', '') as u, page_id from pages), firsts as (select site, min(u) as seed, min(page_id) as p from nodes group by site),
+ edges as (select distinct n.u as src, n.site, split_part(l.link, '#', 1) as dst from links l join nodes n on n.page_id = l.page_id join firsts f on f.site = n.site where f.p % 2 = 0 and regexp_extract(l.link, '^(?:{_S}:)?//([^/?#]*)', 1) = n.site),
+ walk(site, u) as (select site, seed from firsts union select e.site, e.dst from walk w join edges e on e.src = w.u and e.site = w.site),
+ known as (select distinct w.site, regexp_replace(w.u, '/+$', '') as link, seed from walk w join firsts using (site)), k as (select *, {_parts('link')} from known), g as (select *, {_SEGS} from k),
+ way0 as (select site, link as url from g where net = site and link <> seed and {_TIER} = 'article'),
+ more1 as (select site, 'https://' || site || '/page/2' as url from firsts where p % 3 = 0), way1 as (select * from more1 where site not in (select site from way0)),
+ way2 as (select site, 'https://' || site || '/feed/one' as url from firsts where site not in (select site from way0) and site not in (select site from way1))
+ select site, url, 0 as way from way0 union all select site, url, 1 from way1 union all select site, url, 2 from way2""",
+)
+def crawl_site(spark, d):
+    """Article addresses of every host from its first page on; hosts whose links are left out take further pages, or else their feed."""
+    pages = table(spark, d, "pages").withColumn("site", U.netloc(F.col("url")))
+    nodes = pages.select("page_id", "site", F.regexp_replace(F.substring_index("url", "#", 1), "/+$", "").alias("u"))
+    firsts = nodes.groupBy("site").agg(F.min("u").alias("url"), F.min("page_id").alias("p"))
+    edges = H.links(pages.select("page_id", "url", "html")).join(nodes, "page_id").join(firsts.filter("p % 2 = 0").select("site"), "site").filter(U.netloc(F.col("link")) == F.col("site")).select("site", F.col("u").alias("src"), F.substring_index("link", "#", 1).alias("dst")).distinct()
+    seeds = firsts.select("site", "url", F.lit(None).cast("string").alias("include_pattern"), F.lit(None).cast("string").alias("exclude_pattern"))
+    further = firsts.filter("p % 3 = 0").select("site", F.concat(F.lit("https://"), "site", F.lit("/page/2")).alias("url"))
+    feeds = firsts.select("site", F.concat(F.lit("https://"), "site", F.lit("/feed/one")).alias("url"))
+    return crawl.crawl_site(edges, seeds, [further, feeds], max_pages=1000)
+
+
 _REASON = (
     "case when regexp_matches(m, '403|forbidden') then '403 forbidden' when regexp_matches(m, '404|not found') then '404 not found' when regexp_matches(m, '429|too many requests') then '429 rate limited' when regexp_matches(m, 'getaddrinfo|nameresolution|failed to resolve|name or service not known') then 'dns' "
     "when regexp_matches(m, 'redirect') then 'redirects' when regexp_matches(m, 'timed out|timeout') then 'timeout' when regexp_matches(m, 'forcibly closed|connection reset|10054|closed connection|incompleteread|connection broken|connection aborted') then 'reset' when regexp_matches(m, 'ssl|certificate') then 'tls' "
