@@ -388,6 +388,13 @@ def topic_source_stats(spark, d):
     return aggs.topic_stats(dated, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("article_id")), F.col("day"))
 
 
+@query("source_stats", "with mid as (select cast(min(ts) as date) + 3 as day from events) select event_type as source, count(*) as total, count(*) filter (where cast(ts as date) >= day) as recent from events, mid group by 1")
+def source_stats(spark, d):
+    e = table(spark, d, "events")
+    day = e.agg(F.date_add(F.min("ts").cast("date"), 3).alias("day"))  # one row
+    return aggs.source_stats(e.select(F.col("event_type").alias("source"), F.col("ts").alias("at")).join(F.broadcast(day), F.col("day").isNotNull()), F.col("day"))
+
+
 @query("hotness", "with t as (select source as name, count(*) as total, avg(length(text)) as l from documents group by 1) select name, total, least(100, case when name <> 'src3' then least(greatest(cast(length(name) * 20 as double), 0), 100) else 30 end + 3 * least(total % 20, 15)) as score from t")
 def hotness(spark, d):
     t = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("total"))

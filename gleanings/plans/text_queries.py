@@ -437,7 +437,7 @@ def prune_images(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.prune_images(body, listed)).alias("body_md5"))
 
 
-query("op_state", "with e as (select user_id as op_id, event_id, ts, event_type from events), a as (select op_id, max(event_id) as last_id, arg_max(event_type, event_id) as last_event, count(*) as n from e group by 1) select op_id, case last_event when 'purchase' then 'done' when 'error' then 'error' else 'running' end as status, n as lines from a")(
-    lambda spark, d: batch_twins.op_state(table(spark, d, "events").select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), F.expr("case event_type when 'purchase' then 'finish' when 'error' then 'fail' else 'log' end").alias("event"))).select("op_id", "status", "lines")
+query("op_state", "with e as (select user_id as op_id, event_id, ts, event_type, props from events), a as (select op_id, max(event_id) as last_id, arg_max(event_type, event_id) as last_event, count(*) as n, arg_max(props, event_id) as stats from e group by 1) select op_id, case last_event when 'purchase' then 'done' when 'error' then 'error' else 'running' end as status, n as lines, stats from a")(
+    lambda spark, d: batch_twins.op_state(table(spark, d, "events").select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), F.expr("case event_type when 'purchase' then 'finish' when 'error' then 'fail' else 'log' end").alias("event"), F.col("props").alias("stats"))).select("op_id", "status", "lines", "stats")
 )
 query("ingest", batch_twins.INGEST_SQL)(lambda spark, d: batch_twins.ingest_all(spark, d))

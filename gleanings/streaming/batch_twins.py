@@ -10,10 +10,10 @@ from gleanings.session import table
 
 
 def op_state(events: DataFrame) -> DataFrame:
-    """events (op_id, seq, event) -> status by the last event, and the number of lines."""
+    """events (op_id, seq, event, stats) -> status by the last event, the number of lines and the latest stats."""
     last = F.max_by("event", "seq")
     status = F.when(last == "finish", "done").when(last == "fail", "error").when(last == "cancel", "cancelled").otherwise("running")
-    return events.groupBy("op_id").agg(status.alias("status"), F.count("*").alias("lines"))
+    return events.groupBy("op_id").agg(status.alias("status"), F.count("*").alias("lines"), F.max_by("stats", F.when(F.col("stats").isNotNull(), F.col("seq"))).alias("stats"))
 
 
 TOPICS = [("spanish", ["ciónqu", "mente"]), ("english", ["tions"])]

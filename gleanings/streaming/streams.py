@@ -55,15 +55,16 @@ def distinct_within(pages: DataFrame, at: str, delay: str) -> DataFrame:
     return pages.withColumn("fingerprint", urls.fingerprint(F.col("url"))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-_STATE = "status string, seq long, lines array<string>, error string"
-_OUT = "op_id long, status string, seq long, n_lines int, last_line string, error string"
+_STATE = "status string, seq long, lines array<string>, error string, stats string"
+_OUT = "op_id long, status string, seq long, n_lines int, last_line string, error string, stats string"
 
 
 def op_state_stream(events: DataFrame, most_lines: int = 500, stale_seconds: int = 3600) -> DataFrame:
-    """events (op_id, seq, event, line) folded for each operation: status, last lines and error; one that stays silent ends in error."""
+    """events (op_id, seq, event, line and maybe stats, a JSON text) folded for each operation: status, last lines, error and the latest stats; one
+    that stays silent while it runs ends in error."""
 
     def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, seq, lines, error = state.get if state.exists else ("running", -1, [], None)
+        status, seq, lines, error, stats = state.get if state.exists else ("running", -1, [], None, None)
         lines = list(lines)
         if state.hasTimedOut:
             status, error = "error", "stale"
@@ -76,11 +77,12 @@ def op_state_stream(events: DataFrame, most_lines: int = 500, stale_seconds: int
                 error = r.line if r.event == "fail" else error
                 if r.line is not None:
                     lines.append(r.line)
+                stats = getattr(r, "stats", None) or stats
             lines = lines[-most_lines:]
-            state.update((status, seq, lines, error))
+            state.update((status, seq, lines, error, stats))
             if status == "running":
                 state.setTimeoutDuration(stale_seconds * 1000)
-        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "seq": [seq], "n_lines": [len(lines)], "last_line": [lines[-1] if lines else None], "error": [error]})
+        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "seq": [seq], "n_lines": [len(lines)], "last_line": [lines[-1] if lines else None], "error": [error], "stats": [stats]})
 
     return events.groupBy("op_id").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 

@@ -53,3 +53,22 @@ def test_op_states(spark, tmp_path):
     assert q.awaitTermination(60)
     got = {r.op_id: (r.status, r.n_lines, r.error) for r in spark.table("op_states").collect()}
     assert got == {1: ("done", 2, None), 2: ("error", 2, "bad")}
+
+
+def test_silent_operations_end_in_error(spark, tmp_path):
+    import time
+
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    rows = spark.createDataFrame([(1, 1, "start", "a", '{"n": 1}'), (1, 2, "log", None, '{"n": 2}'), (2, 3, "finish", "b", None)], "op_id long, seq long, event string, line string, stats string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    states = streams.op_state_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), stale_seconds=1)
+    q = states.writeStream.format("memory").queryName("silent_ops").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            got = {(r.op_id, r.status, r.error, r.stats) for r in spark.table("silent_ops").collect()}
+            if any(status == "error" for _, status, _, _ in got):
+                break
+    finally:
+        q.stop()
+    assert got == {(1, "running", None, '{"n": 2}'), (1, "error", "stale", '{"n": 2}'), (2, "done", None, None)}
