@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than the six ASCII white-space characters (also the split of Python's bytes.split()).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,21 +43,33 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tells rows apart within a stage, where ids are null or repeated.
-ROW = "_stage_row"
+#: Tell rows apart where ids are null or repeated: the id, and 128 bits of the text. They follow from the row alone, so nothing has to be
+#: written out for them, and rows that agree in all three hold the same document.
+KEYS = ["_key_id", "_key_1", "_key_2"]
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, written out so that the numbers stay the same whenever they are read."""
-    return staged(docs.withColumn(ROW, F.monotonically_increasing_id()))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs and KEYS, none of which is null."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.withColumns({"_key_id": F.coalesce(doc_id, F.lit(0).cast("long")), "_key_1": F.xxhash64(doc_id.isNull(), "text"), "_key_2": F.xxhash64(F.lit("again"), "text")})
 
 
-def first_of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Of rows (from with_row) one for each group of groups (ROW, group): that with the smallest doc_id, null last. All columns but ROW."""
-    ids = rows.select(F.col(ROW).alias("_r"), F.col("doc_id").cast("long").alias("_d"))
-    order = F.struct(F.col("_d").isNull().alias("none"), F.col("_d").alias("id"), F.col("_r").alias("row"))
-    first = groups.join(ids, F.col(ROW) == F.col("_r")).groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_keep"))
-    return rows.join(first, F.col(ROW) == F.col("_keep"), "left_semi").drop(ROW)
+def _has_order(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_has_order(f.dataType) for f in kind.fields)
+    return _has_order(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_row_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each of keys (KEYS, distinct) one row of docs with all its columns: of several the one that is first in their order.
+
+    The join deals the rows out by KEYS, as the aggregation needs them, so they are shuffled once; and Spark can send a small set of keys along.
+    """
+    found = with_keys(docs).join(keys.select(*KEYS), KEYS)
+    ordered = [f.name for f in docs.schema.fields if _has_order(f.dataType)]
+    row = F.struct(*[found[c] for c in docs.columns])
+    first = F.min(row) if ordered == docs.columns else F.min_by(row, F.struct(*[found[c] for c in ordered]))
+    return found.groupBy(*KEYS).agg(first.alias("_row")).select("_row.*")
 
 
 #: Bytes of text that a function of batches sees at once (more only where one row is larger).
@@ -86,7 +99,7 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Itera
         yield pa.concat_batches(held)
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """Apply a function of Arrow batches within the tasks that read df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import ROW, n_words, staged, with_row
+from gleanings.llm.common import KEYS, n_words, staged, with_keys
 
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -61,14 +61,13 @@ def offset_of(source: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}"), name).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, lanes: int = 1024, key: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, lanes: int = 1024, also: list[str] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target and copies (whole times the document is taken), one row for each row of docs.
 
-    With key that column of docs is passed on too.
+    The columns that ``also`` names are passed on.
     """
-    keys = [key] if key else []
     lane = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % lanes
-    sized = staged(docs.select("doc_id", "source", n_words("text").alias("size"), lane.alias("lane"), F.xxhash64("text").alias("text_hash"), *keys))
+    sized = staged(docs.select("doc_id", "source", n_words("text").alias("size"), lane.alias("lane"), F.xxhash64("text").alias("text_hash"), *also))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
 
@@ -85,12 +84,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # copies expected up to and including this document, and up to the one before it
     line = lambda k: F.floor(offset_of(F.col("source"), seed) + F.col("rate") * k)
     k = F.col("begin") + F.col("rank")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (line(k) - line(k - 1)).alias("copies"), *keys)
+    return joined.select("doc_id", "source", "size", "source_size", "target", (line(k) - line(k - 1)).alias("copies"), *also)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs with all their columns, each as often as the mix takes it; copies are joined back to the rows by number."""
-    rows = with_row(docs)
-    picked = mix(rows.select("doc_id", "source", "text", ROW), key=ROW, **options).filter("copies > 0").select(F.col(ROW).alias("_r"), "copies")
-    taken = rows.join(picked, F.col(ROW) == F.col("_r"))
-    return taken.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    """The rows of docs with all their columns, each as often as the mix takes it.
+
+    Copies are joined back by id and text. Rows that agree in both share what the mix takes of them all: each gets as many, or one more.
+    """
+    keyed = with_keys(docs)
+    taken = mix(keyed.select("doc_id", "source", "text", *KEYS), also=KEYS, **options)
+    picked = staged(taken.groupBy(*KEYS).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0"))
+    lone = keyed.join(picked.filter("_rows = 1"), KEYS).withColumn("_copies", F.col("_all"))
+    # few, and sent along by Spark where they are
+    several = keyed.join(picked.filter("_rows > 1"), KEYS).withColumn("_n", F.row_number().over(W.partitionBy(*KEYS).orderBy("source")))
+    share = F.floor(F.col("_all") * F.col("_n") / F.col("_rows")) - F.floor(F.col("_all") * (F.col("_n") - 1) / F.col("_rows"))
+    both = lone.select(*docs.columns, "_copies").unionByName(several.withColumn("_copies", share).filter("_copies > 0").select(*docs.columns, "_copies"))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")

@@ -10,8 +10,9 @@ Only fitting reads a bounded sample: at most ``sample`` labelled rows, those wit
 text in full and the rules are applied to all.
 
 Defined results: null texts count as empty; documents without a label take no part in fitting; labels that are null or whose
-documents are missing are ignored; a document labelled twice counts with its lower label; without bad labels there are no
-rules and nothing but the base conditions rejects. Repeated rows are judged alike.
+documents are missing are ignored; a document labelled twice counts with its lower label; of rows with the same id and different texts
+one is learned from, that with the smallest measures in their order; without bad labels there are no rules and nothing but the base
+conditions rejects. Every row is judged by its own text, so repeated rows are judged alike; rows with a null id are judged, not learned from.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import ROW, staged, with_row
 from gleanings.llm.text_stats import MEASURES, text_stats, with_measures
 
 #: (measure, "<=" or ">", threshold)
@@ -32,12 +32,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def training_rows(stats: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
-    """Measures and label of at most ``sample`` labelled documents, those with the smallest hash of their id."""
-    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.min(label).alias("label"))
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
+    """doc_id, h, label and measures of at most ``sample`` labelled documents, those with the smallest hash of their id."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.min(label).cast("int").alias("label"))
     chosen = known.withColumn("h", F.xxhash64("_l")).orderBy("h", "_l").limit(sample)
-    # the sample is bounded by its parameter, so it may be sent to every task
-    return stats.join(F.broadcast(chosen), F.col("doc_id") == F.col("_l")).select("doc_id", "h", F.col("label").cast("int"), *MEASURES).dropDuplicates(["doc_id"])
+    # the sample is bounded by its parameter, so it may be sent to every task; only its texts are counted
+    rows = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(chosen), F.col("_d") == F.col("_l"))
+    stats = with_measures(text_stats(rows.select(F.col("_d").alias("doc_id"), "text", F.struct("h", "label").alias("of")), carry="of"))
+    once = stats.groupBy("doc_id", F.col("of.h").alias("h"), F.col("of.label").alias("label")).agg(F.min(F.struct(*MEASURES)).alias("m"))
+    return once.select("doc_id", "h", "label", "m.*")
 
 
 def learn(rows, names: list[str], least_precision: float = 0.95, least_covered: int = 8, most_conditions: int = 4, most_rules: int = 24) -> list[list[Condition]]:
@@ -111,21 +114,21 @@ def as_column(rules: list[list[Condition]]) -> Column:
     return F.lit(True) if chain is None else chain.otherwise(F.lit(True))
 
 
+def learned(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> list[list[Condition]]:
+    """The rules that the labelled documents give."""
+    return learn(training_rows(docs, labels, sample, label).toPandas(), list(MEASURES))
+
+
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
     """doc_id, the counts and measures, base_failed and kept of every row of docs."""
-    return _judged(text_stats(docs), labels, sample, label)
+    return _judged(text_stats(docs), learned(docs, labels, sample, label))
 
 
-def _judged(counts: DataFrame, labels: DataFrame, sample: int = 20_000, label: str = "quality") -> DataFrame:
-    stats = with_measures(staged(counts))
-    rules = learn(training_rows(stats, labels, sample, label).toPandas(), list(MEASURES))
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & as_column(rules))
+def _judged(counts: DataFrame, rules: list[list[Condition]]) -> DataFrame:
+    return with_measures(counts).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & as_column(rules))
 
 
 def keep(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; each is judged by its own text, null and repeated ids included."""
-    rows = with_row(docs)
-    counts = text_stats(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
-    counts = counts.join(rows.select(F.col(ROW).alias("_r"), F.col("doc_id").cast("long").alias("doc_id")), F.col(ROW) == F.col("_r")).drop("_r")
-    kept = _judged(counts, labels, **options).filter("kept").select(F.col(ROW).alias("_keep"))
-    return rows.join(kept, F.col(ROW) == F.col("_keep"), "left_semi").drop(ROW)
+    """The rows of docs that are kept, with all their columns; each is judged by its own text, null and repeated ids included, where it stands."""
+    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    return _judged(text_stats(rows, carry="_row"), learned(docs, labels, **options)).filter("kept").select("_row.*")

@@ -146,7 +146,7 @@ def _suffixes(text: np.ndarray, longest: int) -> np.ndarray:
 class Codec:
     """A vocabulary and the chunks met so far."""
 
-    def __init__(self, model_file: str, remember: int = 1_000_000):
+    def __init__(self, model_file: str, remember: int = 400_000):
         self.p, self.remember = Pieces(model_file), remember
         self.runs: dict[int, list[int]] = {}
         self.known: dict[str, int] = {}
@@ -397,7 +397,7 @@ def _per_group(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
     """Apply a function to some megabytes of rows at a time, within the tasks that read df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped_batches(batches, GROUP_BYTES):
+        for group in grouped_batches(batches, GROUP_BYTES // 2):
             yield function(group)
 
     small_batches(df.sparkSession)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import ROW, first_of_groups, per_batch, staged, texts, with_row
+from gleanings.llm.common import KEYS, one_row_each, per_batch, staged, texts, with_keys
 from gleanings.llm.components import connected_components
 
 
@@ -46,14 +46,14 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, also: list[str] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text), and the long columns that ``also`` names."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([fingerprint(t, width, seed) for t in texts(batch.column(1))], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *also), run, ", ".join(["doc_id long", "fp long", *[f"{c} long" for c in also]]))
 
 
 def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
@@ -74,17 +74,21 @@ def near_links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 def near_groups(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
     """doc_id, fp and component_id of every row of docs."""
-    rows = staged(fingerprints(docs, width, seed))
+    return _grouped(staged(fingerprints(docs, width, seed)), most).select("doc_id", "fp", "component_id")
+
+
+def _grouped(rows: DataFrame, most: int) -> DataFrame:
+    """rows (doc_id, fp and others) with component_id, and root: the smallest fingerprint of the component."""
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(near_links(nodes.select("fp"), most))
     roots = nodes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    return rows.join(classes, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    classes = roots.join(named, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    return rows.join(classes, F.col("fp") == F.col("f")).drop("f")
 
 
 def dedup(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 3) -> DataFrame:
     """Of each component the row with the smallest id (null last), with all its columns; of rows with the same id one stays."""
-    rows = with_row(docs)
-    groups = near_groups(rows.select(F.col(ROW).alias("doc_id"), "text"), width, seed, most)
-    return first_of_groups(rows, groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")))
+    rows = _grouped(staged(fingerprints(with_keys(docs), width, seed, KEYS)), most)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), *KEYS)).alias("x"))
+    return one_row_each(docs, first.select(*[F.col(f"x.{k}").alias(k) for k in KEYS]))

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanings.llm.common import per_batch
 
 #: Names of the counts, in the order of ``counts``.
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_commas", "n_distinct", "n_same_next", "longest_word", "n_long_lines", "n_one_letter"]
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_commas", "n_distinct", "n_same_next", "longest_word", "n_one_letter"]
 WINDOW = 8
 
 _SYMBOLS = b"#*$%&|<>"
@@ -68,20 +69,20 @@ def counts(text: str) -> tuple[int, ...]:
         len(set(words)),
         sum(a == b for a, b in zip(words, words[1:], strict=False)),
         max(map(len, words), default=0),
-        sum(len(line) > 2000 for line in lines),
         sum(len(w) == 1 for w in words),
     )
 
 
-def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts, as longs, of every row of docs (doc_id, text); null counts as empty."""
+def text_stats(docs: DataFrame, carry: str | None = None) -> DataFrame:
+    """doc_id and the counts, as longs, of every row of docs (doc_id, text); null counts as empty. With carry that column comes first, as it is."""
+    front = [docs[carry]] if carry else []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = np.array([counts(t or "") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(NAMES))
-        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(found[:, i]) for i in range(len(NAMES))]], names=["doc_id", *NAMES])
+        return pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), *[pa.array(found[:, i]) for i in range(len(NAMES))]], names=[*([carry] if carry else []), "doc_id", *NAMES])
 
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES)
-    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
+    schema = T.StructType([*([docs.schema[carry]] if carry else []), *[T.StructField(n, T.LongType()) for n in ("doc_id", *NAMES)]])
+    return per_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *front), run, schema)
 
 
 #: Shares and means made of the counts, as SQL: the measures that models see. Every one is defined for empty texts.

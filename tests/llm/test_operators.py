@@ -57,6 +57,16 @@ def test_exact_groups_of_equal_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in got) == [(0, 0, 1, True), (0, 1, 3, False), (1, 1, 3, False), (1, 1, 3, True)]
 
 
+def test_dedups_of_no_rows_and_map_columns(spark):
+    for f in (exact_dedup.dedup, simhash.dedup, mixing.mixed_rows):
+        assert f(table(spark, [])).count() == 0
+    assert exact_dedup.exact_groups(table(spark, [])).count() == 0 and simhash.near_groups(table(spark, [])).count() == 0
+    docs = table(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, "", "t"), (None, None, "t")]).withColumn("extra", F.create_map(F.lit("k"), F.col("row")))
+    for f in (exact_dedup.dedup, simhash.dedup):
+        got = f(docs)
+        assert got.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [("1", "a b c"), ("None", "")]
+
+
 def slow_fingerprint(text):
     w = text.lower().encode() if text.isascii() else text.encode().lower()
     w = w.split()
@@ -129,6 +139,31 @@ def test_url_filter(spark):
     assert url_filter.match_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_url_filter_over_many_ranges(spark):
+    """Nested rules that reach over the bounds of ranges, long addresses, null ids, clashing columns and a parent key that all hosts share."""
+    r = random.Random(17)
+    rules = [("com", "/", "block"), ("com", "/a/b", "allow"), ("h5.com", "/a", "block"), ("org", "/" + "x" * 3000, "block"), ("org", "/" + "x" * 2999, "allow"), ("net", "", "block"), ("n.net", "/p", "allow")]
+    urls = [f"http://h{i}.com/" for i in range(300)] + [f"https://h5.com/a/{i}" for i in range(300)] + ["http://a.org/" + "x" * n for n in (10, 2998, 2999, 3000, 5000)] + [f"http://n.net/{c}{i}" for c in "pq" for i in range(50)]
+    r.shuffle(urls)
+    rows = [(None if i % 50 == 0 else i, u, "x", "y", 1) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string, range int")
+
+    def judge(u):
+        rest = u.split("://", 1)[1]
+        host, path = rest.split("/", 1)[0], "/" + rest.split("/", 1)[1]
+        fits = [(-len(h + p), v != "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(fits, default=(0, 0, None, "allow"))[2:]
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = Counter((x.page_id, x.rule, x.verdict) for x in url_filter.match_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string")).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == Counter((i, *judge(u)) for i, u, *_ in rows)
+
+
 def test_substring_dedup(spark):
     r = random.Random(2)
     sentence = lambda: " ".join(f"v{r.randint(0, 900)}" for _ in range(r.randint(4, 14))) + ". "
@@ -357,6 +392,77 @@ def labelled(spark, n=400):
 AWKWARD_IDS = [(1000 + i, t, s) for i, t, s in AWKWARD]
 
 
+def slow_measures(t):
+    """The measures of a text, counted one by one."""
+    t = t or ""
+    raw = t.encode()
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    chars = sum(len(w.decode()) for w in words)
+    n, c, k = max(1, len(words)), max(1, chars), max(1, len(lines))
+    count = lambda of: sum(ch in of for ch in t)
+    return {
+        "words": math.log(1 + len(words)), "word_length": chars / n, "symbol_share": count("#*$%&|<>") / c, "dup_line_share": (len(lines) - len(set(lines))) / k, "repeat_share": slow_repeats(words) / n,
+        "upper_share": sum("A" <= ch <= "Z" for ch in t) / c, "digit_share": sum("0" <= ch <= "9" for ch in t) / c, "mark_share": count("!?") / c, "comma_share": count(".,;:") / c, "distinct_share": len(set(words)) / n,
+        "same_next_share": sum(a == b for a, b in zip(words, words[1:])) / n, "longest_word": math.log(1 + max(map(len, words), default=0)), "words_a_line": math.log(1 + len(words) / k), "one_letter_share": sum(len(w) == 1 for w in words) / n,
+    }
+
+
+def slow_verdict(t, rules):
+    """Base conditions, then the first rule that holds."""
+    words = (t or "").encode().split()
+    if len(words) < 20 or 100 * slow_repeats(words) > 30 * len(words):
+        return False
+    m = slow_measures(t)
+    return not any(all(m[f] <= x if sign == "<=" else m[f] > x for f, sign, x in rule) for rule in rules)
+
+
+def test_quality_verdicts_by_plain_loops(spark):
+    rows, docs, labels = labelled(spark)
+    more = rows + AWKWARD_IDS + [(None, rows[1][1], "s"), (None, rows[0][1], "s"), (3, "another text of the same id " * 9, "s"), (3, rows[3][1], "s")]
+    docs = table(spark, more)
+    rules = quality_rules.learned(docs, labels)
+    assert rules and rules == quality_rules.learned(docs.orderBy(F.desc("text")).repartition(7), labels)  # whatever the order of rows
+    got = Counter((r.doc_id, r.n_words, r.kept) for r in quality_rules.judge(docs, labels).collect())
+    assert got == Counter((i, len((t or "").encode().split()), slow_verdict(t, rules)) for i, t, _ in more)
+    kept = Counter((r.doc_id, r.text) for r in quality_rules.keep(docs, labels).collect())
+    assert kept == Counter((i, t) for i, t, _ in more if slow_verdict(t, rules))
+
+
+def test_quality_scores_by_plain_loops(spark, monkeypatch):
+    made = []
+
+    class Kept(quality_classifier.Ranker):
+        def __init__(self, *a, **k):
+            super().__init__(*a, **k)
+            made.append(self)
+
+    monkeypatch.setattr(quality_classifier, "Ranker", Kept)
+    rows, _, labels = labelled(spark)
+    more = rows + AWKWARD_IDS + [(None, rows[1][1], "s"), (3, "another text of the same id " * 9, "s"), (3, rows[3][1], "s")]
+    got = Counter((r.doc_id, round(r.score, 9), r.predicted) for r in quality_classifier.classify(table(spark, more), labels).collect())
+    ranker, wanted = made[0], Counter()
+    for i, t, _ in more:
+        raw = 0.0
+        for k, x in enumerate(slow_measures(t).values()):
+            raw += sum(w for e, w in zip(ranker.edges[k], ranker.weights.reshape(ranker.edges.shape)[k]) if x > e + 1e-12)  # an edge is one of the values; their logarithms differ in the last bit
+        score = 1 / (1 + math.exp(-(ranker.steepness * (raw - ranker.threshold) + math.log(0.7 / 0.3) + 1e-12)))
+        wanted[i, round(score, 9), int(score >= 0.7)] += 1
+    assert got == wanted
+    assert quality_classifier.classify(table(spark, []), labels).count() == 0
+
+
+def test_ranking_learns_from_pairs_only():
+    """The weights put the better of two apart documents first, and the threshold cuts the share of label 0."""
+    rng = np.random.default_rng(1)
+    good = rng.random(600) < 0.7
+    x = np.stack([rng.normal(good * 2.0), rng.normal(size=600)], 1)
+    r = quality_classifier.Ranker(x, good)
+    scores = r.code(x) @ r.weights
+    pairs = (scores[good][:, None] > scores[~good][None]).mean()
+    assert pairs > 0.9 and abs((scores < r.threshold).mean() - (~good).mean()) < 0.02
+
+
 def test_quality_rules(spark):
     rows, docs, labels = labelled(spark)
     got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
@@ -413,6 +519,45 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_strided_null_and_repeated_ids(spark):
+    r = random.Random(18)
+    rows = [(30 * i, "w " * r.randint(1, 40), "s0") for i in range(600)] + [(None, f"n{i} " * r.randint(1, 40), "s1") for i in range(200)] + [(7, "same words here", "s2")] * 50 + [(None, "same words here", "s2")] * 50
+    docs = table(spark, rows)
+    got = mixing.mix(docs).collect()
+    words, taken, target = Counter(), Counter(), {}
+    for x in got:
+        words[x.source] += x.size
+        taken[x.source] += x.copies * x.size
+        target[x.source] = x.target
+        assert x.copies <= 2
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.05 * target[s] + 120 for s in words)
+    again = Counter((x.doc_id, x.text, x.source) for x in mixing.mixed_rows(docs.repartition(5)).collect())
+    assert again == Counter((x.doc_id, x.text, x.source) for x in mixing.mixed_rows(docs.orderBy("text")).collect())
+    assert sum(len(t.split()) * n for (_, t, _), n in again.items()) == sum(taken.values())
+
+
+def test_targets_of_many_sources(spark):
+    """Every source by itself, against the plain rule, over several ranges."""
+    r = random.Random(19)
+    sizes = {f"h{i:04d}": r.choice([1, 5, 40, 300]) for i in range(500)} | {None: 77}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while full := {s for s in open_ if left / sum(weight[x] for x in open_) * weight[s] > 2 * sizes[s]}:
+        for s in full:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= full
+    level = left / sum(weight[x] for x in open_) if open_ else 0
+    target |= {s: level * weight[s] for s in open_}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {x.source: x.target for x in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == pytest.approx(target)
+
+
 def test_lm_scores(spark):
     import zlib
 

@@ -1,12 +1,16 @@
 """The pipeline's stages on the smallest tables, each against a plain version on its own input."""
 
+import random
+import re
 from collections import Counter
 
 import corpus_pipeline
 import duckdb
 import pytest
+import sentencepiece
 
 from gleanings.llm import exact_dedup, quality_rules, registry, simhash
+from tests.llm.test_operators import slow_fingerprint, slow_verdict
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +42,75 @@ def test_stages(spark):
     assert len(kept["sentencepiece"]) == len(kept["mixing"]) and all(r.exact for r in kept["sentencepiece"])
 
 
+def awkward(spark, folder, n=160):
+    """Documents with null, empty, very long, repeated and near texts, null and repeated ids, null sources and clashing columns; and labels."""
+    r = random.Random(21)
+    prose = lambda k: " ".join(r.choice(["the", "of", "and"]) if r.random() < 0.3 else f"w{r.randint(0, 3000)}" for _ in range(k))
+    rows = [(i, prose(r.randint(30, 90)) if i % 4 else "BUY NOW!! " * 3 + " ".join(f"X{r.randint(0, 999)}!!" for _ in range(40)), f"s{i % 3}") for i in range(n)]
+    base = prose(400)
+    rows += [(None, None, "s0"), (None, "", None), (1000, " \t ", "s1"), (None, rows[1][1], "s1"), (None, rows[1][1], "s2"), (1001, rows[2][1].replace(" ", "  "), None), (5, rows[5][1], "s2"), (5, rows[5][1], "s2"), (5, prose(50), "s0")]
+    rows += [(2000 + i, base.replace(" ", "\n", 1) if i == 1 else base + (" end" if i == 2 else ""), "s0") for i in range(3)] + [(3000, prose(30_000), "s1"), (3001, "漢" * 50_000 + " " + prose(40), "s1")]
+    docs = spark.createDataFrame([(i, t, "en", s, 0, 7, "x", 1, "k") for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, size long, norm string, copies long, `_row` string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), None) for i in range(n)] + [(None, 1, 0), (3, None, 0), (77777, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    docs = awkward(spark, tmp_path)
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+    of = lambda rows: Counter((r.doc_id, r.text, r.source) for r in rows)
+    smallest = lambda rows: min(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+
+    before, docs = docs.collect(), corpus_pipeline.staged(stages["quality rules"](spark, docs, str(tmp_path)))
+    rules = quality_rules.learned(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    after = docs.collect()
+    assert docs.columns == columns and of(after) == of(r for r in before if slow_verdict(r.text, rules)) and 0 < len(after) < len(before)
+
+    before, docs = after, corpus_pipeline.staged(stages["exact dedup"](spark, docs, str(tmp_path)))
+    groups = {}
+    for r in before:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), []).append(r)
+    after = docs.collect()
+    assert docs.columns == columns and Counter(r.doc_id for r in after) == Counter(smallest(g).doc_id for g in groups.values()) and len(after) == len(groups)
+    assert {re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in after} == set(groups)
+
+    before, docs = after, corpus_pipeline.staged(stages["simhash near-dedup"](spark, docs, str(tmp_path)))
+    fps, left, parts = [slow_fingerprint(r.text or "") for r in before], set(range(len(before))), []
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            part.add(i)
+            near = {j for j in left if (fps[i] ^ fps[j]).bit_count() <= 3}
+            left -= near
+            todo += near
+        parts.append([before[i] for i in part])
+    after = docs.collect()
+    assert docs.columns == columns and Counter(r.doc_id for r in after) == Counter(smallest(p).doc_id for p in parts) and len(after) < len(before)
+
+    before, docs = after, corpus_pipeline.staged(stages["mixing"](spark, docs, str(tmp_path)))
+    after = docs.collect()
+    sizes = Counter()
+    for r in before:
+        sizes[r.source] += len((r.text or "").encode().split())
+    taken = Counter()
+    for r in after:
+        taken[r.source] += len((r.text or "").encode().split())
+    assert docs.columns == columns and set(of(after)) <= set(of(before)) and max(of(after).values()) <= 2 and all(taken[s] <= 2 * sizes[s] for s in taken)
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=registry.PIECES)
+    last = stages["sentencepiece"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last) == Counter((r.doc_id, tuple(sp.encode(r.text or ""))) for r in after) and all(r.exact for r in last)
+
+
+def test_stages_take_no_rows(spark, tmp_path):
+    awkward(spark, tmp_path, 8).limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_stages_take_null_and_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     rows = [(None, a), (None, a), (None, b), (1, b), (1, b), (1, c), (None, "lone"), (2, "lone too"), (2, "lone too")]
