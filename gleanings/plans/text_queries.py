@@ -72,9 +72,13 @@ def sanitize(spark, d):
 
 @query(
     "sanitize_hits",
-    """with a as (select doc_id, text as t0 from documents), b as (select *, replace(t0, 'disgusting', '') as t1 from a), c as (select *, replace(t1, 'pathetic', '') as t2 from b),
- h as (select doc_id, 'disgusting' as word, (length(t0) - length(t1)) // 10 as count, strpos(t0, 'disgusting') - 1 as pos from c union all select doc_id, 'pathetic', (length(t1) - length(t2)) // 8, strpos(t1, 'pathetic') - 1 from c
-       union all select doc_id, 'idiot', (length(t2) - length(replace(t2, 'idiot', ''))) // 5, strpos(t2, 'idiot') - 1 from c)
+    """with a as (select doc_id, text as t0 from documents),
+ b as (select *, replace(t0, 'disgusting', '') as t1 from a),
+ c as (select *, replace(t1, 'pathetic', '') as t2 from b),
+ h as (select doc_id, 'disgusting' as word, (length(t0) - length(t1)) // 10 as count, strpos(t0, 'disgusting') - 1 as pos from c
+ union all select doc_id, 'pathetic', (length(t1) - length(t2)) // 8, strpos(t1, 'pathetic') - 1 from c
+      
+ union all select doc_id, 'idiot', (length(t2) - length(replace(t2, 'idiot', ''))) // 5, strpos(t2, 'idiot') - 1 from c)
  select doc_id, word, cast(count as bigint) as count, cast(pos as bigint) as pos from h where count > 0""",
 )
 def sanitize_hits(spark, d):
@@ -82,8 +86,10 @@ def sanitize_hits(spark, d):
     return hits.select("doc_id", "h.word", "h.count", "h.pos")
 
 
-@query("sanitize_exceptions", r"""with a as (select doc_id, coalesce(text, '') as t0 from documents), b as (select doc_id, replace(replace(t0, 'disgusting', ''), 'pathetic', '') as t from a),
- w as (select doc_id, replace(replace(t, 'there', 'th' || chr(1) || 're'), 'them', 'th' || chr(1) || 'm') as t from b) select doc_id, md5(replace(replace(replace(t, 'own', ''), 'the', ''), chr(1), 'e')) as body_md5 from w""")
+@query("sanitize_exceptions", r"""with a as (select doc_id, coalesce(text, '') as t0 from documents),
+ b as (select doc_id, replace(replace(t0, 'disgusting', ''), 'pathetic', '') as t from a),
+ w as (select doc_id, replace(replace(t, 'there', 'th' || chr(1) || 're'), 'them', 'th' || chr(1) || 'm') as t from b)
+ select doc_id, md5(replace(replace(replace(t, 'own', ''), 'the', ''), chr(1), 'e')) as body_md5 from w""")
 def sanitize_exceptions(spark, d):
     """The words of a level, with a word's exempted endings, and a word of one's own. (No text has "first" before an ordinal.)"""
     words = T.lexicon({**CATEGORIES, "marketing": CATEGORIES["marketing"][:1]}, "standard", "own")
@@ -123,7 +129,8 @@ def normalize_dashes(spark, d):
     "first_paragraph",
     r"""with k as (select doc_id, unnest(string_split_regex(text, '\n\s*\n')) as block, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) as n from documents),
  c as (select doc_id, n, array_to_string(list_filter(string_split(block, chr(10)), lambda s: not regexp_matches(s, '^\s*(#|!\[|>|\||-{3,}\s*$|\*{3,}\s*$)') and not regexp_matches(s, '^\s*$')), ' ') as x from k),
- p as (select doc_id, n, trim(regexp_replace(regexp_replace(x, '\[\d+\]', '', 'g'), '\s+', ' ', 'g')) as x from c), f as (select doc_id, arg_min(x, n) as x from p where x <> '' group by 1)
+ p as (select doc_id, n, trim(regexp_replace(regexp_replace(x, '\[\d+\]', '', 'g'), '\s+', ' ', 'g')) as x from c),
+ f as (select doc_id, arg_min(x, n) as x from p where x <> '' group by 1)
  select doc_id, coalesce(substr(x, 1, 200), '') as paragraph from documents left join f using (doc_id)""",
 )
 def first_paragraph(spark, d):
@@ -155,7 +162,8 @@ _ROUND = f"list_filter({_TERMS}, lambda x, i: x <> '' and list_position({_TERMS}
 
 @query(
     "query_rounds",
-    f"""with t as (select item_id, text, {_ROUND} as ts from benchmark), r as (select item_id, text as q from t union select item_id, array_to_string(ts[1:len(ts) - 1], ' ') from t where len(ts) > 1 union select item_id, array_to_string(ts[1:len(ts) - 2], ' ') from t where len(ts) > 2)
+    f"""with t as (select item_id, text, {_ROUND} as ts from benchmark),
+ r as (select item_id, text as q from t union select item_id, array_to_string(ts[1:len(ts) - 1], ' ') from t where len(ts) > 1 union select item_id, array_to_string(ts[1:len(ts) - 2], ' ') from t where len(ts) > 2)
  select item_id, q as query from r""",
 )
 def query_rounds(spark, d):
@@ -170,7 +178,8 @@ _MANNERLESS = "replace(replace(replace(replace(replace(replace(x, '真的', ''),
 
 @query(
     "topic_terms",
-    f"""with b as (select item_id, {_TOPIC} as t from benchmark), s as (select item_id, t, {_SEPARATED} as s, regexp_matches(t, '[一-鿿]') as zh from b),
+    f"""with b as (select item_id, {_TOPIC} as t from benchmark),
+ s as (select item_id, t, {_SEPARATED} as s, regexp_matches(t, '[一-鿿]') as zh from b),
  k as (select *, array_to_string(list_filter(list_transform(string_split(s, ' '), lambda x: regexp_replace({_MANNERLESS}, '(?:{'|'.join(T.QUESTION_TAILS)})$', '')), lambda x: x <> ''), ' ') as k from s)
  select item_id, case when not zh then s when k <> '' then k when s <> '' then s else t end as terms, case when zh then 'zh' else 'en' end as region from k""",
 )
@@ -230,14 +239,18 @@ def _paths(edges, deepest: int = 4):
     return found
 
 
-@query("knowledge_outline", "select 'world/r' || n_regionkey || '/n' || n_nationkey as path, 2 as depth from nation union all select 'world/r' || r_regionkey, 1 from region union all select 'world', 0")
+@query("knowledge_outline", """select 'world/r' || n_regionkey || '/n' || n_nationkey as path, 2 as depth from nation
+ union all select 'world/r' || r_regionkey, 1 from region
+ union all select 'world', 0""")
 def knowledge_outline(spark, d):
     return _paths(knowledge_edges(spark, d)).select(F.array_join("path", "/").alias("path"), (F.size("path") - 1).alias("depth"))
 
 
 @query(
     "knowledge_outline_text",
-    """with p as (select ['world', 'r' || n_regionkey, 'n' || n_nationkey] as path from nation union all select ['world', 'r' || r_regionkey] from region union all select ['world'])
+    """with p as (select ['world', 'r' || n_regionkey, 'n' || n_nationkey] as path from nation
+ union all select ['world', 'r' || r_regionkey] from region
+ union all select ['world'])
  select 1 as graph_id, string_agg(repeat('  ', len(path) - 1) || '- ' || path[-1], chr(10) order by path) as outline from p""",
 )
 def knowledge_outline_text(spark, d):
@@ -265,7 +278,8 @@ def sample_quality(spark, d):
 _LINK = r"(^|[^!])\[([^\]]*)\]\(\s*https?://[^)]*\)"
 
 
-@query("strip_external_links", rf"with b as (select doc_id, coalesce(text, '') || ' [a](http://x.example/y)[c](https://x.example) b ![i](http://x.example/z.png) [in](#here)' as t from documents) select doc_id, md5(regexp_replace(regexp_replace(t, '{_LINK}', '\1\2', 'g'), '{_LINK}', '\1\2', 'g')) as body_md5 from b")
+@query("strip_external_links", rf"""with b as (select doc_id, coalesce(text, '') || ' [a](http://x.example/y)[c](https://x.example) b ![i](http://x.example/z.png) [in](#here)' as t from documents)
+ select doc_id, md5(regexp_replace(regexp_replace(t, '{_LINK}', '\1\2', 'g'), '{_LINK}', '\1\2', 'g')) as body_md5 from b""")
 def strip_external_links(spark, d):
     """Whole texts with links, two of them side by side, a picture and an inner link added. (The second pass of the SQL is for neighbours.)"""
     body = F.concat(F.coalesce("text", F.lit("")), F.lit(" [a](http://x.example/y)[c](https://x.example) b ![i](http://x.example/z.png) [in](#here)"))
@@ -276,7 +290,10 @@ def _peeled_sql(t: str) -> str:
     return rf"""trim(regexp_replace(regexp_replace({t}, '(?i)^(?:digest|summary|摘要|导语)\s*[:：]\s*', ''), '^["''“”‘’「」]+|["''“”‘’「」]+$', '', 'g'))"""
 
 
-@query("clean_digest", rf"""with a as (select doc_id, trim(regexp_replace('Summary: "' || coalesce(text, '') || '"', '\s+', ' ', 'g')) as t from documents), b as (select doc_id, {_peeled_sql('t')} as t from a), c as (select doc_id, {_peeled_sql('t')} as t from b) select doc_id, substr({_peeled_sql('t')}, 1, 120) as digest from c""")
+@query("clean_digest", rf"""with a as (select doc_id, trim(regexp_replace('Summary: "' || coalesce(text, '') || '"', '\s+', ' ', 'g')) as t from documents),
+ b as (select doc_id, {_peeled_sql('t')} as t from a),
+ c as (select doc_id, {_peeled_sql('t')} as t from b)
+ select doc_id, substr({_peeled_sql('t')}, 1, 120) as digest from c""")
 def clean_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_digest(F.concat(F.lit('Summary: "'), F.coalesce("text", F.lit("")), F.lit('"'))).alias("digest"))
 
@@ -293,7 +310,8 @@ _TABLE = "'intro' || chr(10) || '| a | b |' || chr(10) || chr(10) || chr(10) ||
 @query(
     "compact_tables",
     rf"""with m as (select conv_id * 1000 + turn as doc_id, {_TABLE} as body from conversations), {_lines_sql('m')},
- r as (select *, contains(line, '|') as has, regexp_matches(line, '^\s*$') as blank from l), k as (select *, case when not blank then has end as near from r),
+ r as (select *, contains(line, '|') as has, regexp_matches(line, '^\s*$') as blank from l),
+ k as (select *, case when not blank then has end as near from r),
  n as (select *, last_value(near ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as before, first_value(near ignore nulls) over (partition by doc_id order by line_no rows between 1 following and unbounded following) as after,
        coalesce(lag(blank) over (partition by doc_id order by line_no), true) as gap_before, coalesce(lead(blank) over (partition by doc_id order by line_no), true) as gap_after from k),
  o as (select doc_id, line_no, case when has and not coalesce(before, false) and not gap_before then chr(10) else '' end || line || case when has and not coalesce(after, false) and not gap_after then chr(10) else '' end as line from n where not (blank and coalesce(before, false) and coalesce(after, false)))
@@ -305,7 +323,8 @@ def compact_tables(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.md5(T.compact_tables(body)).alias("body_md5"))
 
 
-@query("outline_rows", "with c as (select conv_id, turn, role || ' ' || turn as title, row_number() over (partition by conv_id order by turn) as n from conversations where turn % 3 <> 1) select conv_id as series_id, n as chapter_order, title, case when turn % 2 = 0 then 'spark ' || title else 'alpha beta' end as queries from c where n <= 4")
+@query("outline_rows", """with c as (select conv_id, turn, role || ' ' || turn as title, row_number() over (partition by conv_id order by turn) as n from conversations where turn % 3 <> 1)
+ select conv_id as series_id, n as chapter_order, title, case when turn % 2 = 0 then 'spark ' || title else 'alpha beta' end as queries from c where n <= 4""")
 def outline_rows(spark, d):
     """Replies that list a series' turns as chapters; every third has no title and goes."""
     c = table(spark, d, "conversations").select("conv_id", "turn", F.struct(F.when(F.col("turn") % 3 != 1, F.concat_ws(" ", "role", "turn")).otherwise(" ").alias("title"), F.lit("s").alias("scope"), F.when(F.col("turn") % 2 == 1, F.array(F.lit("alpha beta"), F.lit("alpha beta"))).otherwise(F.array().cast("array<string>")).alias("queries")).alias("x"))
@@ -317,7 +336,8 @@ def outline_rows(spark, d):
 @query(
     "clean_output",
     r"""with a as (select conv_id, turn, text, case when turn % 2 = 0 then 'Here it is:' || chr(10) || '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || text || chr(10) || '## Notes' || chr(10) || 'mine' else '```markdown' || chr(10) || text || chr(10) || '```' end as t from conversations),
- b as (select *, case when starts_with(t, '---' || chr(10)) then t else regexp_replace(t, '(?s)^.*?\n(---\n[A-Za-z_]+\s*:)', '\1') end as u from a), c as (select *, regexp_replace(u, '(?s)^\s*```(?:markdown|md)?\n(.*)\n```\s*$', '\1') as v from b)
+ b as (select *, case when starts_with(t, '---' || chr(10)) then t else regexp_replace(t, '(?s)^.*?\n(---\n[A-Za-z_]+\s*:)', '\1') end as u from a),
+ c as (select *, regexp_replace(u, '(?s)^\s*```(?:markdown|md)?\n(.*)\n```\s*$', '\1') as v from b)
  select conv_id, turn, md5(case when starts_with(text, 'Th') then text else regexp_replace(v, '(?is)\n+(?:---\n+)?#{1,6}\s*(?:notes?|说明|备注)\s*\n.*$', '') end) as body_md5 from c""",
 )
 def clean_output(spark, d):
@@ -346,7 +366,8 @@ def _score(spark, d):
     return rows.select("doc_id", "text", quality.heuristic_score(F.substring_index("text", "\n", 1), F.col("source"), F.col("text"), F.col("seen_at"), F.lit("2024-01-20").cast("timestamp"), HOT, outside).alias("score"))
 
 
-_SCORE_SQL = """with d as (select doc_id, text, source, lower(split_part(text, chr(10), 1)) as t, length(split_part(text, chr(10), 1)) as m, length(text) as n, floor((doc_id * 7 % 600) / 24) as days from documents), l as (select doc_id, max(quality) as q from labels where toxic = 1 group by 1),
+_SCORE_SQL = """with d as (select doc_id, text, source, lower(split_part(text, chr(10), 1)) as t, length(split_part(text, chr(10), 1)) as m, length(text) as n, floor((doc_id * 7 % 600) / 24) as days from documents),
+ l as (select doc_id, max(quality) as q from labels where toxic = 1 group by 1),
  s as (select d.doc_id, q, 50 + case when contains(t, 'tion the') or contains(t, 'licensed') then 10 else 0 end + case when days <= 1 then 20 when days <= 3 then 15 when days <= 7 then 10 when days <= 14 then 5 else 0 end + case when n > 2000 then 10 when n > 1000 then 5 when n < 100 then -10 else 0 end + case when m >= 15 then 5 when m < 5 then -5 else 0 end as own from d left join l using (doc_id))
  select doc_id, cast(coalesce(q * 100.0, least(100, greatest(0, own))) as double) as score from s"""
 query("draft_score", _SCORE_SQL)(lambda spark, d: _score(spark, d).select("doc_id", "score"))
@@ -356,7 +377,11 @@ DIMENSIONS = [quality.Dimension("shout", 12.0, 2.5, ("!!",)), quality.Dimension(
 _CHARS = r"regexp_replace(regexp_replace(line, '[*_`>#\[\]()~|\-]+', '', 'g'), '\s', '', 'g')"
 _PLAIN = f"p as (select doc_id, {_BLANK} as line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents))"
 _HITS = r"len(regexp_extract_all(line, '!!')) as shout, len(regexp_extract_all(line, '[Ll]icensed under')) + len(regexp_extract_all(line, 'All rights reserved')) as licence, len(regexp_extract_all(line, ' the ')) + len(regexp_extract_all(line, ' und ')) as filler"
-_POINTS = f"with {_PLAIN}, h as (select doc_id, length({_CHARS}) as chars, {_HITS} from p), g as (select doc_id, sum(chars) as chars, sum(shout) as shout, sum(licence) as licence, sum(filler) as filler from h group by 1), u as (select doc_id, chars, 'shout' as dimension, 12.0 as w, 2.5 as s, shout as hits from g union all select doc_id, chars, 'licence', 20.0, 1.0, licence from g union all select doc_id, chars, 'filler', 8.0, 30.0, filler from g)"
+_POINTS = f"""with {_PLAIN}, h as (select doc_id, length({_CHARS}) as chars, {_HITS} from p),
+ g as (select doc_id, sum(chars) as chars, sum(shout) as shout, sum(licence) as licence, sum(filler) as filler from h group by 1),
+ u as (select doc_id, chars, 'shout' as dimension, 12.0 as w, 2.5 as s, shout as hits from g
+ union all select doc_id, chars, 'licence', 20.0, 1.0, licence from g
+ union all select doc_id, chars, 'filler', 8.0, 30.0, filler from g)"""
 query("flavor_score", f"{_POINTS} select doc_id, dimension, cast(hits as bigint) as hits, round(cast(case when hits = 1 then least(w * least(1, hits * (1000.0 / greatest(chars, 800)) / s), w * 0.3) else w * least(1, hits * (1000.0 / greatest(chars, 800)) / s) end as double), 6) as points from u where hits > 0")(
     lambda spark, d: quality.flavor_points(table(spark, d, "documents").select("doc_id", "text"), DIMENSIONS).select("doc_id", "dimension", "hits", F.round("points", 6).alias("points"))
 )
@@ -371,7 +396,8 @@ _MAIL = r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)"
 
 @query(
     "diversion_scan",
-    rf"""with d as (select doc_id, coalesce(text, '') as t from documents), l0 as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from d),
+    rf"""with d as (select doc_id, coalesce(text, '') as t from documents),
+ l0 as (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as line_no from d),
  m as (select doc_id, 'body' as part, line_no, 'contact_id' as kind, regexp_extract(line, '{_MAIL}', 1) as found from l0 where regexp_matches(line, '{_MAIL}'))
  select doc_id, part, line_no + case when doc_id % 50 = 0 then 6 else 0 end as line_no, kind, found from m
  union all select doc_id, 'body', 1, 'external_link', 'https://out.example/' || doc_id from documents where doc_id % 50 = 0
@@ -395,18 +421,28 @@ def diversion_scan(spark, d):
 _BEATS = r"""n as (select doc_id, list_filter(list_transform(string_split_regex(regexp_replace(array_to_string(list(line order by line_no), chr(10)), '[*_`>#\[\]()~|\-]+', '', 'g'), '[.!?]+'), lambda x: length(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda n: n >= 4) as n from q group by 1),
  beat as (select doc_id, 'rhythm' as dimension, 10 * (0.62 - greatest(list_stddev_pop(n) / list_avg(n), 0.30)) / 0.32 as points from n where len(n) >= 8 and list_stddev_pop(n) / list_avg(n) < 0.62)"""
 _ALL_POINTS = f"""q as (select doc_id, {_BLANK} as line, line_no from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as line_no from documents)),
- h as (select doc_id, length({_CHARS}) as chars, {_HITS} from q), g as (select doc_id, sum(chars) as chars, sum(shout) as shout, sum(licence) as licence, sum(filler) as filler from h group by 1),
- u as (select doc_id, chars, 'shout' as dimension, 12.0 as w, 2.5 as s, shout as hits from g union all select doc_id, chars, 'licence', 20.0, 1.0, licence from g union all select doc_id, chars, 'filler', 8.0, 30.0, filler from g),
+ h as (select doc_id, length({_CHARS}) as chars, {_HITS} from q),
+ g as (select doc_id, sum(chars) as chars, sum(shout) as shout, sum(licence) as licence, sum(filler) as filler from h group by 1),
+ u as (select doc_id, chars, 'shout' as dimension, 12.0 as w, 2.5 as s, shout as hits from g
+ union all select doc_id, chars, 'licence', 20.0, 1.0, licence from g
+ union all select doc_id, chars, 'filler', 8.0, 30.0, filler from g),
  each as (select doc_id, dimension, cast(case when hits = 1 then least(w * least(1, hits * (1000.0 / greatest(chars, 800)) / s), w * 0.3) else w * least(1, hits * (1000.0 / greatest(chars, 800)) / s) end as double) as points from u where hits > 0), {_BEATS},
- points as (select * from each union all select * from beat), flavor as (select d.doc_id, cast(least(100, round_even(coalesce(sum(points), 0), 0)) as int) as flavor, coalesce(array_to_string(list(dimension order by round(points, 9) desc, dimension)[1:3], ','), '') as top from documents d left join points using (doc_id) group by 1)"""
+ points as (select * from each
+ union all select * from beat),
+ flavor as (select d.doc_id, cast(least(100, round_even(coalesce(sum(points), 0), 0)) as int) as flavor, coalesce(array_to_string(list(dimension order by round(points, 9) desc, dimension)[1:3], ','), '') as top from documents d left join points using (doc_id) group by 1)"""
 
 
 @query(
     "flavor_findings",
     f"""with {_PLAIN.replace("as line from documents", "as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents").replace("as line from (", "as line, line_no from (")},
- f as (select doc_id, 'shout' as dimension, line_no, 1 as p, unnest(regexp_extract_all(line, '!!')) as found from p union all select doc_id, 'licence', line_no, 1, unnest(regexp_extract_all(line, '[Ll]icensed under')) from p
-  union all select doc_id, 'licence', line_no, 2, unnest(regexp_extract_all(line, 'All rights reserved')) from p union all select doc_id, 'filler', line_no, 1, trim(unnest(regexp_extract_all(line, ' the '))) from p union all select doc_id, 'filler', line_no, 2, trim(unnest(regexp_extract_all(line, ' und '))) from p),
- o as (select *, row_number() over (partition by doc_id, dimension order by line_no, p) as ord from f) select doc_id, dimension, line_no, ord, found from o where ord <= 12""",
+ f as (select doc_id, 'shout' as dimension, line_no, 1 as p, unnest(regexp_extract_all(line, '!!')) as found from p
+ union all select doc_id, 'licence', line_no, 1, unnest(regexp_extract_all(line, '[Ll]icensed under')) from p
+ 
+ union all select doc_id, 'licence', line_no, 2, unnest(regexp_extract_all(line, 'All rights reserved')) from p
+ union all select doc_id, 'filler', line_no, 1, trim(unnest(regexp_extract_all(line, ' the '))) from p
+ union all select doc_id, 'filler', line_no, 2, trim(unnest(regexp_extract_all(line, ' und '))) from p),
+ o as (select *, row_number() over (partition by doc_id, dimension order by line_no, p) as ord from f)
+ select doc_id, dimension, line_no, ord, found from o where ord <= 12""",
 )
 def flavor_findings(spark, d):
     found = quality.flavor_findings(table(spark, d, "documents").select("doc_id", "text"), [*DIMENSIONS[:2], quality.Dimension("filler", 8.0, 30.0, (" the ", " und "))])
@@ -415,7 +451,8 @@ def flavor_findings(spark, d):
 
 @query(
     "grade_drafts",
-    f"""with {_ALL_POINTS}, s as ({{score}}), w as (select doc_id, cast(sum(len(list_distinct(list_transform(regexp_extract_all(line, 'https?://[^\\s"''<>()\\[\\]，、。；（）【】]+'), lambda u: regexp_replace(u, '[.,:;!?]+$', ''))))) as bigint) as n from q0 group by 1)
+    f"""with {_ALL_POINTS}, s as ({{score}}),
+ w as (select doc_id, cast(sum(len(list_distinct(list_transform(regexp_extract_all(line, 'https?://[^\\s"''<>()\\[\\]，、。；（）【】]+'), lambda u: regexp_replace(u, '[.,:;!?]+$', ''))))) as bigint) as n from q0 group by 1)
  select doc_id, score, flavor, case when flavor < 20 then 'faint' when flavor < 45 then 'some' when flavor < 70 then 'strong' else 'heavy' end as level, top, coalesce(n, 0) as diversions, flavor >= 45 as notice from s join flavor using (doc_id) left join w using (doc_id)""".replace("{score}", "select * from scored").replace("with q as", "with scored as (__SCORE__), q0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents), q as").replace("__SCORE__", _SCORE_SQL),
 )
 def grade_drafts(spark, d):
@@ -437,7 +474,9 @@ def prune_images(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.prune_images(body, listed)).alias("body_md5"))
 
 
-query("op_state", "with e as (select user_id as op_id, event_id, ts, event_type, props from events), a as (select op_id, max(event_id) as last_id, arg_max(event_type, event_id) as last_event, count(*) as n, arg_max(props, event_id) as stats from e group by 1) select op_id, case last_event when 'purchase' then 'done' when 'error' then 'error' else 'running' end as status, n as lines, stats from a")(
+query("op_state", """with e as (select user_id as op_id, event_id, ts, event_type, props from events),
+ a as (select op_id, max(event_id) as last_id, arg_max(event_type, event_id) as last_event, count(*) as n, arg_max(props, event_id) as stats from e group by 1)
+ select op_id, case last_event when 'purchase' then 'done' when 'error' then 'error' else 'running' end as status, n as lines, stats from a""")(
     lambda spark, d: batch_twins.op_state(table(spark, d, "events").select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), F.expr("case event_type when 'purchase' then 'finish' when 'error' then 'fail' else 'log' end").alias("event"), F.col("props").alias("stats"))).select("op_id", "status", "lines", "stats")
 )
 query("ingest", batch_twins.INGEST_SQL)(lambda spark, d: batch_twins.ingest_all(spark, d))

@@ -96,7 +96,8 @@ query("safe_dir_name", r"""with n as (select doc_id, trim(regexp_replace(split_p
  select doc_id, case when name = '' or cut = '' then 'uncategorized' else cut end as dir_name from c""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", U.safe_dir_name(F.substring_index("text", "\n", 1)).alias("dir_name"))
 )
-query("slugify", r"""with k as (select doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9\s\-]', '', 'g'), '[\s_\-]+', '-', 'g'), '-') as s from documents) select doc_id, case when s = '' then 'untitled' else s end as slug from k""")(
+query("slugify", r"""with k as (select doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9\s\-]', '', 'g'), '[\s_\-]+', '-', 'g'), '-') as s from documents)
+ select doc_id, case when s = '' then 'untitled' else s end as slug from k""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", U.slugify(F.substring_index("text", "\n", 1)).alias("slug"))
 )
 
@@ -121,14 +122,17 @@ _MORE = "html || '<a href=\"/page/' || (page_id % 9) || '\">more</a><a href=\"?p
 _LINKED = _LINKS.replace("from pages)", f"from (select page_id, url, {_MORE} as html from pages))")
 
 
-@query("pagination_links", f"with {_LINKED}, s as (select *, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as a, regexp_extract(link, '^(?:{_S}:)?//([^/?#]*)', 1) as b from links) select page_id, link from s where a = b and regexp_matches(link, '(?i)[?&]page=\\d+|/page/\\d+|/p/\\d+')")
+@query("pagination_links", f"""with {_LINKED}, s as (select *, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as a, regexp_extract(link, '^(?:{_S}:)?//([^/?#]*)', 1) as b from links)
+ select page_id, link from s where a = b and regexp_matches(link, '(?i)[?&]page=\\d+|/page/\\d+|/p/\\d+')""")
 def pagination_links(spark, d):
     pages = _linked(spark, d)
     found = H.links(pages).join(pages.select("page_id", "url"), "page_id")
     return found.filter((U.netloc(F.col("url")) == U.netloc(F.col("link"))) & H.is_pagination(F.col("link"))).select("page_id", "link")
 
 
-@query("accept_links", f"with {_LINKED}, s as (select page_id, link, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as base, {_parts('link')} from links), g as (select *, {_SEGS} from s) select page_id, link from g where net = base and contains(link, '/') and not contains(link, 'tag') and {_TIER} = 'article'")
+@query("accept_links", f"""with {_LINKED}, s as (select page_id, link, regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1) as base, {_parts('link')} from links),
+ g as (select *, {_SEGS} from s)
+ select page_id, link from g where net = base and contains(link, '/') and not contains(link, 'tag') and {_TIER} = 'article'""")
 def accept_links(spark, d):
     pages = _linked(spark, d)
     rules = pages.select("page_id", U.netloc(F.col("url")).alias("base_host"), F.lit("/").alias("include_pattern"), F.lit("tag").alias("exclude_pattern"))
@@ -149,13 +153,17 @@ def _article_sql(title: str, body: str) -> str:
     return f"length(b) >= 300 and {lines} and {linked} and not (t in ('404', 'page not found', 'not found') or (contains(t, '404') and contains(t, 'not found'))) and not ({listing})"
 
 
-query("is_article", rf"with a as (select doc_id, lower(trim(split_part(coalesce(text, ''), chr(10), 1))) as t, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b from documents) select doc_id, {_article_sql('t', 'b')} as is_article from a")(
+query("is_article", rf"""with a as (select doc_id, lower(trim(split_part(coalesce(text, ''), chr(10), 1))) as t, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') as b from documents)
+ select doc_id, {_article_sql('t', 'b')} as is_article from a""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", H.is_article(F.substring_index("text", "\n", 1), F.col("text")).alias("is_article"))
 )
-query("extract_articles", rf"with e as (select page_id, url, case when {_TITLE} = '' then url else {_TITLE} end as title, {_PARAS} as body from pages), a as (select *, lower(trim(title)) as t, regexp_replace(body, '^\s+|\s+$', '', 'g') as b from e) select page_id, title, body as content_md from a where {_article_sql('t', 'b')}")(
+query("extract_articles", rf"""with e as (select page_id, url, case when {_TITLE} = '' then url else {_TITLE} end as title, {_PARAS} as body from pages),
+ a as (select *, lower(trim(title)) as t, regexp_replace(body, '^\s+|\s+$', '', 'g') as b from e)
+ select page_id, title, body as content_md from a where {_article_sql('t', 'b')}""")(
     lambda spark, d: io.extract_articles(table(spark, d, "pages")).select("page_id", "title", "content_md")
 )
-query("strip_boilerplate", r"with l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda s: not regexp_matches(s, '^\s*$') and not regexp_matches(s, '^\s*http') and not starts_with(s, '![') and not regexp_matches(s, '^\s*\[\[(?:IMG|VIDEO):')) as ls from documents) select doc_id, md5(case when len(ls) > 0 and len(list_filter(ls, lambda s: not regexp_matches(s, '(?i)licen[cs]ed? |all rights reserved|!!'))) = 0 then '' else text end) as body_md5 from l")(
+query("strip_boilerplate", r"""with l as (select doc_id, text, list_filter(string_split(text, chr(10)), lambda s: not regexp_matches(s, '^\s*$') and not regexp_matches(s, '^\s*http') and not starts_with(s, '![') and not regexp_matches(s, '^\s*\[\[(?:IMG|VIDEO):')) as ls from documents)
+ select doc_id, md5(case when len(ls) > 0 and len(list_filter(ls, lambda s: not regexp_matches(s, '(?i)licen[cs]ed? |all rights reserved|!!'))) = 0 then '' else text end) as body_md5 from l""")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", F.md5(H.strip_boilerplate(F.col("text"), "(?i)licen[cs]ed? |all rights reserved|!!")).alias("body_md5"))
 )
 @query("is_feed_document", "select page_id, page_id % 4 = 0 or (page_id % 4 <> 1 and regexp_matches(lower(substr(ltrim(html), 1, 1500)), '<rss|<feed|<rdf:rdf|<channel')) as is_feed from pages")
@@ -165,7 +173,8 @@ def is_feed_document(spark, d):
     return table(spark, d, "pages").select("page_id", H.is_feed_document(html).alias("is_feed"))
 
 
-@query("feed_of_site", f"with {_P}, f as (select net as site, page_id % 5 as path_ord, min(url) as url from parts where page_id % 3 = 0 group by 1, 2) select site, arg_min(url, path_ord) as url from f group by 1")
+@query("feed_of_site", f"""with {_P}, f as (select net as site, page_id % 5 as path_ord, min(url) as url from parts where page_id % 3 = 0 group by 1, 2)
+ select site, arg_min(url, path_ord) as url from f group by 1""")
 def feed_of_site(spark, d):
     """The first well-known path of each site whose document is a feed: every third page is one, at one of five paths."""
     p = table(spark, d, "pages")
@@ -201,12 +210,14 @@ _ROOT = "sch || '://' || net"
 _UP = f"{_ROOT} || regexp_replace(regexp_replace(pth, '[^/]*$', ''), '[^/]+/$', '') || case when regexp_replace(pth, '[^/]*$', '') = '' then '/' else '' end || 'up/a.avif'"
 
 
-@query("extract_images", f"with {_P}, i as (select page_id, [{_ROOT} || '/pics/' || page_id || '.jpg', {_ROOT} || '/assets/logo.svg', {_UP}, {_ROOT} || '/lead-' || page_id || '.jpg'] as x from parts) select page_id, unnest(range(4)) as pos, unnest(x) as image from i")
+@query("extract_images", f"""with {_P}, i as (select page_id, [{_ROOT} || '/pics/' || page_id || '.jpg', {_ROOT} || '/assets/logo.svg', {_UP}, {_ROOT} || '/lead-' || page_id || '.jpg'] as x from parts)
+ select page_id, unnest(range(4)) as pos, unnest(x) as image from i""")
 def extract_images(spark, d):
     return _dressed(spark, d).select("page_id", F.posexplode(H.images(F.col("html"), F.col("url"))).alias("pos", "image"))
 
 
-@query("extract_videos", f"with {_P}, i as (select page_id, ['https://www.youtube.com/embed/' || page_id, {_ROOT} || '/films/' || page_id || '.mp4'] as x from parts) select page_id, unnest(range(2)) as pos, unnest(x) as video from i")
+@query("extract_videos", f"""with {_P}, i as (select page_id, ['https://www.youtube.com/embed/' || page_id, {_ROOT} || '/films/' || page_id || '.mp4'] as x from parts)
+ select page_id, unnest(range(2)) as pos, unnest(x) as video from i""")
 def extract_videos(spark, d):
     return _dressed(spark, d).select("page_id", F.posexplode(H.videos(F.col("html"), F.col("url"))).alias("pos", "video"))
 
@@ -260,7 +271,8 @@ def has_video(spark, d):
 
 @query(
     "clean_image_list",
-    f"""with {_P}, t as (select page_id, {_TITLE} as title from pages), u as (select page_id, {_ROOT} || '/pics/' || page_id || '.jpg' || chr(10) || {_UP} || chr(10) || {_ROOT} || '/lead-' || page_id || '.jpg' as images from parts)
+    f"""with {_P}, t as (select page_id, {_TITLE} as title from pages),
+ u as (select page_id, {_ROOT} || '/pics/' || page_id || '.jpg' || chr(10) || {_UP} || chr(10) || {_ROOT} || '/lead-' || page_id || '.jpg' as images from parts)
  select page_id, images, '[[IMG:1]]' || chr(10) || chr(10) || '[[IMG:2]]' || chr(10) || chr(10) || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || '[[IMG:0]]' || chr(10) || chr(10) || title as body from t join u using (page_id)""",
 )
 def clean_image_list(spark, d):
@@ -272,7 +284,8 @@ def clean_image_list(spark, d):
 _MAP_PAGES = 40
 
 
-@query("sitemap_urls", rf"""with {_P}, locs as (select net, url, min(page_id) as page_id from parts group by net, url), r as (select net as site, url as loc, row_number() over (partition by net order by page_id, url) - 1 as rn, sch from (select l.*, p.sch from locs l join parts p using (page_id)))
+@query("sitemap_urls", rf"""with {_P}, locs as (select net, url, min(page_id) as page_id from parts group by net, url),
+ r as (select net as site, url as loc, row_number() over (partition by net order by page_id, url) - 1 as rn, sch from (select l.*, p.sch from locs l join parts p using (page_id)))
  select site, loc from r where rn < least(300, 11 * {_MAP_PAGES}) and contains(loc, '/')""")
 def sitemap_urls(spark, d):
     """Each host's robots file names an index, which names maps of some pages each; they are read with the include text and the limits."""
@@ -316,14 +329,20 @@ _SITE = rf"regexp_extract(url, '^(?:{_S}:)?//([^/?#]*)', 1)"
 @query(
     "crawl_site",
     rf"""with recursive {_LINKS.strip()},
- nodes as (select {_SITE} as site, regexp_replace(split_part(url, '#', 1), '/+$', '') as u, page_id from pages), firsts as (select site, min(u) as seed, min(page_id) as p from nodes group by site),
+ nodes as (select {_SITE} as site, regexp_replace(split_part(url, '#', 1), '/+$', '') as u, page_id from pages),
+ firsts as (select site, min(u) as seed, min(page_id) as p from nodes group by site),
  edges as (select distinct n.u as src, n.site, split_part(l.link, '#', 1) as dst from links l join nodes n on n.page_id = l.page_id join firsts f on f.site = n.site where f.p % 2 = 0 and regexp_extract(l.link, '^(?:{_S}:)?//([^/?#]*)', 1) = n.site),
  walk(site, u) as (select site, seed from firsts union select e.site, e.dst from walk w join edges e on e.src = w.u and e.site = w.site),
- known as (select distinct w.site, regexp_replace(w.u, '/+$', '') as link, seed from walk w join firsts using (site)), k as (select *, {_parts('link')} from known), g as (select *, {_SEGS} from k),
+ known as (select distinct w.site, regexp_replace(w.u, '/+$', '') as link, seed from walk w join firsts using (site)),
+ k as (select *, {_parts('link')} from known),
+ g as (select *, {_SEGS} from k),
  way0 as (select site, link as url from g where net = site and link <> seed and {_TIER} = 'article'),
- more1 as (select site, 'https://' || site || '/page/2' as url from firsts where p % 3 = 0), way1 as (select * from more1 where site not in (select site from way0)),
+ more1 as (select site, 'https://' || site || '/page/2' as url from firsts where p % 3 = 0),
+ way1 as (select * from more1 where site not in (select site from way0)),
  way2 as (select site, 'https://' || site || '/feed/one' as url from firsts where site not in (select site from way0) and site not in (select site from way1))
- select site, url, 0 as way from way0 union all select site, url, 1 from way1 union all select site, url, 2 from way2""",
+ select site, url, 0 as way from way0
+ union all select site, url, 1 from way1
+ union all select site, url, 2 from way2""",
 )
 def crawl_site(spark, d):
     """Article addresses of every host from its first page on; hosts whose links are left out take further pages, or else their feed."""
@@ -344,7 +363,8 @@ _REASON = (
 )
 
 
-@query("skip_reasons", f"with f as (select event_type as source, lower(event_type || ' status ' || cast(floor(value) as bigint)) as m from events) select source, {_REASON} as reason, count(*) as n from f group by all")
+@query("skip_reasons", f"""with f as (select event_type as source, lower(event_type || ' status ' || cast(floor(value) as bigint)) as m from events)
+ select source, {_REASON} as reason, count(*) as n from f group by all""")
 def skip_reasons(spark, d):
     e = table(spark, d, "events")
     return aggs.skip_reasons(e.select(F.col("event_type").alias("source"), F.concat("event_type", F.lit(" status "), F.floor("value").cast("string")).alias("message")))
