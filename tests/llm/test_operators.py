@@ -58,11 +58,11 @@ def test_exact_groups_of_equal_rows_and_null_ids(spark):
 
 
 def test_dedups_of_no_rows_and_map_columns(spark):
-    for f in (exact_dedup.dedup, simhash.dedup, mixing.mixed_rows):
+    for f in (exact_dedup.dedup, simhash.dedup, simhash.dedup_similar, mixing.mixed_rows):
         assert f(table(spark, [])).count() == 0
     assert exact_dedup.exact_groups(table(spark, [])).count() == 0 and simhash.near_groups(table(spark, [])).count() == 0
     docs = table(spark, [(1, "a b c", "s"), (1, "a b c", "s"), (None, "", "t"), (None, None, "t")]).withColumn("extra", F.create_map(F.lit("k"), F.col("row")))
-    for f in (exact_dedup.dedup, simhash.dedup):
+    for f in (exact_dedup.dedup, simhash.dedup, simhash.dedup_similar):
         got = f(docs)
         assert got.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [("1", "a b c"), ("None", "")]
 
