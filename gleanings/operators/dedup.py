@@ -124,8 +124,9 @@ def _near_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Near pairs of sets (class_id, s).
 
     The coefficient is at least Jaccard, so it is the larger of the two. With shingles in order of rarity, a set of n that shares
-    ceil(t n) of them with a larger one has one of its first n - ceil(t n) + 1 in common; only these meet in the join. Both sides of that join
-    are dealt out by Spark, which splits a hot shingle; sets differ, so a group of copies meets others once.
+    ceil(t n) of them with a larger one has k of its first n - ceil(t n) + k in common; only these meet in the join, and with k a fiftieth of n
+    the count of what met leaves hardly any pair that is not near. Both sides of that join are dealt out by Spark, which splits a hot
+    shingle; sets differ, so a group of copies meets others once.
     """
     each = sets.select(F.col("class_id").alias("id"), F.size("s").alias("n"), F.explode("s").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -134,9 +135,10 @@ def _near_pairs(sets: DataFrame, percent: int) -> DataFrame:
     alone = ranked.groupBy("id").agg((F.first("n") - F.count("*")).alias("lead"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
     placed = ranked.withColumn("p", place).join(alone, "id")
-    prefix = placed.filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + 1")).select(F.col("id").alias("a"), F.col("n").alias("na"), "h")
+    prefix = placed.withColumn("k", F.expr("greatest(1, n div 50)")).filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + k")).select(F.col("id").alias("a"), F.col("n").alias("na"), "k", "h")
     full = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    met = written(prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))").select("a", "b").distinct())
+    shared = prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
+    met = written(shared.filter("shared >= k").select("a", "b"))
     pairs = met.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
     both, _ = shingle_overlap(F.col("sa"), F.col("sb"))
     return pairs.select("a", "b", both.alias("overlap"), F.size("sa").cast("long").alias("least")).filter(F.col("overlap") * 100 >= F.col("least") * percent)
