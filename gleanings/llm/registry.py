@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanings.llm import exact_dedup, language_model, line_dedup, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
+from gleanings.llm import exact_dedup, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
 from gleanings.session import table
 
 
@@ -103,6 +103,53 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every document; a fifth of them by a hash of the id are tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", url_filter.UPPER, url_filter.LOWER)
+    changed = merkle.leaf([lower if f == "text" else F.col(f) for f in merkle.FIELDS])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0  # a null id is never hit
+    found = merkle.proofs(merkle.build(docs, keep={"tampered": F.when(hit, changed)}))
+    folded = merkle.folded(F.coalesce("tampered", "node"), F.col("path"))
+    rows = found.select(F.col("order").alias("doc_id"), F.col("node").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _tree_sql(base: str, key: str, levels: int) -> str:
+    """CTEs base1, base2, ...: parents of sixteen nodes each, where a group has several."""
+    up = lambda k: f"{base}{k} as (select {key}, place // 16 as place, (max(n) + 15) // 16 as n, sha256(string_agg(node, '' order by place)) as node from {base}{k - 1} where n > 1 group by {key}, place // 16)"
+    return ", ".join(up(k) for k in range(1, levels + 1))
+
+
+def _all_sql(base: str, key: str, levels: int) -> str:
+    return " union all ".join(f"select {k} as k, {key}, place, n, node from {base}{k}" for k in range(levels + 1))
+
+
+def _paths_sql(base: str, key: str) -> str:
+    """Of each node of level 0 the list of "left|right" siblings, level by level."""
+    return f"""select {key}, place, list(l || '|' || r order by k) as path from (
+  select b.{key}, b.place, a.k, coalesce(string_agg(a.node, '' order by a.place) filter (a.place < b.place // (16 ** a.k)::bigint), '') as l,
+         coalesce(string_agg(a.node, '' order by a.place) filter (a.place > b.place // (16 ** a.k)::bigint), '') as r
+  from {base}0 b join all_{base} a on a.{key} is not distinct from b.{key} and a.place // 16 = b.place // (16 ** (a.k + 1))::bigint where a.n > 1 group by all) group by all"""
+
+
+_LEAF = lambda text: "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+OP11_SQL = f"""
+with d as (select doc_id, source, {_LEAF("text")} as node, case when {_CRC} % 5 = 0 then {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as tampered from documents),
+ n0 as (select *, row_number() over (partition by source order by doc_id nulls first, node) - 1 as place, count(*) over (partition by source) as n from d),
+ {_tree_sql("n", "source", 7)}, all_n as ({_all_sql("n", "source", 7)}), s as (select source, node from all_n where n = 1),
+ t0 as (select 0 as one, source, node, row_number() over (order by source nulls first) - 1 as place, count(*) over () as n from s),
+ {_tree_sql("t", "one", 7)}, all_t as ({_all_sql("t", "one", 7)}), top as (select node as root from all_t where n = 1),
+ pn as ({_paths_sql("n", "source")}), pt as ({_paths_sql("t", "one")}),
+ p as (select n0.doc_id, n0.node as leaf, tampered, t0.node as subroot, root, list_concat(coalesce(pn.path, []), coalesce(pt.path, [])) as path
+       from n0 join t0 on n0.source is not distinct from t0.source cross join top
+       left join pn on pn.source is not distinct from n0.source and pn.place = n0.place left join pt on pt.place = t0.place),
+ f as (select *, list_reduce(list_concat([coalesce(tampered, leaf)], path), lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) as folded_root from p)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from f
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -114,5 +161,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
