@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanings.llm import exact_dedup, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter
+from gleanings.llm import exact_dedup, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter, warc
+from gleanings.llm.common import checkpoint_dir
 from gleanings.session import table
 
 
@@ -150,6 +153,28 @@ select doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|
 """
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from the archives that it was written to."""
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(warc.page_records(table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z"), path)
+    columns = "record_id string, record_type string, payload_digest string, payload_length long, refers_to string, payload binary"
+    found = warc.read(spark, path, columns, [("record_type", "in", ["response", "revisit"])])
+    # what a response holds is measured; a revisit says what it refers to
+    payload = F.col("payload")
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"), F.coalesce(F.octet_length(payload).cast("long"), "payload_length").alias("payload_bytes"),
+        F.coalesce(F.sha1(payload), "payload_digest").alias("payload_digest"), "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+OP12_SQL = r"""
+with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+ k as (select *, max(page_id) over (partition by payload_digest) as kept from p)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < kept then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id < kept then kept end as refers_to from k
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -162,5 +187,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc": op12_warc,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
