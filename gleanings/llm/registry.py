@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanings.llm import exact_dedup, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter, warc
+from gleanings.llm import collocations, exact_dedup, language_model, line_dedup, merkle, mixing, quality_classifier, quality_rules, sentencepiece_codec, simhash, substring_dedup, url_filter, warc
 from gleanings.llm.common import checkpoint_dir
 from gleanings.session import table
 
@@ -175,6 +175,25 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 a
 """
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n and score of the first 2,000 phrases of each language."""
+    return collocations.ranked(collocations.collocations(table(spark, sf_dir, "documents")))
+
+
+OP13_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents where text is not null),
+ spans as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces where len(w) > 0), each as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from spans, range(1, 6) x(m) where i + m - 1 <= len(w)),
+ totals as (select lang, count(*) as n from each where m = 1 group by lang), counts as (select lang, m, phrase, count(*) as c from each group by all having count(*) >= 100),
+ cand as (select lang, m, phrase, c as a, string_split(phrase, ' ') as w from counts where m > 1),
+ cuts as (select lang, phrase, a, m, k, array_to_string(w[:k], ' ') as x, array_to_string(w[k + 1:], ' ') as y from cand, range(1, 5) t(k) where k < m),
+ scored as (select cuts.*, l.c as l, r.c as r, n, (1000::hugeint * a * n // (l.c::hugeint * r.c))::bigint as score from cuts join counts l on l.lang = cuts.lang and l.phrase = x join counts r on r.lang = cuts.lang and r.phrase = y join totals on totals.lang = cuts.lang),
+ best as (select *, row_number() over (partition by lang, phrase order by score, k) as place from scored),
+ kept as (select * from best b where place = 1 and not exists (select 1 from cand o where o.lang = b.lang and o.m > b.m and 100 * o.a >= 100 * b.a and contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))),
+ placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from placed where rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -188,5 +207,6 @@ QUERIES = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_warc": op12_warc,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op9_mixing": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_warc": OP12_SQL, "op13_collocations": OP13_SQL}
