@@ -1,6 +1,6 @@
 """Phrase collocations: which words stand together more often than their counts suggest, by direct-address tiling.
 
-Texts are encoded once: blocks of some 500,000 words of one language with the block's own word numbers, zero between pieces. All counts
+Texts are encoded once: blocks of some 250,000 words of one language with the block's own word numbers, zero between pieces. All counts
 read these blocks with numpy. Units (words at first) are ranked by frequency; a pair of a unit and the word behind it has the tile of both ranks. A pair of
 two head ranks is counted at its own address in the tile, by bincount; all other tiles are sparse, and their pairs are sorted coordinate lists with run
 lengths. Tasks pre-aggregate both and Spark adds them up. Pairs that are frequent are the next level's units, ranked anew: so phrases of two words
@@ -33,8 +33,9 @@ from gleanings.llm.common import small_batches, staged, texts
 #: Ends a piece; no UTF-8 text has this byte.
 CUT = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + CUT * 10)
-#: Words of a block; bytes of a text that are split at once; ranked head units of a level; side of a tile; pairs that are sorted at once; bits of a set.
-BLOCK_WORDS, SPLIT_BYTES, HEAD, SIDE, SORTED, MOST_BITS = 500_000, 4 << 20, 2048, 512, 1_000_000, 28
+#: Words of a block; bytes of a text that are split at once; ranked head units of a level; side of a tile; pairs that are sorted at once; rows of an
+#: Arrow batch; phrases that a task remembers to have told; bits of a set.
+BLOCK_WORDS, SPLIT_BYTES, HEAD, SIDE, SORTED, BATCH_ROWS, TOLD, MOST_BITS = 250_000, 1 << 20, 2048, 512, 400_000, 50_000, 200_000, 28
 _TIMES, _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64), np.uint64(0xD6E8FEB86659FD93)
 _COUNTS = "k1 long, k2 long, c long"
 
@@ -167,13 +168,15 @@ def _block(batch: pa.RecordBatch, i: int) -> tuple[str, list[bytes], np.ndarray]
     return batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> pa.RecordBatch:
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Keys with their numbers, equal ones in one row."""
     keys = keys[order := np.argsort(keys[:, 0])]
     begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
     n = np.diff(np.append(begins, len(keys))) if counts is None else np.add.reduceat(counts[order], begins) if len(keys) else counts
     found = keys[begins].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(n.astype(np.int64))], names=["k1", "k2", "c"])
+    for i in range(0, len(found), BATCH_ROWS):
+        part = found[i : i + BATCH_ROWS]
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(n[i : i + BATCH_ROWS].astype(np.int64))], names=["k1", "k2", "c"])
 
 
 class Tiles:
@@ -199,18 +202,18 @@ class Tiles:
         self.sparse.append(keys[~near])
         self.waiting += len(self.sparse[-1])
 
-    def flush(self) -> pa.RecordBatch:
-        found, self.sparse, self.waiting = _counted(np.concatenate(self.sparse)), [], 0
-        return found
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        keys, self.sparse, self.waiting = np.concatenate(self.sparse), [], 0
+        return _counted(keys)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.sparse:
-            yield self.flush()
+            yield from self.flush()
         across = -(-HEAD // SIDE)
         for name, tile in self.dense.items():
             cells = np.flatnonzero(tile)
             i, j = name // across * SIDE + cells // SIDE, name % across * SIDE + cells % SIDE
-            yield _counted(extended(self.units.keys[i], self.words.keys[j]), tile[cells])
+            yield from _counted(extended(self.units.keys[i], self.words.keys[j]), tile[cells])
 
 
 def phrases(words: np.ndarray, numbers: np.ndarray, sets: list[BitSet], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -239,7 +242,8 @@ def word_counts(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, numbers = _block(batch, i)
-                yield _counted(word_keys(words[1:], lang), np.bincount(numbers, minlength=len(words))[1:]) if len(words) > 1 else _counted(np.zeros((0, 2), np.uint64))
+                if len(words) > 1:
+                    yield from _counted(word_keys(words[1:], lang), np.bincount(numbers, minlength=len(words))[1:])
 
     small_batches(blocks.sparkSession)
     return blocks.select("lang", "words", "numbers").mapInArrow(run, _COUNTS).groupBy("k1", "k2").agg(F.sum("c").alias("c"))
@@ -261,7 +265,7 @@ def phrase_counts(blocks: DataFrame, sets: list[BitSet], units: Head, words: Hea
                 *_, (at, keys, parts) = phrases(of_words, numbers, sets, m)
                 tiles.add(ranked[numbers[at]] if m == 2 else units.ranks(parts), ranked[numbers[at + m - 1]], keys)
                 if tiles.waiting > SORTED:
-                    yield tiles.flush()
+                    yield from tiles.flush()
         yield from tiles.rows()
 
     small_batches(spark)
@@ -287,7 +291,7 @@ def phrase_texts(blocks: DataFrame, sets: list[BitSet]) -> DataFrame:
                         if (k1, k2) not in told:
                             told.add((k1, k2))
                             out.append((k1, k2, lang, m, b" ".join([words[x] for x in numbers[p : p + m]]).decode("utf-8", "replace")))
-                if len(told) > 1_000_000:
+                if len(told) > TOLD:
                     told.clear()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["k1", "k2", "lang", "m", "phrase"])
