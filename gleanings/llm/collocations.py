@@ -3,12 +3,13 @@
 Texts are encoded once: blocks of some 250,000 words of one language with the block's own word numbers, zero between pieces. All counts
 read these blocks with numpy. Units (words at first) are ranked by frequency; a pair of a unit and the word behind it has the tile of both ranks. A pair of
 two head ranks is counted at its own address in the tile, by bincount; all other tiles are sparse, and their pairs are sorted coordinate lists with run
-lengths. Tasks pre-aggregate both and Spark adds them up. Pairs that are frequent are the next level's units, ranked anew: so phrases of two words
+lengths. Tasks pre-aggregate both and Spark adds them up. Of the pairs of words outside the head, which are mostly rare, only those are counted that share a
+bucket with enough others: a pass before that adds up buckets of 40 bits, whose sums bound the counts from above. Pairs that are frequent are the next level's units, ranked anew: so phrases of two words
 become phrases of three, of which both parts of two words must be frequent, and so on.
 
 Words and phrases are told apart by 128 bits that follow from their words and language. What travels with the tasks is bounded: ``HEAD`` units of each level, and one bit set
 a level that holds the frequent units (at most 2 ** ``MOST_BITS`` bits; the fuller it is, the more rare pairs are counted in vain; nothing is lost). Everything else meets by
-joins. Texts of frequent phrases are looked up in the blocks in the end.
+joins: a pair is counted under the first 64 bits of its unit and of its word, and a frequent one gets its words from the tables of both.
 
 Defined results: a null text is empty, a null language is ``und``; A-Z are lower-cased; n counts all words of a language; occurrences may overlap and
 never cross a piece; repeated rows count each time; a language without a frequent phrase has no row; of cuts with the same floored score the shortest first part
@@ -35,9 +36,9 @@ CUT = b"\xff"
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + CUT * 10)
 #: Words of a block; bytes of a text that are split at once; ranked head units of a level; side of a tile; pairs that are sorted at once; rows of an
 #: Arrow batch; phrases that a task remembers to have told; bits of a set.
-BLOCK_WORDS, SPLIT_BYTES, HEAD, SIDE, SORTED, BATCH_ROWS, TOLD, MOST_BITS = 250_000, 1 << 20, 2048, 512, 400_000, 50_000, 200_000, 28
+BLOCK_WORDS, SPLIT_BYTES, HEAD, SIDE, SORTED, BATCH_ROWS, TOLD, MOST_BITS = 250_000, 1 << 20, 1024, 256, 400_000, 50_000, 200_000, 28
 _TIMES, _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64), np.uint64(0xD6E8FEB86659FD93)
-_COUNTS = "k1 long, k2 long, c long"
+_COUNTS, _NAMED = "unit long, word long, c long", "k1 long, k2 long, c long, lang string, m int, phrase string"
 
 
 # ---- blocks --------------------------------------------------------------------------------------------------------------------
@@ -118,14 +119,18 @@ def extended(units: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+#: Bits of a bucket of pairs, and those by which a key's second bit is found.
+BUCKET, SECOND = np.uint64((1 << 40) - 1), 12
+
+
 class BitSet:
-    """Which keys may be frequent: two bits each."""
+    """Which keys may be frequent: two bits each, from the key's first 40."""
 
     def __init__(self, words: np.ndarray):
         self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
 
     def __getitem__(self, keys: np.ndarray) -> np.ndarray:
-        a, b = keys[:, 0] & self.mask, (keys[:, 0] >> np.uint64(32)) & self.mask
+        a, b = keys[:, 0] & self.mask, (keys[:, 0] >> np.uint64(SECOND)) & self.mask
         bit = lambda at: (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
         return (bit(a) & bit(b)).astype(bool)
 
@@ -134,7 +139,7 @@ def bit_set(frequent: DataFrame) -> BitSet:
     """The bit set of a table (k1): the driver gets its words of 64 bits, which are bounded, not the keys."""
     bits = min(MOST_BITS, max(16, (16 * frequent.count()).bit_length()))
     mask = (1 << bits) - 1
-    at = frequent.select(F.explode(F.array(F.expr(f"k1 & {mask}L"), F.expr(f"shiftrightunsigned(k1, 32) & {mask}L"))).alias("at"))
+    at = frequent.select(F.explode(F.array(F.expr(f"k1 & {mask}L"), F.expr(f"shiftrightunsigned(k1, {SECOND}) & {mask}L"))).alias("at"))
     rows = at.groupBy(F.expr("at div 64").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("w")).toPandas()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[rows["i"].to_numpy(np.int64)] = rows["w"].to_numpy(np.int64).view(np.uint64)
@@ -168,15 +173,15 @@ def _block(batch: pa.RecordBatch, i: int) -> tuple[str, list[bytes], np.ndarray]
     return batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), np.frombuffer(batch.column(2)[i].as_buffer(), np.int32)
 
 
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-    """Keys with their numbers, equal ones in one row."""
-    keys = keys[order := np.argsort(keys[:, 0])]
-    begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else np.zeros(0, np.int64)
-    n = np.diff(np.append(begins, len(keys))) if counts is None else np.add.reduceat(counts[order], begins) if len(keys) else counts
-    found = keys[begins].view(np.int64)
+def _counted(pairs: np.ndarray, counts: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (sort key, unit, word) with their numbers, equal ones in one row."""
+    pairs = pairs[order := np.argsort(pairs[:, 0])]
+    begins = np.flatnonzero(np.append(True, (pairs[1:, 1:] != pairs[:-1, 1:]).any(axis=1))) if len(pairs) else np.zeros(0, np.int64)
+    n = np.diff(np.append(begins, len(pairs))) if counts is None else np.add.reduceat(counts[order], begins) if len(pairs) else counts
+    found = pairs[begins].view(np.int64)
     for i in range(0, len(found), BATCH_ROWS):
         part = found[i : i + BATCH_ROWS]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.array(n[i : i + BATCH_ROWS].astype(np.int64))], names=["k1", "k2", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(part[:, 1]), pa.array(part[:, 2]), pa.array(n[i : i + BATCH_ROWS].astype(np.int64))], names=["unit", "word", "c"])
 
 
 class Tiles:
@@ -187,8 +192,9 @@ class Tiles:
         self.sparse: list[np.ndarray] = []
         self.waiting = 0
 
-    def add(self, unit_ranks: np.ndarray, word_ranks: np.ndarray, keys: np.ndarray) -> None:
-        near = (unit_ranks >= 0) & (word_ranks >= 0)
+    def add(self, unit_ranks: np.ndarray, word_ranks: np.ndarray, pairs: np.ndarray) -> None:
+        """pairs: rows (sort key, unit, word)."""
+        near = _near(unit_ranks, word_ranks)
         i, j = unit_ranks[near], word_ranks[near]
         across = -(-HEAD // SIDE)
         tile, cell = i // SIDE * across + j // SIDE, i % SIDE * SIDE + j % SIDE
@@ -199,12 +205,12 @@ class Tiles:
             if name not in self.dense:
                 self.dense[name] = np.zeros(SIDE * SIDE, np.int64)
             self.dense[name] += np.bincount(cell[a:b], minlength=SIDE * SIDE)
-        self.sparse.append(keys[~near])
+        self.sparse.append(pairs[~near])
         self.waiting += len(self.sparse[-1])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        keys, self.sparse, self.waiting = np.concatenate(self.sparse), [], 0
-        return _counted(keys)
+        pairs, self.sparse, self.waiting = np.concatenate(self.sparse), [], 0
+        return _counted(pairs)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         if self.sparse:
@@ -213,7 +219,8 @@ class Tiles:
         for name, tile in self.dense.items():
             cells = np.flatnonzero(tile)
             i, j = name // across * SIDE + cells // SIDE, name % across * SIDE + cells % SIDE
-            yield from _counted(extended(self.units.keys[i], self.words.keys[j]), tile[cells])
+            unit, word = self.units.keys[i, 0], self.words.keys[j, 0]
+            yield from _counted(np.stack([unit, unit, word], axis=1), tile[cells])
 
 
 def phrases(words: np.ndarray, numbers: np.ndarray, sets: list[BitSet], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -235,69 +242,106 @@ def phrases(words: np.ndarray, numbers: np.ndarray, sets: list[BitSet], most: in
             at, keys = at[often], keys[often]
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """k1, k2 and c of every word."""
+def frequent_words(blocks: DataFrame, least: int) -> DataFrame:
+    """Words that occur ``least`` times in their language: k1, k2, c, lang, m (1) and phrase."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, numbers = _block(batch, i)
                 if len(words) > 1:
-                    yield from _counted(word_keys(words[1:], lang), np.bincount(numbers, minlength=len(words))[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(words) - 1)), pa.array(words[1:], pa.binary()), pa.array(np.bincount(numbers, minlength=len(words))[1:])], names=["lang", "w", "c"])
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lang, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                keys = np.concatenate([word_keys([w], x) for w, x in zip(words, lang, strict=True)]).view(np.int64)
+                shown = pa.array([w.decode("utf-8", "replace") for w in words])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), batch.column(2), batch.column(0), pa.array(np.ones(len(words), np.int32)), shown], names=["k1", "k2", "c", "lang", "m", "phrase"])
 
     small_batches(blocks.sparkSession)
-    return blocks.select("lang", "words", "numbers").mapInArrow(run, _COUNTS).groupBy("k1", "k2").agg(F.sum("c").alias("c"))
+    counts = blocks.select("lang", "words", "numbers").mapInArrow(count_, "lang string, w binary, c long").groupBy("lang", "w").agg(F.sum("c").alias("c"))
+    return counts.filter(F.col("c") >= least).mapInArrow(name, _NAMED)
 
 
-def phrase_counts(blocks: DataFrame, sets: list[BitSet], units: Head, words: Head) -> DataFrame:
-    """k1, k2 and c of phrases of len(sets) + 1 words whose parts may be frequent."""
-    spark, m = blocks.sparkSession, len(sets) + 1
-    shared = spark.sparkContext.broadcast((sets, units, words))
+def named(pairs: DataFrame, units: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (unit, word, c) as units of one word more: k1, k2, c, lang, m and phrase."""
+    u = units.select(F.col("k1").alias("unit"), F.col("k2").alias("u2"), "lang", F.col("m").alias("m0"), F.col("phrase").alias("front"))
+    w = words.select(F.col("k1").alias("word"), F.col("k2").alias("w2"), F.col("phrase").alias("last"))
+    both = pairs.join(u, "unit").join(w, "word").select("unit", "u2", "word", "w2", "c", "lang", (F.col("m0") + 1).alias("m"), F.concat_ws(" ", "front", "last").alias("phrase"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, units, heads = shared.value
-        tiles = Tiles(units, heads)
+        for batch in batches:
+            if batch.num_rows:
+                lanes = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in range(4)]
+                keys = extended(np.stack(lanes[:2], axis=1), np.stack(lanes[2:], axis=1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), *batch.columns[4:]], names=["k1", "k2", "c", "lang", "m", "phrase"])
+
+    return both.mapInArrow(run, _NAMED)
+
+
+def _near(unit_ranks: np.ndarray, word_ranks: np.ndarray) -> np.ndarray:
+    return (unit_ranks >= 0) & (word_ranks >= 0)
+
+
+def pair_buckets(blocks: DataFrame, words: BitSet, heads: Head) -> DataFrame:
+    """k1 (a bucket) and c: how many pairs of words that may be frequent, not both of the head, fall into it."""
+    shared = blocks.sparkSession.sparkContext.broadcast((words, heads))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, heads = shared.value
+        held, waiting = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(found), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + BATCH_ROWS].view(np.int64)), pa.array(n[i : i + BATCH_ROWS])], names=["k1", "c"])
+
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, numbers = _block(batch, i)
                 of_words = word_keys(words, lang)
                 ranked = heads.ranks(of_words)
-                *_, (at, keys, parts) = phrases(of_words, numbers, sets, m)
-                tiles.add(ranked[numbers[at]] if m == 2 else units.ranks(parts), ranked[numbers[at + m - 1]], keys)
-                if tiles.waiting > SORTED:
-                    yield from tiles.flush()
-        yield from tiles.rows()
+                at, keys, _ = next(phrases(of_words, numbers, [often], 2))
+                held.append(keys[~_near(ranked[numbers[at]], ranked[numbers[at + 1]]), 0] & BUCKET)
+                waiting += len(held[-1])
+                if waiting > SORTED:
+                    yield from out()
+                    held, waiting = [], 0
+        if held:
+            yield from out()
 
-    small_batches(spark)
-    return blocks.select("lang", "words", "numbers").mapInArrow(run, _COUNTS).groupBy("k1", "k2").agg(F.sum("c").alias("c"))
+    small_batches(blocks.sparkSession)
+    return blocks.select("lang", "words", "numbers").mapInArrow(run, "k1 long, c long").groupBy("k1").agg(F.sum("c").alias("c"))
 
 
-def phrase_texts(blocks: DataFrame, sets: list[BitSet]) -> DataFrame:
-    """k1, k2, lang, m and phrase of all phrases that may be frequent (sets for 1, 2, ... words): once a task, at least."""
-    shared = blocks.sparkSession.sparkContext.broadcast(sets)
+def phrase_counts(blocks: DataFrame, sets: list[BitSet], units: Head, words: Head, among: BitSet | None = None) -> DataFrame:
+    """unit, word and c of phrases of len(sets) + 1 words whose parts may be frequent; beyond the tiles of the head those that ``among`` holds."""
+    spark, m = blocks.sparkSession, len(sets) + 1
+    shared = spark.sparkContext.broadcast((sets, units, words, among))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = shared.value
-        told: set[int] = set()
+        sets, units, heads, among = shared.value
+        tiles = Tiles(units, heads)
         for batch in batches:
             for i in range(batch.num_rows):
                 lang, words, numbers = _block(batch, i)
-                out = []
-                for m, (at, keys, _) in enumerate(phrases(word_keys(words, lang), numbers, sets, len(sets)), 2):
-                    often = sets[m - 1][keys]
-                    at, keys = at[often], keys[often]
-                    _, first = np.unique(keys[:, 0], return_index=True)
-                    for p, (k1, k2) in zip(at[first].tolist(), keys[first].view(np.int64).tolist(), strict=True):
-                        if (k1, k2) not in told:
-                            told.add((k1, k2))
-                            out.append((k1, k2, lang, m, b" ".join([words[x] for x in numbers[p : p + m]]).decode("utf-8", "replace")))
-                if len(told) > TOLD:
-                    told.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["k1", "k2", "lang", "m", "phrase"])
+                of_words = word_keys(words, lang)
+                ranked = heads.ranks(of_words)
+                *_, (at, keys, parts) = phrases(of_words, numbers, sets, m)
+                of_units, of_next = ranked[numbers[at]] if m == 2 else units.ranks(parts), ranked[numbers[at + m - 1]]
+                pairs = np.stack([keys[:, 0], parts[:, 0], of_words[numbers[at + m - 1], 0]], axis=1)
+                if among is not None:
+                    some = among[keys] | _near(of_units, of_next)
+                    of_units, of_next, pairs = of_units[some], of_next[some], pairs[some]
+                tiles.add(of_units, of_next, pairs)
+                if tiles.waiting > SORTED:
+                    yield from tiles.flush()
+        yield from tiles.rows()
 
-    small_batches(blocks.sparkSession)
-    return blocks.select("lang", "words", "numbers").mapInArrow(run, "k1 long, k2 long, lang string, m int, phrase string")
+    small_batches(spark)
+    return blocks.select("lang", "words", "numbers").mapInArrow(run, _COUNTS).groupBy("unit", "word").agg(F.sum("c").alias("c"))
 
 
 # ---- scores --------------------------------------------------------------------------------------------------------------------
@@ -345,20 +389,20 @@ def collocations(docs: DataFrame, least: int = 100, words: int = 5, percent: int
     """
     blocks = staged(encoded(docs, lang, text))
     totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = [staged(word_counts(blocks).filter(F.col("c") >= least))]
+    often = [staged(frequent_words(blocks, least))]
     sets, heads = [bit_set(often[0])], [head(often[0])]
-    while len(sets) < words:
-        often.append(staged(phrase_counts(blocks, sets, heads[-1], heads[0]).filter(F.col("c") >= least)))
-        sets.append(bit_set(often[-1]))
-        heads.append(head(often[-1]))
-    counts = often[0]
-    for t in often[1:]:
-        counts = counts.unionByName(t)
-    frequent = often[1]
+    among = bit_set(staged(pair_buckets(blocks, sets[0], heads[0]).filter(F.col("c") >= least).select("k1")))
+    while len(often) < words:
+        pairs = phrase_counts(blocks, sets, heads[-1], heads[0], among if len(sets) == 1 else None).filter(F.col("c") >= least)
+        often.append(staged(named(pairs, often[-1], often[0])))
+        if len(often) < words:
+            sets.append(bit_set(often[-1]))
+            heads.append(head(often[-1]))
+    found = often[1]
     for t in often[2:]:
-        frequent = frequent.unionByName(t)
-    told = phrase_texts(blocks, sets).join(frequent.withColumnRenamed("c", "a"), ["k1", "k2"])
-    found = staged(told.groupBy("k1", "k2").agg(F.first("lang").alias("lang"), F.first("m").alias("m"), F.first("phrase").alias("phrase"), F.first("a").alias("a")))
+        found = found.unionByName(t)
+    counts = often[0].unionByName(found).select("k1", "k2", "c")
+    found = found.withColumnRenamed("c", "a")
     cut = staged(cuts(found))
     side = lambda name: counts.select(F.col("k1").alias(f"{name}1"), F.col("k2").alias(f"{name}2"), F.col("c").alias(name))
     scored = cut.join(side("l"), ["l1", "l2"]).join(side("r"), ["r1", "r2"]).join(totals, "lang")
