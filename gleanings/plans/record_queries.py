@@ -670,8 +670,3 @@ def compile_series(spark, d):
     cited = c.filter("chapter_order % 2 = 0").select("series_id", "chapter_order", F.explode(F.array(F.struct(F.lit(2).alias("no"), F.lit("two").alias("title"), F.lit("https://two.example/").alias("url")), F.struct(F.lit(1).alias("no"), "title", F.concat(F.lit("https://one.example/"), "series_id").alias("url")))).alias("s")).select("series_id", "chapter_order", "s.*")
     outlines = series.filter("series_id % 2 = 0").withColumn("outline", F.lit("- outline"))
     return io.compile_series(series.withColumn("topic", F.concat(F.lit("Series "), "series_id")), c, sources=cited, outlines=outlines)
-
-
-query("query_terms", """select item_id, array_to_string(list_distinct_keep, ' ') as terms from (select item_id, list_filter(l, lambda x, i: list_position(l, x) = i) as list_distinct_keep from (select item_id, list_filter(string_split_regex(trim(text), '[\\s、,，/|]+'), lambda x: x <> '' and lower(x) not in ('techniques', 'technique', 'methods', 'method', 'approaches', 'approach')) as l from benchmark))""")(
-    lambda spark, d: table(spark, d, "benchmark").select("item_id", F.array_join(T.query_terms(F.col("text")), " ").alias("terms"))
-)

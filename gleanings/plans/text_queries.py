@@ -149,31 +149,52 @@ def strip_nav(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.strip_nav(F.concat(front, F.coalesce("text", F.lit(""))), "This is part")).alias("body_md5"))
 
 
-_TERMS = r"string_split_regex(trim(text), '[\s、,，/|]+')"
-
-
-@query("atomize_query", f"select item_id, array_to_string(list_filter({_TERMS}, lambda x, i: x <> '' and list_position({_TERMS}, x) = i)[1:5], ' ') as query from benchmark")
+# Chinese queries in front of the items, and how they are cut (stated, because DuckDB has no pattern that looks around).
+_CASES = [
+    ("水印以及甲与识别", ("水印", "甲", "识别")),
+    ("甲乙与丙和丁戊", ("甲乙", "丙", "丁戊")),
+    ("参与目的的确定", ("参与目的的确定",)),
+    ("大模型水印的识别与去除技术", ("大模型水印", "识别", "去除")),
+    ("方法，methods、总结", ()),
+    ("量子计算机硬件与软件工程师的培训班", ("量子计算机硬件", "软件工程师", "培训班")),
+    ("安全与和平以及目的地和的士站", ("安全", "和平", "目的地", "的士站")),
+    ("", ()),
+]
+_ASKED_SQL = f"""c(i, zh, cuts) as (values {", ".join(f"({i}, '{q}', {list(cuts)}::varchar[])" for i, (q, cuts) in enumerate(_CASES))}),
+ w as (select item_id, zh || ' ' || text as q, list_filter(list_concat(cuts, string_split_regex(trim(text), '[\\s、,，/|]+')), lambda x: x <> '' and lower(x) not in ('techniques', 'technique', 'methods', 'method', 'approaches', 'approach')) as l from benchmark join c on i = item_id % {len(_CASES)}),
+ t as (select item_id, q, list_filter(l, lambda x, i: list_position(l, x) = i) as ts from w)"""
+_CUT_SQL = "len(list_filter(range(1, 4), lambda k: k = 1 or (k <= len(ts) and length(regexp_replace(array_to_string(ts[1:k], ''), '[^一-鿿]', '', 'g')) <= 10)))"
+
+
+def _asked(spark, d):
+    zh = F.element_at(F.array(*[F.lit(q) for q, _ in _CASES]), (F.col("item_id") % len(_CASES) + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", F.concat(zh, F.lit(" "), "text").alias("q"))
+
+
+@query("query_terms", f"with {_ASKED_SQL} select item_id, array_to_string(ts, ' ') as terms from t")
+def query_terms(spark, d):
+    return _asked(spark, d).select("item_id", F.array_join(T.query_terms(F.col("q")), " ").alias("terms"))
+
+
+@query("atomize_query", f"with {_ASKED_SQL} select item_id, array_to_string(case when regexp_matches(q, '[一-鿿]') then ts[1:{_CUT_SQL}] else ts[1:5] end, ' ') as query from t")
 def atomize_query(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.atomize_query(F.col("text")).alias("query"))
-
-
-_ROUND = f"list_filter({_TERMS}, lambda x, i: x <> '' and list_position({_TERMS}, x) = i)"
+    return _asked(spark, d).select("item_id", T.atomize_query(F.col("q")).alias("query"))
 
 
 @query(
     "query_rounds",
-    f"""with t as (select item_id, text, {_ROUND} as ts from benchmark),
- r as (select item_id, text as q from t union select item_id, array_to_string(ts[1:len(ts) - 1], ' ') from t where len(ts) > 1 union select item_id, array_to_string(ts[1:len(ts) - 2], ' ') from t where len(ts) > 2)
+    f"""with {_ASKED_SQL},
+ r as (select item_id, q from t union select item_id, array_to_string(ts[1:len(ts) - 1], ' ') from t where len(ts) > 1 union select item_id, array_to_string(ts[1:len(ts) - 2], ' ') from t where len(ts) > 2)
  select item_id, q as query from r""",
 )
 def query_rounds(spark, d):
     """Every query with up to two shortened forms."""
-    return table(spark, d, "benchmark").select("item_id", F.explode(T.query_rounds(F.col("text"))).alias("query"))
+    return _asked(spark, d).select("item_id", F.explode(T.query_rounds(F.col("q"))).alias("query"))
 
 
-_TOPIC = "case item_id % 3 when 0 then text || '？水印 到底怎么样？' when 1 then text else '为什么' end"
+_TOPIC = "case item_id % 4 when 0 then text || '？水印 到底怎么样？' when 1 then text when 2 then '到真的底好，' || text else '为什么' end"
 _SEPARATED = "trim(regexp_replace(regexp_replace(t, '[,，。、！？!?;；：:]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_MANNERLESS = "replace(replace(replace(replace(replace(replace(x, '真的', ''), '到底', ''), '究竟', ''), '其实', ''), '确实', ''), '应该', '')"
+_MANNERLESS = f"regexp_replace(x, '{'|'.join(T.MANNER_WORDS)}', '', 'g')"
 
 
 @query(
@@ -184,8 +205,8 @@ _MANNERLESS = "replace(replace(replace(replace(replace(replace(x, '真的', ''),
  select item_id, case when not zh then s when k <> '' then k when s <> '' then s else t end as terms, case when zh then 'zh' else 'en' end as region from k""",
 )
 def topic_terms(spark, d):
-    """Every item as a topic: as it is, with a Chinese question behind it, or a Chinese question that has nothing but its ending."""
-    t = F.expr("case item_id % 3 when 0 then text || '？水印 到底怎么样？' when 1 then text else '为什么' end")
+    """Every item as a topic: as it is, with a Chinese question behind it, with a word of manner inside another, or nothing but a question's ending."""
+    t = F.expr(_TOPIC)
     return table(spark, d, "benchmark").select("item_id", T.topic_terms(t).alias("terms"), T.region(t).alias("region"))
 
 
@@ -211,13 +232,18 @@ def rescue_fields(spark, d):
     return fields.select("doc_id", F.md5(field("body_md")).alias("body_md5"), field("digest").alias("digest"))
 
 
+_SAID = "case (conv_id + turn) % 6 when 0 then '' when 1 then '### Head' || chr(10) || 'x' when 2 then chr(10) || ' tHinking, ' || text when 3 then text || chr(10) || 'a ## b' else text end"
+
+
 @query(
     "leaked_reasoning",
-    r"""with l as (select conv_id, turn, text, list_filter(string_split(text, chr(10)), lambda s: not regexp_matches(s, '^\s*$')) as ls from conversations)
- select conv_id, turn, starts_with(ltrim(coalesce(ls[1], '')), 'Th') or (len(ls) < 10 and not regexp_matches(text, '(?m)^## ')) as leaked from l""",
+    rf"""with s as (select conv_id, turn, regexp_replace({_SAID}, '^\s+|\s+$', '', 'g') as t from conversations),
+ l as (select *, list_filter(string_split(t, chr(10)), lambda s: not regexp_matches(s, '^\s*$')) as ls from s)
+ select conv_id, turn, t <> '' and (starts_with(lower(ls[1]), 'th') or (len(ls) < 10 and not contains(t, '## '))) as leaked from l""",
 )
 def leaked_reasoning(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.leaked_reasoning(F.col("text"), ["Th"]).alias("leaked"))
+    """Every turn; some empty, some with a heading of the third level, a marker in other case, or the sign of a heading inside a line."""
+    return table(spark, d, "conversations").select("conv_id", "turn", T.leaked_reasoning(F.expr(_SAID.replace("chr(10)", "char(10)")), ["Th"]).alias("leaked"))
 
 
 @query("knowledge_edges", "select distinct 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union select 'world', 'r' || r_regionkey from region")
@@ -474,9 +500,22 @@ def prune_images(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.prune_images(body, listed)).alias("body_md5"))
 
 
-query("op_state", """with e as (select user_id as op_id, event_id, ts, event_type, props from events),
- a as (select op_id, max(event_id) as last_id, arg_max(event_type, event_id) as last_event, count(*) as n, arg_max(props, event_id) as stats from e group by 1)
- select op_id, case last_event when 'purchase' then 'done' when 'error' then 'error' else 'running' end as status, n as lines, stats from a""")(
-    lambda spark, d: batch_twins.op_state(table(spark, d, "events").select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), F.expr("case event_type when 'purchase' then 'finish' when 'error' then 'fail' else 'log' end").alias("event"), F.col("props").alias("stats"))).select("op_id", "status", "lines", "stats")
+_OPS = "case event_type when 'purchase' then 'finish' when 'error' then 'fail' when 'refund' then 'cancel' when 'signup' then 'cancel' else 'log' end"
+
+
+@query(
+    "op_state",
+    f"""with e as (select user_id as op_id, event_id as seq, {_OPS} as event, case when event_id % 3 <> 0 then event_type || event_id end as line, case when event_id % 2 = 0 then props end as stats from events),
+ a as (select op_id, arg_max(event, seq) filter (event <> 'log') as last, count(line) as lines, arg_max(line, seq) filter (line is not null) as last_line, arg_max(stats, seq) filter (stats is not null) as stats from e group by 1),
+ f as (select op_id, max(seq) as seq from e where event in ('fail', 'cancel') group by 1)
+ select a.op_id, case last when 'finish' then 'done' when 'fail' then 'error' when 'cancel' then 'cancelled' else 'running' end as status, lines, last_line, case e.event when 'fail' then e.line when 'cancel' then 'cancelled' end as error, a.stats
+ from a left join f using (op_id) left join e on e.op_id = f.op_id and e.seq = f.seq""",
 )
+def op_state(spark, d):
+    """Users as operations: what comes after an end leaves the status as it is."""
+    e = table(spark, d, "events")
+    line, stats = F.when(F.col("event_id") % 3 != 0, F.concat("event_type", "event_id")), F.when(F.col("event_id") % 2 == 0, F.col("props"))
+    return batch_twins.op_state(e.select(F.col("user_id").alias("op_id"), F.col("event_id").alias("seq"), F.expr(_OPS).alias("event"), line.alias("line"), stats.alias("stats")))
+
+
 query("ingest", batch_twins.INGEST_SQL)(lambda spark, d: batch_twins.ingest_all(spark, d))

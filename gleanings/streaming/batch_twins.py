@@ -10,10 +10,16 @@ from gleanings.session import table
 
 
 def op_state(events: DataFrame) -> DataFrame:
-    """events (op_id, seq, event, stats) -> status by the last event, the number of lines and the latest stats."""
-    last = F.max_by("event", "seq")
+    """events (op_id, seq, event, line, stats) -> status and error by the last of finish, fail and cancel, which are final for what else comes, the number of
+    lines, the last one and the latest stats."""
+    final = F.when(F.col("event").isin("finish", "fail", "cancel"), F.col("seq"))
+    last = F.max_by("event", final)
     status = F.when(last == "finish", "done").when(last == "fail", "error").when(last == "cancel", "cancelled").otherwise("running")
-    return events.groupBy("op_id").agg(status.alias("status"), F.count("*").alias("lines"), F.max_by("stats", F.when(F.col("stats").isNotNull(), F.col("seq"))).alias("stats"))
+    error = F.max_by(F.when(F.col("event") == "fail", F.col("line")).when(F.col("event") == "cancel", "cancelled"), F.when(F.col("event").isin("fail", "cancel"), F.col("seq")))
+    return events.groupBy("op_id").agg(
+        status.alias("status"), F.count("line").alias("lines"), F.max_by("line", F.when(F.col("line").isNotNull(), F.col("seq"))).alias("last_line"), error.alias("error"),
+        F.max_by("stats", F.when(F.col("stats").isNotNull(), F.col("seq"))).alias("stats"),
+    )
 
 
 TOPICS = [("spanish", ["ciónqu", "mente"]), ("english", ["tions"])]

@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleanings.functions import html as H
 from gleanings.functions import urls
@@ -55,36 +55,74 @@ def distinct_within(pages: DataFrame, at: str, delay: str) -> DataFrame:
     return pages.withColumn("fingerprint", urls.fingerprint(F.col("url"))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-_STATE = "status string, seq long, lines array<string>, error string, stats string"
-_OUT = "op_id long, status string, seq long, n_lines int, last_line string, error string, stats string"
+_HEAD = "last string, last_seq long, error string, error_seq long, stats string, stats_seq long, lines long, timer long"
+_OUT = "op_id long, status string, lines long, n_lines int, last_line string, error string, stats string"
+_STATUS = {"finish": "done", "fail": "error", "cancel": "cancelled"}
 
 
-def op_state_stream(events: DataFrame, most_lines: int = 500, stale_seconds: int = 3600) -> DataFrame:
-    """events (op_id, seq, event, line and maybe stats, a JSON text) folded for each operation: status, last lines, error and the latest stats; one
-    that stays silent while it runs ends in error."""
-
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, seq, lines, error, stats = state.get if state.exists else ("running", -1, [], None, None)
-        lines = list(lines)
-        if state.hasTimedOut:
-            status, error = "error", "stale"
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values("seq")
-            for r in rows.itertuples():
-                seq = max(seq, int(r.seq))
-                status = {"finish": "done", "fail": "error", "cancel": "cancelled"}.get(r.event, "running")
-                error = r.line if r.event == "fail" else error
+class OpStates(StatefulProcessor):
+    """State of one operation: a value for what decides its status, a list of its last lines, and a timer while it runs.
+
+    What is kept of each part is that of the largest seq so far, so rows that come late, or in another order, lead to the same state.
+    """
+
+    def __init__(self, most_lines: int, stale_seconds: int):
+        self.most_lines, self.stale_ms = most_lines, stale_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", _HEAD)
+        self.lines = handle.getListState("lines", "seq long, line string")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.head.get()
+        last, last_seq, error, error_seq, stats, stats_seq, n, timer = held if held is not None else (None, -1, None, -1, None, -1, 0, 0)
+        lines = [tuple(x) for x in self.lines.get()]
+        for batch in rows:
+            for r in batch.itertuples():
+                seq, own = int(r.seq), getattr(r, "stats", None)
+                if r.event in _STATUS and seq > last_seq:
+                    last, last_seq = r.event, seq
+                if r.event in ("fail", "cancel") and seq > error_seq:
+                    error, error_seq = (r.line if r.event == "fail" else "cancelled"), seq
+                if own is not None and seq > stats_seq:
+                    stats, stats_seq = own, seq
                 if r.line is not None:
-                    lines.append(r.line)
-                stats = getattr(r, "stats", None) or stats
-            lines = lines[-most_lines:]
-            state.update((status, seq, lines, error, stats))
-            if status == "running":
-                state.setTimeoutDuration(stale_seconds * 1000)
-        yield pd.DataFrame({"op_id": [key[0]], "status": [status], "seq": [seq], "n_lines": [len(lines)], "last_line": [lines[-1] if lines else None], "error": [error], "stats": [stats]})
-
-    return events.groupBy("op_id").applyInPandasWithState(fold, _OUT, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+                    lines.append((seq, r.line))
+                    n += 1
+            lines = sorted(lines)[-self.most_lines :]
+        if timer:
+            self.handle.deleteTimer(timer)
+        timer = 0 if last else timerValues.getCurrentProcessingTimeInMs() + self.stale_ms
+        if timer:
+            self.handle.registerTimer(timer)
+        self.head.update((last, last_seq, error, error_seq, stats, stats_seq, n, timer))
+        self.lines.put(lines) if lines else self.lines.clear()
+        yield self._row(key, _STATUS.get(last, "running"), n, lines, error, stats)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, _, _, _, stats, _, n, _ = self.head.get()
+        lines = [tuple(x) for x in self.lines.get()]
+        self.head.clear()
+        self.lines.clear()
+        yield self._row(key, "error", n, lines, "stale", stats)
+
+    @staticmethod
+    def _row(key: tuple[Any, ...], status: str, n: int, lines: list[tuple], error: str | None, stats: str | None) -> pd.DataFrame:
+        return pd.DataFrame({"op_id": [key[0]], "status": [status], "lines": [n], "n_lines": [len(lines)], "last_line": [lines[-1][1] if lines else None], "error": [error], "stats": [stats]})
+
+    def close(self) -> None:
+        pass
+
+
+def op_state_stream(events: DataFrame, most_lines: int = 500, stale_seconds: int = 3600) -> DataFrame:
+    """events (op_id, seq, event, line and maybe stats, a JSON text) folded for each operation: status and error by the last of finish, fail and cancel, the
+    number of lines, the last of them and the latest stats; one that stays silent while it runs ends in error, and its state is dropped.
+
+    The state store must be RocksDB's, which this sets for the session.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.groupBy("op_id").transformWithStateInPandas(OpStates(most_lines, stale_seconds), _OUT, "update", "processingTime")
 
 
 def failure_stream(failures: DataFrame, path: str, checkpoint: str):

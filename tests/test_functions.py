@@ -51,6 +51,25 @@ def one(spark, column):
         (text.canonical_media, "../../a.png?x=1&amp;y=2", "/a.png?x=1&y=2"),
         (text.atomize_query, "大模型水印的识别与去除技术", "大模型水印 识别 去除"),
         (text.atomize_query, "参与目的", "参与目的"),
+        (text.atomize_query, "水印以及甲与识别", "水印 甲 识别"),
+        (text.atomize_query, "甲乙与丙和丁戊", "甲乙 丙 丁戊"),
+        (text.topic_terms, "到真的底好", "到底好"),
+        (lambda t: text.leaked_reasoning(t, ["I Will"]), "", False),
+        (lambda t: text.leaked_reasoning(t, ["I Will"]), "### Head\nx", False),
+        (lambda t: text.leaked_reasoning(t, ["I Will"]), "\n  i wiLL look\n## a", True),
+        (lambda t: text.leaked_reasoning(t, ["I Will"]), "short", True),
+        (quality.contact_of, "加微信: abc_123 or vx zzz9999", "加微信: abc_123"),
+        (quality.contact_of, "our WeChat account abcdef", None),
+        (quality.contact_of, "our WeChat： abcdef.", "WeChat： abcdef"),
+        (quality.contact_of, "wx: first77, 微信号second88", "微信号second88"),
+        (urls.is_site_chrome, "https://h/a/footer-logo.svg", True),
+        (urls.is_site_chrome, "https://h/a/logo.svg?x", False),
+        (urls.is_site_chrome, "https://h/apple.touch-icon.PNG", True),
+        (urls.is_site_chrome, "https://h/favicon-32x32.ico?v=1", True),
+        (urls.is_site_chrome, "https://h/favicon/a.ico", False),
+        (urls.is_site_chrome, "https://h/Loading.gif#x", True),
+        (urls.is_site_chrome, "https://h/my__ScaleWidth.jpg", True),
+        (urls.is_site_chrome, "plain", False),
         (text.shorten_query, "alpha beta", "alpha"),
         (filters.required_length, 299, 0),
         (filters.required_length, 1499, 1499),

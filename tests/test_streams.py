@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleanings.functions import html, urls
-from gleanings.streaming import streams
+from gleanings.streaming import batch_twins, streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +55,28 @@ def test_op_states(spark, tmp_path):
     assert got == {1: ("done", 2, None), 2: ("error", 2, "bad")}
 
 
+def test_late_rows_end_in_the_twins_states(spark, tmp_path):
+    """Events dealt to batches at random, each in any order: the last rows of the stream are the batch twin's."""
+    import random
+
+    r = random.Random(3)
+    rows = [(i % 17, i, r.choice(["start", "log", "log", "update", "finish", "fail", "cancel"]), r.choice([None, f"line {i}"]), r.choice([None, f'{{"n": {i}}}'])) for i in range(400)]
+    schema = "op_id long, seq long, event string, line string, stats string"
+    shuffled = r.sample(rows, len(rows))
+    for k in range(4):
+        spark.createDataFrame(shuffled[k * 100 : k * 100 + 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    keep = lambda df, batch: out.extend((batch, x) for x in df.collect())
+    q = streams.op_state_stream(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    names = ["op_id", "status", "lines", "last_line", "error", "stats"]
+    final = {x.op_id: tuple(x[c] for c in names) for _, x in sorted(out, key=lambda t: t[0])}
+    twin = batch_twins.op_state(spark.createDataFrame(rows, schema))
+    assert len({b for b, _ in out}) == 4 and final == {x.op_id: tuple(x[c] for c in names) for x in twin.collect()}
+
+
 def test_silent_operations_end_in_error(spark, tmp_path):
     import time
 
