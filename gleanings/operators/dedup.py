@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,19 +120,32 @@ def shingle_classes(docs: DataFrame, id_column: str, text: Column, width: int =
     return members, written(sets)
 
 
-def near_pairs(docs: DataFrame, id_column: str, text: Column, percent: int = 82, width: int = 5) -> DataFrame:
-    """(a, b, overlap, least): pairs of classes whose overlap coefficient is at least percent / 100; a is the one with fewer shingles."""
-    return _near_pairs(shingle_classes(docs, id_column, text, width)[1], percent)
+def near_pairs(docs: DataFrame, id_column: str, text: Column, percent: int = 82, width: int = 5, metric: str = "overlap") -> DataFrame:
+    """(a, b, overlap, least): pairs of classes that are near by at least percent / 100; a is the one with fewer shingles.
+
+    metric: overlap (shared shingles by those of the smaller set, which is at least Jaccard, so the larger of the two) or jaccard.
+    """
+    return _near_pairs(shingle_classes(docs, id_column, text, width)[1], percent, metric)
 
 
-def _near_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def _verified(met: DataFrame, sets: DataFrame, percent: int, metric: str) -> DataFrame:
+    """Of pairs (a, b) those that are near by a full comparison of their sets."""
+    pairs = met.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
+    both, either = shingle_overlap(F.col("sa"), F.col("sb"))
+    of = F.col("either") if metric == "jaccard" else F.col("least")
+    return pairs.select("a", "b", both.alias("overlap"), F.size("sa").cast("long").alias("least"), either.alias("either")).filter(F.col("overlap") * 100 >= of * percent).drop("either")
+
+
+def _near_pairs(sets: DataFrame, percent: int, metric: str = "overlap") -> DataFrame:
     """Near pairs of sets (class_id, s).
 
-    The coefficient is at least Jaccard, so it is the larger of the two. With shingles in order of rarity, a set of n that shares
-    ceil(t n) of them with a larger one has k of its first n - ceil(t n) + k in common; only these meet in the join, and with k a fiftieth of n
-    the count of what met leaves hardly any pair that is not near. Both sides of that join are dealt out by Spark, which splits a hot
-    shingle; sets differ, so a group of copies meets others once.
+    With shingles in order of rarity, a set of n that shares ceil(t n) of them with a larger one has k of its first n - ceil(t n) + k in common; only these
+    meet in the join, and with k a fiftieth of n the count of what met leaves hardly any pair that is not near. For Jaccard the larger set must share
+    as large a part, so its first ones are enough, too. Both sides of that join are dealt out by Spark, which splits a hot shingle; sets differ, so a group
+    of copies meets others once.
     """
+    if metric not in ("overlap", "jaccard"):
+        raise ValueError("metric is overlap or jaccard")
     each = sets.select(F.col("class_id").alias("id"), F.size("s").alias("n"), F.explode("s").alias("h"))
     often = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     ranked = written(each.join(often, "h"))
@@ -135,13 +153,59 @@ def _near_pairs(sets: DataFrame, percent: int) -> DataFrame:
     alone = ranked.groupBy("id").agg((F.first("n") - F.count("*")).alias("lead"))
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "h"))
     placed = ranked.withColumn("p", place).join(alone, "id")
-    prefix = placed.withColumn("k", F.expr("greatest(1, n div 50)")).filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + k")).select(F.col("id").alias("a"), F.col("n").alias("na"), "k", "h")
-    full = ranked.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
-    shared = prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
-    met = written(shared.filter("shared >= k").select("a", "b"))
-    pairs = met.join(sets.select(F.col("class_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("class_id").alias("b"), F.col("s").alias("sb")), "b")
-    both, _ = shingle_overlap(F.col("sa"), F.col("sb"))
-    return pairs.select("a", "b", both.alias("overlap"), F.size("sa").cast("long").alias("least")).filter(F.col("overlap") * 100 >= F.col("least") * percent)
+    k = "1" if metric == "jaccard" else "greatest(1, n div 50)"
+    first = placed.withColumn("k", F.expr(k)).filter(F.expr(f"p + lead <= n - ceil({percent} * n / 100.0D) + k"))
+    prefix = first.select(F.col("id").alias("a"), F.col("n").alias("na"), "k", "h")
+    full = (first if metric == "jaccard" else ranked).select(F.col("id").alias("b"), F.col("n").alias("nb"), "h")
+    met = prefix.join(full, "h").filter("a <> b and (na < nb or (na = nb and a < b))")
+    if metric == "jaccard":
+        met = met.filter(f"na * 100 >= nb * {percent}")  # sizes that far apart cannot be near
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("k").alias("k"))
+    return _verified(written(shared.filter("shared >= k").select("a", "b")), sets, percent, metric)
+
+
+#: Permutations of a MinHash, rows of a band, and sets up to which a band's bucket pairs all of them.
+PERMUTATIONS, BAND_ROWS, MOST_IN_BUCKET = 128, 8, 100
+
+
+def minhash_pairs(sets: DataFrame, percent: int = 82) -> DataFrame:
+    """Pairs of sets (class_id, s) near by Jaccard, found by MinHash bands: the variant for large input, which may miss some.
+
+    Sixteen bands of eight of 128 permutations let a pair at the threshold of 0.82 meet with a chance of 0.97, and nearer ones almost surely. What meets is
+    compared in full. A bucket of more than ``MOST_IN_BUCKET`` sets pairs each of them with its smallest one only, and is reported in the log.
+    near_pairs(metric="jaccard") finds all.
+    """
+    random = np.random.default_rng(11)
+    times, plus = random.integers(1, 2**63, PERMUTATIONS, np.uint64) | np.uint64(1), random.integers(0, 2**63, PERMUTATIONS, np.uint64)
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found = batch.column(0).to_pylist(), []
+            for row in range(batch.num_rows):
+                h = np.asarray(batch.column(1)[row].values).astype(np.int64).view(np.uint64)
+                least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
+                for begin in range(0, len(h), 4096):
+                    x = h[begin : begin + 4096, None] * times + plus
+                    x ^= x >> np.uint64(31)
+                    least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+                found.append(least.reshape(-1, BAND_ROWS))
+            if found:
+                mixed = (np.array(found) * (times[:BAND_ROWS] + plus[:BAND_ROWS])).sum(axis=2, dtype=np.uint64).view(np.int64)
+                n = mixed.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(ids))), pa.array(mixed.reshape(-1))], names=["id", "band", "key"])
+
+    each = written(sets.select("class_id", "s").mapInArrow(bands, "id long, band int, key long"))
+    buckets = written(each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).filter("n > 1"))
+    large = buckets.filter(F.col("n") > MOST_IN_BUCKET)
+    if (reported := large.agg(F.count("*").alias("c"), F.max("n").alias("m")).first()).c:
+        logging.getLogger(__name__).warning("%d buckets have more than %d sets, the largest %d: their sets are paired with one", reported.c, MOST_IN_BUCKET, reported.m)
+    in_small = each.join(buckets.filter(F.col("n") <= MOST_IN_BUCKET), ["band", "key"]).select("band", "key", "id")
+    all_of = in_small.select("band", "key", F.col("id").alias("x")).join(in_small.select("band", "key", F.col("id").alias("y")), ["band", "key"]).filter("x < y").select("x", "y")
+    star = each.join(large, ["band", "key"]).filter("id <> hub").select(F.col("hub").alias("x"), F.col("id").alias("y"))
+    size = sets.select("class_id", F.size("s").alias("n"))
+    sized = all_of.unionByName(star).distinct().join(size.select(F.col("class_id").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("class_id").alias("y"), F.col("n").alias("ny")), "y")
+    swap = F.col("nx") > F.col("ny")  # x has the smaller id, and a shall have the smaller set
+    return _verified(written(sized.select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"))), sets, percent, "jaccard")
 
 
 def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -160,27 +224,61 @@ def components(pairs: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("components still change")
 
 
-def near_duplicates(docs: DataFrame, id_column: str, text_column: str, percent: int = 82, width: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str, text_column: str, percent: int = 82, width: int = 5, metric: str = "overlap", approximate: bool = False, most: int = 100_000) -> DataFrame:
     """(leader, chosen): what stays when documents are read in id order, each near one kept before replacing it if longer.
 
     leader is the id whose place a kept document has, chosen the document that stands there. Documents of different components are
     never near. A class that is near no other one needs no order: its first document leads, and the first of its longest is chosen,
-    by aggregation, however many copies it has. Only in components of several classes the order is followed, on ids, lengths and the
-    links between classes; no text or set of shingles reaches that step, whose task holds some tens of bytes a document of the component.
+    by aggregation, however many copies it has. In components of several classes the order is followed, on ids, lengths and the
+    links between classes; no text or set of shingles reaches that step. Components of up to ``most`` documents and links do so in a group each, larger ones
+    in rounds (follow_in_rounds), so that no task grows with a component. approximate: pairs by minhash_pairs().
     """
     members, sets = shingle_classes(docs, id_column, F.col(text_column), width)
-    pairs = written(_near_pairs(sets, percent).select("a", "b"))
+    found = minhash_pairs(sets, percent) if approximate else _near_pairs(sets, percent, metric)
+    pairs = written(found.select("a", "b"))
     rooted = components(pairs)
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
+    links = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     placed = written(members.join(rooted.select(F.col("id").alias("class_id"), "root"), "class_id", "left"))
     lone = placed.filter("root is null").groupBy("class_id").agg(F.min("id").alias("leader"), F.min(F.struct((-F.col("chars")).alias("n"), "id")).alias("x")).select("leader", F.col("x.id").alias("chosen"))
+    sizes = placed.filter("root is not null").groupBy("root").agg(F.count("*").alias("n"))
+    weights = links.join(rooted, F.col("a") == F.col("id")).groupBy("root").agg(F.count("*").alias("m"))
+    large = written(sizes.join(weights, "root").filter(F.col("n") + F.col("m") > most).select("root"))
     # a class's links travel once, with its first document
-    mixed = placed.filter("root is not null").join(links, (F.col("class_id") == F.col("a")) & (F.col("id") == F.col("class_id")), "left").select("root", "id", "class_id", "chars", "near")
+    small = placed.filter("root is not null").join(large, "root", "left_anti")
+    near = links.join(rooted.join(large, "root", "left_anti"), F.col("a") == F.col("id")).groupBy("a").agg(F.collect_set("b").alias("near"))
+    mixed = small.join(near, (F.col("class_id") == F.col("a")) & (F.col("id") == F.col("class_id")), "left").select("root", "id", "class_id", "chars", "near")
     several = mixed.groupBy("root").applyInPandas(_follow, "leader long, chosen long")
+    if large.limit(1).count():
+        several = several.unionByName(follow_in_rounds(placed.join(large, "root").select("id", "class_id", "chars"), links))
     empty = docs.select(F.col(id_column).cast("long").alias("leader")).join(members.select(F.col("id").alias("leader")), "leader", "left_anti")
     return lone.unionByName(several).unionByName(empty.withColumn("chosen", F.col("leader")))
 
 
+def follow_in_rounds(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(leader, chosen) of documents (id, class_id, chars) whose classes have links (a, b, both ways), as if read in id order.
+
+    What a document finds depends on the classes next to its own, and where these stand on those next to them. So in each round every document decides
+    that is the smallest undecided one within two links; what decides together shares nothing. The state is two tables, written each round.
+    """
+    near = written(links.select("a", "b").unionByName(rows.select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))).distinct())
+    waiting = written(rows)
+    stands = rows.sparkSession.createDataFrame([], "leader long, chosen long, class_id long, chars long")
+    least = lambda df, name: near.join(df, F.col("b") == F.col("class_id")).groupBy(F.col("a").alias("class_id")).agg(F.min("m").alias(name))
+    while waiting.limit(1).count():
+        own = waiting.groupBy("class_id").agg(F.min("id").alias("m"))
+        first = least(least(own, "m"), "first")
+        deciding = written(waiting.join(first, "class_id").filter("id = first").select("id", "class_id", "chars"))
+        met = deciding.join(near, F.col("class_id") == F.col("a")).join(stands.select(F.col("class_id").alias("b"), "leader"), "b").groupBy("id").agg(F.min("leader").alias("met"))
+        decided = written(deciding.join(met, "id", "left"))
+        fresh = decided.filter("met is null").select(F.col("id").alias("leader"), F.col("id").alias("chosen"), "class_id", F.col("chars").cast("long").alias("chars"))
+        longer = decided.filter("met is not null").select(F.col("met").alias("leader"), F.col("id").alias("i"), F.col("class_id").alias("k"), F.col("chars").cast("long").alias("c"))
+        wins = F.coalesce(F.col("c") > F.col("chars"), F.lit(False))
+        moved = stands.join(longer, "leader", "left").select("leader", *[F.when(wins, F.col(new)).otherwise(F.col(old)).alias(old) for old, new in (("chosen", "i"), ("class_id", "k"), ("chars", "c"))])
+        stands = written(moved.unionByName(fresh))
+        waiting = written(waiting.join(decided.select("id"), "id", "left_anti"))
+    return stands.select("leader", "chosen")
+
+
 def _follow(rows: pd.DataFrame) -> pd.DataFrame:
     """One component in id order. An entry is kept at its leader's place; ``standing`` has the entries at which a class stands now."""
     rows = rows.sort_values("id", kind="stable")

@@ -157,7 +157,26 @@ def near_duplicate_pairs(spark, d):
     return dedup.near_pairs(table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")))
 
 
-query("near_duplicates")(lambda spark, d: dedup.near_duplicates(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text"))
+@query("near_duplicates")
+def near_duplicates(spark, d):
+    return dedup.near_duplicates(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text")
+
+
+@query(
+    "near_duplicate_pairs_jaccard",
+    f"""with {_CLASSES}, r as (select s.doc_id, s.s, n from s join c using (doc_id) where c.class_id = c.doc_id),
+ o as (select x.doc_id as a, y.doc_id as b, x.n as least, x.n + y.n - count(*) as either, count(*) as overlap from r x join r y on x.s = y.s and x.doc_id <> y.doc_id and (x.n < y.n or (x.n = y.n and x.doc_id < y.doc_id)) group by x.doc_id, y.doc_id, x.n, y.n)
+ select a, b, overlap, least from o where overlap * 100 >= either * 82""",
+)
+def near_duplicate_pairs_jaccard(spark, d):
+    return dedup.near_pairs(table(spark, d, "documents"), "doc_id", F.coalesce("text", F.lit("")), metric="jaccard")
+
+
+@query("near_duplicates_minhash")
+def near_duplicates_minhash(spark, d):
+    """What stays by the lossy search; the tests hold its pairs against those of near_duplicate_pairs_jaccard."""
+    return dedup.near_duplicates(table(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", approximate=True)
+
 
 # -- filters -------------------------------------------------------------------------------------------------------------------------
 _NOW = "timestamp '1998-01-01 00:00:00'"

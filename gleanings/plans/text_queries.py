@@ -483,11 +483,8 @@ def flavor_findings(spark, d):
 )
 def grade_drafts(spark, d):
     """Score, style and diversions of every document. (No text has a film's address, a code picture or a contact of that form.)"""
-    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    flavor = quality.flavor_score(docs, DIMENSIONS, enders=".!?").withColumnRenamed("score", "flavor")
-    found = quality.diversion_scan(docs).groupBy("doc_id").agg(F.count("*").alias("diversions"))
-    graded = _score(spark, d).select("doc_id", "score").join(flavor, "doc_id").join(found, "doc_id", "left")
-    return graded.select("doc_id", "score", "flavor", "level", "top", F.coalesce("diversions", F.lit(0)).alias("diversions"), (F.col("flavor") >= 45).alias("notice"))
+    rows = _score(spark, d).select("doc_id", "score", quality.flavor(F.coalesce("text", F.lit("")), DIMENSIONS, ".!?").alias("f"), quality.n_diversions(F.col("text")).alias("diversions"))
+    return rows.select("doc_id", "score", F.col("f.score").alias("flavor"), "f.level", "f.top", "diversions", (F.col("f.score") >= 45).alias("notice"))
 
 
 @query("prune_images", "select doc_id, md5('![](https://h.example/' || doc_id || '.jpg) text' || chr(10) || chr(10) || coalesce(text, '') || ' ![](made.png)' || case when doc_id % 2 = 0 then '' else '![](https://h.example/other.png)' end) as body_md5 from documents where not contains(coalesce(text, ''), chr(10) || chr(10) || chr(10)) and not contains(coalesce(text, ''), '![')")

@@ -194,6 +194,49 @@ def test_near_duplicates_follow_the_order(spark):
     assert {tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text").collect()} == slow_near_duplicates(texts)
 
 
+def test_rounds_decide_as_the_order_does(spark):
+    """Random links between classes with several documents each: rounds end where one group that reads them in order does."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(8)
+    classes = sorted(r.sample(range(200), 14))
+    ids = [*classes, *r.sample(range(201, 400), 26)]
+    rows = [(i, i if i in classes else r.choice([c for c in classes if c < i]), r.randint(1, 9)) for i in ids]
+    links = {(a, b) for a in classes for b in classes if a < b and r.random() < 0.2}
+    both = links | {(b, a) for a, b in links}
+    frame = pd.DataFrame([(i, c, n, [b for a, b in both if a == i] if i == c else None) for i, c, n in rows], columns=["id", "class_id", "chars", "near"])
+    wanted = {tuple(x) for x in dedup._follow(frame).itertuples(index=False)}
+    got = dedup.follow_in_rounds(spark.createDataFrame(rows, "id long, class_id long, chars int"), spark.createDataFrame(sorted(both), "a long, b long"))
+    assert {tuple(x) for x in got.collect()} == wanted
+
+
+def test_minhash_finds_nine_of_ten_pairs(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    texts = []
+    for _ in range(60):
+        base = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400)]
+        texts.append("".join(base))
+        for _ in range(3):
+            other = list(base)
+            for _ in range(r.randint(1, 8)):
+                other[r.randrange(400)] = r.choice("0123456789")
+            texts.append("".join(other))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = {(x.a, x.b) for x in dedup.near_pairs(df, "doc_id", F.col("text"), metric="jaccard").collect()}
+    _, sets = dedup.shingle_classes(df, "doc_id", F.col("text"))
+    found = {(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()}
+    grams = [{t[k : k + 5] for k in range(len(t) - 4)} for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and (len(grams[a]), a) < (len(grams[b]), b) and len(grams[a] & grams[b]) * 100 >= 82 * len(grams[a] | grams[b])}
+    assert exact == near and len(exact) > 150
+    assert found <= exact and len(found) >= 0.9 * len(exact)
+    monkeypatch.setattr(dedup, "MOST_IN_BUCKET", 2)  # larger buckets make stars: fewer pairs, none wrong
+    assert {(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()} <= exact
+
+
 def test_many_copies_are_one_class(spark):
     """Copies meet nobody: the rows stay as many as the documents, and no group is handed to one task."""
     body = "the same page " * 30
@@ -204,7 +247,7 @@ def test_many_copies_are_one_class(spark):
 
 def test_lines_need_no_exchange(spark):
     docs = spark.createDataFrame([(1, "a\n```\n# b\n```\n# c")], "doc_id long, text string")
-    for df in (text.prose_lines(docs), docs.select(text.demote_headings(F.col("text"))), docs.select(text.normalize_dashes(F.col("text"))), quality.rhythm(docs), quality.diversion_scan(docs)):
+    for df in (text.prose_lines(docs), docs.select(text.demote_headings(F.col("text"))), docs.select(text.normalize_dashes(F.col("text"))), quality.rhythm(docs), quality.diversion_scan(docs), quality.flavor_score(docs, [quality.Dimension("d", 1.0, 1.0, ("x",))])):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
     assert one(spark, text.demote_headings(F.lit("# a\n~~~\n# b\n```\n# c"))) == "## a\n~~~\n# b\n```\n## c"
 
