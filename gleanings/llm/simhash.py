@@ -12,8 +12,9 @@ What meets in a cell is verified exactly on all 64 bits.
 Texts with the same fingerprint become one node before the search, so groups of copies cost nothing in it. A cell with very many
 members is split like any skewed join key; only verified links leave the join.
 
-Beside this search for equal or almost equal fingerprints, dedup_similar() finds texts of a given similarity: it meets candidates in the same cells of several
-fingerprints and compares their shingles in full.
+Three bits of a fingerprint tell texts that are almost equal; a similarity of 0.8 changes far more of them, and cells that would still meet are too wide to
+be searched. So dedup_similar(), which finds texts of a given similarity, takes the groups of this search as one kind of candidates and adds bands of
+MinHash minima as another; all candidates are compared in full on their shingles.
 
 Defined results: A-Z are lower-cased; null counts as empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle make one shingle. Repeated rows share a component. A component's id is its smallest doc_id; a null
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanings.llm.common import KEYS, one_row_each, per_batch, staged, texts, with_keys
+from gleanings.llm.common import KEYS, one_row_each, per_batch, small_batches, staged, texts, with_keys
 from gleanings.llm.components import connected_components
 
 
@@ -104,8 +105,8 @@ def _first_rows(rows: DataFrame) -> DataFrame:
     return first.select(*[F.col(f"x.{k}").alias(k) for k in KEYS])
 
 
-#: Fingerprints a text in the search for similar texts; bits that may differ in one of them, and of a hundred in all, for a pair to be compared in full.
-MANY, NEAR_BITS, NEAR_PERCENT = 6, 13, 20
+#: Bands of a text in the search for similar texts, and minima of a band.
+BANDS, MINIMA = 20, 8
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -117,84 +118,95 @@ def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh(s, seed) for s in map(b" ".join, zip(*[words[i:] for i in range(min(width, len(words)))], strict=False))], dtype="<u8")
 
 
-def many_fingerprints(text: bytes, width: int, many: int = MANY, seed: int = 42) -> np.ndarray:
-    """Several SimHashes of a text's distinct shingles, from one hash of each that is mixed anew for every fingerprint; zeros without words."""
-    hashes = np.unique(shingle_hashes(text, width, seed))
-    out = np.zeros(many, np.uint64)
-    for k in range(many if len(hashes) else 0):
-        h = hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        octets = (h ^ (h >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(octets), 255):
-            total += np.add.reduce(np.unpackbits(octets[i : i + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-        out[k] = np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles: each from the minima of MINIMA permutations. Two sets of similarity s share one with chance 1 - (1 - s^8)^20."""
+    random = np.random.default_rng(17)
+    times, plus = random.integers(1, 2**63, BANDS * MINIMA, np.uint64) | np.uint64(1), random.integers(0, 2**63, BANDS * MINIMA, np.uint64)
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for begin in range(0, len(hashes), 1024):  # memory stays bounded however long the text is
+        x = hashes[begin : begin + 1024, None] * times + plus
+        x ^= x >> np.uint64(31)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    mixed = least.reshape(BANDS, MINIMA) * (times[:MINIMA] + plus[:MINIMA])
+    mixed ^= mixed >> np.uint64(29)
+    return (mixed * np.uint64(0xD6E8FEB86659FD93)).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _cells(nodes: DataFrame) -> DataFrame:
-    """side, cell, node and fp of both halves of every fingerprint: the cell has the bit counts of a half's sixteen segments of two bits."""
-    halves = [F.struct(F.lit(2 * k + s).alias("side"), F.expr(f"f{k} & 4294967295L" if s else f"shiftrightunsigned(f{k}, 32)").alias("bits"), F.col(f"f{k}").alias("fp")) for k in range(MANY) for s in (0, 1)]
-    each = nodes.select("node", F.explode(F.array(*halves)).alias("h")).select("node", "h.*")
-    return each.select("side", F.expr("bits - (shiftrightunsigned(bits, 1) & 1431655765L)").alias("cell"), "node", "fp")
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose fingerprints agree in enough bits altogether."""
-    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(f"f{k}").alias(f"{name}{k}") for k in range(MANY)])
-    differ = sum((F.expr(f"bit_count(a{k} ^ b{k})") for k in range(MANY)), F.lit(0))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(differ * 100 <= MANY * 64 * NEAR_PERCENT).select("a", "b")
-
-
-def similar_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) of nodes (node, f0, ..., KEYS of a row of docs) whose texts have a Jaccard similarity of percent / 100 at least, on distinct shingles.
-
-    Two texts can meet in every half of every fingerprint, in cells at Manhattan distance 0 or 1. That finds most similar pairs, not all (see README).
-    First every node meets only the smallest node of its own cells, so that a group of near copies makes a star and not all of its
-    pairs; what hangs together is one in the second search, in which all pairs of cells meet. Every link is compared in full, on the shingles of both texts.
-    """
-    home = _cells(nodes)
-    hubs = home.groupBy("side", "cell").agg(F.min(F.struct("node", "fp")).alias("hub"))
-    star = home.join(hubs, ["side", "cell"]).filter(F.expr(f"node <> hub.node and bit_count(fp ^ hub.fp) <= {NEAR_BITS}")).groupBy("node").agg(F.min("hub.node").alias("b")).withColumnRenamed("node", "a")
-    star = staged(_alike(star, nodes))
-    grouped = connected_components(star).filter("node <> root").select("node")
-    single = _cells(nodes.join(grouped, "node", "left_anti"))
-    step = lambda i: f"array(if((shiftrightunsigned(cell, {2 * i}) & 3) < 2, cell + {1 << (2 * i)}L, null), if((shiftrightunsigned(cell, {2 * i}) & 3) > 0, cell - {1 << (2 * i)}L, null))"
-    around = F.expr(f"array_compact(flatten(array({', '.join(step(i) for i in range(16))})))")
-    probes = single.filter("bit_count(cell & 1431655765L) % 2 = 1").select("side", F.explode(around).alias("cell"), F.col("node").alias("a"), F.col("fp").alias("fa"), F.lit(True).alias("probe"))
-    left = probes.unionByName(single.select("side", "cell", F.col("node").alias("a"), F.col("fp").alias("fa"), F.lit(False).alias("probe")))
-    met = left.join(single.select("side", "cell", F.col("node").alias("b"), F.col("fp").alias("fb")), ["side", "cell"]).filter(F.expr(f"a <> b and (probe or a < b) and bit_count(fa ^ fb) <= {NEAR_BITS}"))
-    pairs = staged(_alike(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes).unionByName(star))
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", *KEYS)
-    texts_of = one_row_each(docs, wanted)
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node and s, its distinct shingles, of wanted nodes (node, KEYS of a row of docs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts(batch.column(len(KEYS)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(KEYS)], pa.array(sets, pa.list_(pa.int64()))], names=[*KEYS, "s"])
 
-    found = with_keys(texts_of).select(*KEYS, "text").mapInArrow(run, ", ".join([*[f"{k} long" for k in KEYS], "s array<long>"]))
-    sets = staged(found.join(wanted, KEYS).select("node", "s"))
+    small_batches(docs.sparkSession)
+    found = with_keys(one_row_each(docs, wanted)).select(*KEYS, "text").mapInArrow(run, ", ".join([*[f"{k} long" for k in KEYS], "s array<long>"]))
+    return found.join(wanted, KEYS).select("node", "s")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose sets have a Jaccard similarity of percent / 100 at least, by a full comparison."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.filter(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def dedup_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of nodes (node, fp, bands, KEYS of a row of docs) whose texts have a Jaccard similarity of percent / 100 at least, on distinct shingles.
+
+    Nodes meet in buckets: those of a component of linked fingerprints (near_links) make one, and those that share a band. Every link is compared in full.
+    First each node of a bucket meets its smallest one, and what these verified links hold together is a group; a large group of near copies thus makes
+    a star and not all of its pairs. Then, in buckets with nodes of several groups, all pairs of different groups meet. So the groups that come out are
+    those of all similar pairs that share a bucket; only links within a group that is already held together are left out.
+    """
+    linked = connected_components(near_links(nodes.select("fp").distinct()))
+    by_print = nodes.join(linked, F.col("fp") == linked["node"], "left").select(F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"), nodes["node"])
+    by_band = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
+    each = staged(by_band.unionByName(by_print).select("band", "key", "node"))
+    several = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    met = staged(each.join(several, ["band", "key"]).select("band", "key", "node", "hub"))
+    sets = staged(_sets(docs, met.select("node").distinct().join(nodes, "node").select("node", *KEYS), width))
+    star = staged(_verified(met.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
+
+    grouped = connected_components(star).withColumnRenamed("node", "m")
+    rooted = staged(met.join(grouped, F.col("node") == F.col("m"), "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")))
+    of_roots = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
+    mixed = of_roots.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("x")).filter("roots > 1").select("band", "key", F.col("x.root").alias("largest"))
+    held = staged(rooted.join(mixed, ["band", "key"]))
+    # of a bucket's largest group no two meet, so it may be as large as it likes
+    left = held.filter("root <> largest").select("band", "key", F.col("node").alias("x"), F.col("root").alias("rx"))
+    pairs = left.join(held.select("band", "key", F.col("node").alias("y"), F.col("root").alias("ry")), ["band", "key"]).filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return star.unionByName(_verified(pairs, sets, percent))
+
+
+def exact_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links of similar_links(), none missed: nodes meet by the rarest of their shingles. Its cost grows with how often shingles repeat."""
+    from gleanings.operators.dedup import _near_pairs
+
+    sets = staged(_sets(docs, nodes.select("node", *KEYS), width))
+    return _near_pairs(sets.filter("size(s) > 0").withColumnRenamed("node", "class_id"), percent, "jaccard").select("a", "b")
+
+
+def dedup_similar(docs: DataFrame, width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """Of each group of similar texts the row with the smallest id (null last), with all its columns; of rows with the same id one stays.
 
-    Texts with the same fingerprints are one node; nodes are linked by similar_links(). Null and empty texts are one node.
+    Texts with the same set of shingles are one node; nodes are linked by similar_links(), or by exact_links(). Null and empty texts are one node. Very long
+    texts count whole; of their shingles so many numbers of eight bytes are held at a time as they have words.
     """
-    names = [f"f{k}" for k in range(MANY)]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([many_fingerprints(t, width) for t in texts(batch.column(1))], np.uint64).reshape(-1, MANY).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *[pa.array(found[:, k]) for k in range(MANY)]], names=["doc_id", *KEYS, *names])
+        rows = []
+        for t in texts(batch.column(1)):
+            hashes = np.unique(shingle_hashes(t, width))
+            rows.append((xxhash.xxh64_intdigest(hashes.tobytes(), 1), fingerprint(t, width), bands(hashes)))
+        signed = lambda k: pa.array(np.array([r[k] for r in rows], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], signed(0), signed(1), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["doc_id", *KEYS, "node", "fp", "bands"])
 
     keyed = with_keys(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *KEYS)
-    rows = staged(per_batch(keyed, run, ", ".join(f"{c} long" for c in ["doc_id", *KEYS, *names])).withColumn("node", F.xxhash64(*names)))
-    nodes = staged(rows.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.min(F.struct(*KEYS)).alias("x")).select("node", *names, *[F.col(f"x.{k}").alias(k) for k in KEYS]))
-    roots = connected_components(similar_links(docs, nodes, width, percent))
-    named = rows.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
+    rows = staged(per_batch(keyed, run, ", ".join([*[f"{c} long" for c in ["doc_id", *KEYS, "node", "fp"]], "bands array<long>"])))
+    # equal sets have equal bands, and fingerprints that differ with repeats only
+    nodes = staged(rows.groupBy("node").agg(F.min(F.struct(*KEYS, "fp", "bands")).alias("x")).select("node", "x.*"))
+    roots = connected_components((exact_links if exact else similar_links)(docs, nodes, width, percent))
+    named = rows.select("doc_id", *KEYS, F.col("node").alias("n")).join(roots, F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "n"))
     return one_row_each(docs, _first_rows(named))

@@ -1,7 +1,7 @@
 """URL filters: longest matching (host, path-prefix) rule for each URL.
 
 A rule fits a URL if its host is the URL's host or a parent domain of it, and the URL's path starts with the rule's path.
-Each URL is keyed once per parent domain as reversed host + "/" + path, so that every rule is a plain prefix and covers one
+Each URL is keyed once per parent domain that has as many labels as a rule's host, as reversed host + "/" + path, so that every rule is a plain prefix and covers one
 interval of the sorted keys. Rules and distinct keys are swept together in key order: the last rule that began carries the stack of
 the rules it is nested in, and those that still cover the key are the ones that fit.
 
@@ -27,6 +27,8 @@ from gleanings.llm.common import staged
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sorts below every character of a host or path, so that a host's keys come before those of longer host labels.
 SEP = "\x01"
+#: Characters of a key by which ranges are cut, so that what Spark samples for it stays small; keys with the same ones stand in one range.
+ORDERED = 512
 
 
 def url_host(url: Column) -> Column:
@@ -48,6 +50,12 @@ def _reversed_host(labels: Column) -> Column:
     return F.array_join(F.reverse(labels), ".")
 
 
+def _prefixes(keys: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
+    """keep and key: the prefixes of keys' column ``of`` at those lengths that a key of rules has, however long a key is."""
+    lengths = rules.agg(F.collect_set(F.length("key")).alias("lengths"))  # one row
+    return keys.crossJoin(lengths).select(*keep, F.explode(F.expr("transform(filter(lengths, n -> n <= length(of)), n -> substring(of, 1, n))")).alias("key"))
+
+
 def rule_keys(rules: DataFrame) -> DataFrame:
     """rules (host, path, verdict) -> key, rule, verdict and the stack of rules that each is nested in, itself included."""
     plain = (
@@ -62,7 +70,7 @@ def rule_keys(rules: DataFrame) -> DataFrame:
         )
     )
     # the rules that a rule is nested in are the rules among its own prefixes
-    prefixes = plain.select(F.col("key").alias("inner"), F.explode(F.expr("transform(sequence(1, length(key)), i -> substring(key, 1, i))")).alias("key"))
+    prefixes = _prefixes(plain.select(F.col("key").alias("inner"), F.col("key").alias("of")), plain, "inner")
     stacks = (
         prefixes.join(plain, "key")
         .groupBy(F.col("inner").alias("key"))
@@ -76,16 +84,19 @@ def match_urls(pages: DataFrame, rules: DataFrame, id_column: str = "page_id", u
     urls = pages.select(F.col(id_column).alias("_id"), url_host(F.col(url_column)).alias("_host"), url_path(F.col(url_column)).alias("_path"))
     # one row for each distinct address: copies and popular addresses collapse before the sweep
     distinct = urls.filter("_host <> ''").groupBy("_host", "_path").count().select("_host", "_path")
+    ruled = rule_keys(rules)
+    # parent domains with as many labels as a rule's host has: a host of very many labels has no more keys than others
+    depths = ruled.select((F.size(F.split(F.split("key", SEP)[0], r"\.")).alias("d"))).agg(F.collect_set("d").alias("depths"))  # one row
     labels = F.split("_host", r"\.")
-    keys = distinct.select("_host", "_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(_reversed_host(F.slice(labels, -i, i)), F.lit(SEP), F.col("_path")))).alias("key"))
+    parents = F.transform(F.filter("depths", lambda i: i <= F.size(labels)), lambda i: F.concat(_reversed_host(F.slice(labels, -i, i)), F.lit(SEP), F.col("_path")))
+    keys = distinct.crossJoin(depths).select("_host", "_path", F.explode(parents).alias("key"))
 
-    ruled = rule_keys(rules)
     no_stack = F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack")
     starts = ruled.select(F.col("key").alias("at"), F.lit(0).alias("kind"), F.length("key").alias("depth"), "stack")
     stops = keys.select(F.col("key").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("depth")).distinct().select("*", no_stack)
-    ranged = staged(starts.unionByName(stops).repartitionByRange("at").withColumn("range", F.spark_partition_id()))
+    ranged = staged(starts.unionByName(stops).repartitionByRange(F.substring("at", 1, ORDERED)).withColumn("range", F.spark_partition_id()))
     firsts = ranged.groupBy("range").agg(F.min("at").alias("low"))
-    prefixes = firsts.select("range", F.explode(F.expr("transform(sequence(1, length(low)), i -> substring(low, 1, i))")).alias("key"))
+    prefixes = _prefixes(firsts.select("range", F.col("low").alias("of")), ruled, "range")
     carried = prefixes.join(ruled, "key").select(F.lit("").alias("at"), F.lit(0).alias("kind"), F.length("key").alias("depth"), "stack", "range")
     sweep = W.partitionBy("range").orderBy("at", "kind", "depth").rowsBetween(W.unboundedPreceding, W.currentRow)
     swept = ranged.unionByName(carried).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")

@@ -164,6 +164,15 @@ def test_url_filter_over_many_ranges(spark):
     assert got == Counter((i, *judge(u)) for i, u, *_ in rows)
 
 
+def test_url_filter_of_very_long_addresses(spark):
+    """Addresses of 100 KB and hosts of thousands of labels, over several ranges: no more is made of them than rules have lengths."""
+    rules = [("com", "/a", "block"), ("com", "/" + "a" * 90_000, "allow"), ("x.com", "/", "allow"), ("b.c.d.com", "/z", "block")]
+    urls = [f"http://h{i}.com/" + "a" * 100_000 + str(i) for i in range(12)] + [f"http://h{i}.com/" + "a" * 50_000 + str(i) for i in range(12)] + ["http://" + "l." * 5000 + "x.com/q", "http://" + "l." * 5000 + "c.d.com/z", "http://b.c.d.com/zz"]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.match_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    long = ("com/" + "a" * 90_000, "allow")
+    assert got == {**dict.fromkeys(range(12), long), **dict.fromkeys(range(12, 24), ("com/a", "block")), 24: ("x.com/", "allow"), 25: (None, "allow"), 26: ("b.c.d.com/z", "block")}
+
+
 def test_substring_dedup(spark):
     r = random.Random(2)
     sentence = lambda: " ".join(f"v{r.randint(0, 900)}" for _ in range(r.randint(4, 14))) + ". "
