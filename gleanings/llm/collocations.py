@@ -107,7 +107,7 @@ def encoded(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 def word_keys(words: list[bytes], lang: str) -> np.ndarray:
     """(n, 2) keys of words in a language."""
-    own = np.frombuffer(xxhash.xxh3_128_digest(lang.encode("utf-8", "surrogatepass")), "<u8")
+    own = np.frombuffer(xxhash.xxh3_128_digest(CUT + lang.encode("utf-8", "surrogatepass")), "<u8")  # no word begins like that, so a language is none
     return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2) ^ own
 
 

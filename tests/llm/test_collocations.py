@@ -73,6 +73,12 @@ def test_against_plain_counting(spark, monkeypatch, seed, least, most, percent):
     assert got(C.collocations(df, least, most, percent)) == brute(rows, least, most, percent)
 
 
+def test_words_that_are_names_of_languages(spark):
+    """A word in a language is another than that language's name in the language of the word."""
+    rows = [("en es en en", "es"), ("es es en de, und en", "en"), ("de en und", None), ("und en de", "de")] * 8
+    assert got(C.collocations(table(spark, rows), 8)) == brute(rows, 8)
+
+
 def test_first_of_each_language_and_no_rows(spark):
     rows = prose(9)
     assert got(C.collocations(table(spark, rows), 5), top=7) == brute(rows, 5, top=7)
