@@ -689,3 +689,27 @@ def compile_series(spark, d):
     cited = c.filter("chapter_order % 2 = 0").select("series_id", "chapter_order", F.explode(F.array(F.struct(F.lit(2).alias("no"), F.lit("two").alias("title"), F.lit("https://two.example/").alias("url")), F.struct(F.lit(1).alias("no"), "title", F.concat(F.lit("https://one.example/"), "series_id").alias("url")))).alias("s")).select("series_id", "chapter_order", "s.*")
     outlines = series.filter("series_id % 2 = 0").withColumn("outline", F.lit("- outline"))
     return io.compile_series(series.withColumn("topic", F.concat(F.lit("Series "), "series_id")), c, sources=cited, outlines=outlines)
+
+
+@query(
+    "delete_series",
+    """select (select count(*) from customer where c_nationkey = 3) as series, (select count(*) from orders join customer on o_custkey = c_custkey where c_nationkey = 3) as drafts,
+ (select count(*) from conversations join customer on conv_id = c_custkey where c_nationkey = 3) as chapters""",
+)
+def delete_series(spark, d):
+    """How much goes with the series of one nation: customers as series, their orders as drafts, conversations as chapters."""
+    series = table(spark, d, "customer").select(F.col("c_custkey").alias("series_id"), "c_nationkey")
+    drafts = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("series_id"))
+    chapters = table(spark, d, "conversations").select(F.col("conv_id").alias("series_id"), "turn")
+    return joins.delete_series(series, drafts, chapters, series.filter("c_nationkey = 3"))[3]
+
+
+@query("backfill_flags", "select doc_id, case doc_id % 3 when 0 then doc_id % 2 = 1 when 1 then false else true end as has_video from documents")
+def backfill_flags(spark, d):
+    """A third of the documents without the flag, half of these with a film's address behind the text. (No text has such an address itself.)"""
+    from gleanings.streaming import streams
+
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 1, " https://youtu.be/x").otherwise(""))
+    flag = F.expr("case doc_id % 3 when 1 then false when 2 then true end")
+    rows = table(spark, d, "documents").select("doc_id", body.alias("body"), F.array().cast("array<string>").alias("videos"), flag.alias("has_video"))
+    return streams.backfill_flags(rows).select("doc_id", "has_video")
