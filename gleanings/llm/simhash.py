@@ -152,32 +152,76 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(shared * 100 >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _between_groups(rows: DataFrame, keys: list[str], own: str | None = None, other: str | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes of different groups that share all keys; rows (keys, node, root), root names the group.
+
+    With own and other, two further columns, a node meets those whose ``own`` is its ``other`` and the other way round. Of the largest group under a key no two
+    meet, so it may be as large as it likes.
+    """
+    sides = [own, other] if own else []
+    of_roots = rows.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    mixed = of_roots.groupBy(*keys).agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("x")).filter("roots > 1").select(*keys, F.col("x.root").alias("largest"))
+    held = staged(rows.join(mixed, keys))
+    left = held.filter("root <> largest").select(*keys, *sides, F.col("node").alias("x"), F.col("root").alias("rx"))
+    right = held.select(*keys, *[F.col(c).alias(as_) for c, as_ in zip(sides, reversed(sides), strict=True)], F.col("node").alias("y"), F.col("root").alias("ry"))
+    return left.join(right, keys + sides).filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+#: Size classes of a factor e.
+CLASSES = 50
+
+
+def _rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """t, small, large, own, other and node: keys of which any two sets (node, s) of a Jaccard similarity of percent / 100 share one at least, where
+    ``own`` of each is ``other`` of its partner.
+
+    A set's shingles are put in order, those that fewest of the sets have first. Two sets that share k shingles, k as their sizes ask for, share one of
+    their first (size - k + 1). Partners are told apart by classes of sizes two hundredths wide, as k grows with the partner: a text that differs from all
+    others in too many places has only shingles of its own in front, and meets nobody.
+    """
+    each = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counted = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
+    first = F.expr(f"n - cast(ceil(n * {percent} / 100 - 1e-9) as int) + 1")
+    ordered = counted.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("o"))
+    ranked = ordered.select("node", "n", F.posexplode(F.slice("o", F.lit(1), first)).alias("at", "x")).filter("x.df > 1").select("node", "n", "at", "x.t")
+    of = lambda size: F.floor(F.log(size) * CLASSES + 1e-9).cast("int")
+    shared = lambda k: F.ceil((F.col("n") + F.ceil(F.exp(k / CLASSES) * (1 - 1e-9))) * percent / (100 + percent) - 1e-9)
+    others = F.sequence(of(F.col("n") * percent / 100 * (1 - 1e-9)), of(F.col("n") * 100 / percent * (1 + 1e-9)))
+    met = ranked.select("node", "t", of(F.col("n")).alias("own"), F.explode(F.filter(others, lambda k: F.col("at") <= F.col("n") - shared(k))).alias("other"))
+    return met.select("t", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"), "own", "other", "node")
+
+
+#: Up to so many nodes of a bucket meet as they are; of larger buckets those that share a rare shingle. Both ways find the same links.
+FEW = 32
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) of nodes (node, fp, bands, KEYS of a row of docs) whose texts have a Jaccard similarity of percent / 100 at least, on distinct shingles.
 
     Nodes meet in buckets: those of a component of linked fingerprints (near_links) make one, and those that share a band. Every link is compared in full.
-    First each node of a bucket meets its smallest one, and what these verified links hold together is a group; a large group of near copies thus makes
-    a star and not all of its pairs. Then, in buckets with nodes of several groups, all pairs of different groups meet. So the groups that come out are
-    those of all similar pairs that share a bucket; only links within a group that is already held together are left out.
+    First each node of a bucket meets its hub, the one that shares buckets with most others, and what these verified links hold together is a group; a large
+    group of near copies thus makes a star and not all of its pairs. Then, in buckets with nodes of several groups, nodes of different groups meet: in buckets
+    of FEW nodes all of them, and the nodes of larger ones by their rare shingles (_rare_keys), which misses no link. So the groups that come out are those of
+    all similar pairs that share a bucket; only links within a group that is already held together are left out.
     """
     linked = connected_components(near_links(nodes.select("fp").distinct()))
     by_print = nodes.join(linked, F.col("fp") == linked["node"], "left").select(F.lit(-1).alias("band"), F.coalesce("root", "fp").alias("key"), nodes["node"])
     by_band = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     each = staged(by_band.unionByName(by_print).select("band", "key", "node"))
-    several = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    met = staged(each.join(several, ["band", "key"]).select("band", "key", "node", "hub"))
-    sets = staged(_sets(docs, met.select("node").distinct().join(nodes, "node").select("node", *KEYS), width))
-    star = staged(_verified(met.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
+    several = each.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = staged(each.join(several, ["band", "key"]).select("band", "key", "node", "n"))
+    reach = met.groupBy("node").agg(F.sum("n").alias("reach"))
+    hubs = met.join(reach, "node").groupBy("band", "key").agg(F.max(F.struct("reach", "node")).alias("x")).select("band", "key", F.col("x.node").alias("hub"))
+    sets = staged(_sets(docs, reach.join(nodes, "node").select("node", *KEYS), width))
+    star = staged(_verified(met.join(hubs, ["band", "key"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sets, percent))
 
     grouped = connected_components(star).withColumnRenamed("node", "m")
-    rooted = staged(met.join(grouped, F.col("node") == F.col("m"), "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")))
-    of_roots = rooted.groupBy("band", "key", "root").agg(F.count("*").alias("n"))
-    mixed = of_roots.groupBy("band", "key").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("x")).filter("roots > 1").select("band", "key", F.col("x.root").alias("largest"))
-    held = staged(rooted.join(mixed, ["band", "key"]))
-    # of a bucket's largest group no two meet, so it may be as large as it likes
-    left = held.filter("root <> largest").select("band", "key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    pairs = left.join(held.select("band", "key", F.col("node").alias("y"), F.col("root").alias("ry")), ["band", "key"]).filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return star.unionByName(_verified(pairs, sets, percent))
+    rooted = staged(met.join(grouped, F.col("node") == F.col("m"), "left").select("band", "key", "node", "n", F.coalesce("root", "node").alias("root")))
+    few = _between_groups(rooted.filter(F.col("n") <= FEW), ["band", "key"])
+    mixed = rooted.filter(F.col("n") > FEW).groupBy("band", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band", "key")
+    crowd = staged(rooted.join(mixed, ["band", "key"]).select("node", "root").distinct())
+    many = _between_groups(staged(_rare_keys(sets.join(crowd.select("node"), "node"), percent).join(crowd, "node")), ["t", "small", "large"], "own", "other")
+    return star.unionByName(_verified(few.unionByName(many).distinct(), sets, percent))
 
 
 def exact_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:

@@ -73,6 +73,41 @@ def test_near_copies_are_found_beside_relatives(spark):
     assert all(max(order[a], order[b]) not in kept for a, b in pairs)
 
 
+def test_rare_keys_miss_no_similar_sets(spark):
+    """Sets of many sizes around a few common ones: all pairs of similarity 0.8 share a key from their two sides."""
+    r = random.Random(7)
+    sets = []
+    for _ in range(6):
+        base = r.sample(range(10**6), r.choice([1, 2, 9, 40, 120]))
+        for _ in range(30):
+            s = set(r.sample(base, max(1, len(base) - r.randint(0, len(base) // 5)))) | {r.randint(0, 10**6) for _ in range(r.randint(0, 1 + len(base) // 6))}
+            sets.append(s)
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "node long, s array<long>")
+    keys = {}
+    for x in simhash._rare_keys(rows, 80).collect():
+        keys.setdefault(x.node, set()).add((x.t, x.own, x.other))
+    turned = {i: {(t, other, own) for t, own, other in k} for i, k in keys.items()}
+    similar = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])]
+    assert len(similar) > 200 and all(keys[i] & turned[j] for i, j in similar)
+
+
+def test_large_families_of_relatives(spark):
+    """A crowd around one text, most of it less similar than 0.8 to it and to each other: links are found as by comparing all pairs."""
+    r = random.Random(11)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        other = list(base)
+        for i in r.sample(range(3, 117, 6), r.randint(1, 6)):
+            other[i] = f"y{r.randint(0, 10**9)}"
+        texts.append(" ".join(other))
+    order = r.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id long, text string")
+    must = {min(order[i] for i in part) for part in similar_parts(texts)}
+    kept = {x.doc_id for x in simhash.dedup_similar(docs).collect()}
+    assert must <= kept and 20 < len(must) and len(kept) <= len(must) + 3
+
+
 @pytest.mark.parametrize("changes", [(3, 4), (2, 2), (1, 1)])
 def test_recall_by_similarity(spark, changes):
     """Of copies at a similarity of 0.80 to 0.85, to 0.90 and from there on nine of ten go, and what is less similar stays."""
