@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanings.operators.filters import numbered_within
+
 
 def dashboard_stats(**tables: DataFrame) -> DataFrame:
     """One row with the number of rows of each table."""
@@ -59,14 +61,14 @@ def by_hotness(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("score").desc(), F.col("total").desc(), "name")
 
 
-def archive_by_day(articles: DataFrame, at: str, source: str, id_column: str, most: int = 500) -> DataFrame:
-    """day, n and items: the first articles of the day by source, then id, ``most`` at most (a page; n counts all)."""
+def archive_by_day(articles: DataFrame, at: str, source: str, id_column: str, page: int = 500) -> DataFrame:
+    """day, n (articles of the day), page (from 0) and items: all articles of the day by source, then id, ``page`` of them a row."""
     day, name = F.to_date(at), F.coalesce(F.col(source), F.lit(""))
-    rows = articles.select(day.alias("day"), name.alias("source"), F.col(id_column).alias("id"))
-    total = rows.groupBy("day").agg(F.count("*").alias("n"))
-    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("day").orderBy("source", "id"))).filter(F.col("_n") <= most)
-    items = first.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("source", "id"))).alias("items"))
-    return total.join(items, total["day"].eqNullSafe(items["day"])).select(total["day"], "n", "items")
+    rows = articles.select(day.alias("day"), F.struct(name.alias("source"), F.col(id_column).alias("id")).alias("item"))
+    placed = numbered_within(rows, "day", "item").withColumn("page", F.floor(F.col("_no") / page))
+    items = placed.groupBy("day", "page").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    total = rows.groupBy(F.col("day").alias("_d")).agg(F.count("*").alias("n"))
+    return items.join(total, F.col("day").eqNullSafe(F.col("_d"))).select("day", "n", "page", "items")
 
 
 def sensitive_counts(hits: DataFrame) -> DataFrame:

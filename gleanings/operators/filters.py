@@ -78,6 +78,17 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return ranged.withColumn("_in", within).join(begins, "_range").withColumn("_no", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
 
 
+def numbered_within(df: DataFrame, group: str, order: str) -> DataFrame:
+    """_no from 0 in the order of a column within each value of ``group`` (null is one), however many rows it has: numbered(), for groups that ranges may cut."""
+    ranged = written(df.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
+    parts = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_g").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    begins = parts.select("_g", "_r", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = ranged.withColumn("_in", F.row_number().over(W.partitionBy("_range", group).orderBy(order)) - 1)
+    joined = within.join(begins, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("_no", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before", "_g", "_r")
+
+
 def relevance_gate(articles: DataFrame, replies: DataFrame, order: str, chunk: int = 8) -> DataFrame:
     """Articles that the replies (chunk, reply) keep: a reply lists slots of its chunk; without a readable reply the whole chunk stays."""
     numbered = chunked(articles, order, chunk)

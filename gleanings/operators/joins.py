@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gleanings.functions import html as H
 from gleanings.functions import urls
 from gleanings.operators.dedup import first_per
+from gleanings.session import written
 
 
 def drafts_with_articles(drafts: DataFrame, articles: DataFrame, status: str | None = None) -> DataFrame:
@@ -116,6 +117,16 @@ def delete_series(series: DataFrame, drafts: DataFrame, chapters: DataFrame, ids
     return *kept, counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy().pivot("of", ["series", "drafts", "chapters"]).agg(F.first("n"))
 
 
+def delete_stored_series(tables: list, ids: DataFrame, key: str = "series_id") -> None:
+    """delete_series() on tables stored by the series (sources.stored.KeyedTable): only the buckets of the given ids are read and written.
+
+    The first table has the series themselves and goes last, so a deletion that fails halfway can be run again.
+    """
+    gone = written(ids.select(key).distinct())
+    for stored in reversed(tables):
+        stored.delete(gone)
+
+
 def widen_references(primary: DataFrame, widened: DataFrame, k: int, least: int = 2) -> DataFrame:
     """refs (group, ord, url): groups with fewer than ``least`` get the widened ones with a new URL key after their own, then the first k."""
     p = primary.withColumn("url_key", urls.url_key(F.col("url"))).withColumn("widened", F.lit(False))

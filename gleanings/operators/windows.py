@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanings.functions import urls
+from gleanings.operators.filters import numbered_within
 
 
 def source_diverse_topk(ranked: DataFrame, k: int, source: str = "source", rank: str = "rank", per_source: int = 2, keys: list[str] | None = None) -> DataFrame:
@@ -103,5 +104,5 @@ def unique_ids(names: DataFrame, name: str, order: str, existing: DataFrame) ->
     held = existing.select("slug").unionByName(existing.filter(F.col("slug").rlike(r"-\d+$")).select(F.regexp_replace("slug", r"-\d+$", "").alias("slug"))).distinct()
     taken = existing.select(F.regexp_replace("slug", r"-\d+$", "").alias("slug"), suffix.alias("k")).groupBy("slug").agg(F.max("k").alias("k"))
     taken = taken.join(held, "slug", "left_semi")
-    k = F.row_number().over(W.partitionBy("slug").orderBy(order)) + F.coalesce("k", F.lit(0))
-    return slugged.join(taken, "slug", "left").withColumn("_k", k).withColumn("new_id", F.when(F.col("_k") > 1, F.concat("slug", F.lit("-"), "_k")).otherwise(F.col("slug"))).drop("k", "_k")
+    k = F.col("_no") + 1 + F.coalesce("k", F.lit(0))  # very many names may share a slug
+    return numbered_within(slugged, "slug", order).join(taken, "slug", "left").withColumn("_k", k).withColumn("new_id", F.when(F.col("_k") > 1, F.concat("slug", F.lit("-"), "_k")).otherwise(F.col("slug"))).drop("k", "_k", "_no")

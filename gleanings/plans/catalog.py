@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleanings.plans import record_queries, text_queries, web_queries
+from gleanings.plans import record_queries, stored_queries, text_queries, web_queries
 from gleanings.plans.registry import ORACLES, QUERIES, flagship, query
 
 _W = web_queries
@@ -16,4 +16,4 @@ query(
  select page_id, url, title, source, score, n_chars from r order by late, score desc, n_chars desc, page_id limit 100""",
 )(flagship)
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "query", "record_queries", "text_queries", "web_queries"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "query", "record_queries", "stored_queries", "text_queries", "web_queries"]

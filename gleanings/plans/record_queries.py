@@ -478,10 +478,16 @@ def hotness_unscored(spark, d):
     return found.withColumn("place", F.row_number().over(W.orderBy(F.col("score").desc(), F.col("total").desc(), "name")).cast("bigint"))
 
 
-@query("archive_by_day", "select strftime(o_orderdate, '%Y-%m-%d') as day, count(*) as n, string_agg(o_clerk || ':' || o_orderkey, ',' order by o_clerk, o_orderkey) as items from orders group by 1".replace("o_clerk", "o_orderpriority"))
+@query(
+    "archive_by_day",
+    """with r as (select *, (row_number() over (partition by o_orderdate order by o_orderpriority, o_orderkey) - 1) // 3 as page, count(*) over (partition by o_orderdate) as n from orders)
+ select strftime(o_orderdate, '%Y-%m-%d') as day, n, page, string_agg(o_orderpriority || ':' || o_orderkey, ',' order by o_orderpriority, o_orderkey) as items from r group by all""",
+)
 def archive_by_day(spark, d):
-    found = aggs.archive_by_day(table(spark, d, "orders"), "o_orderdate", "o_orderpriority", "o_orderkey")
-    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.array_join(F.transform("items", lambda x: F.concat(x["source"], F.lit(":"), x["id"].cast("string"))), ",").alias("items"))
+    """Three orders a row, so that most days have several."""
+    found = aggs.archive_by_day(table(spark, d, "orders"), "o_orderdate", "o_orderpriority", "o_orderkey", 3)
+    items = F.array_join(F.transform("items", lambda x: F.concat(x["source"], F.lit(":"), x["id"].cast("string"))), ",")
+    return found.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "page", items.alias("items"))
 
 
 @query("sensitive_counts", """with h as (select doc_id, w as word, len(regexp_extract_all(lower(text), w)) + len(regexp_extract_all(lower(split_part(text, chr(10), 1)), w)) as n from documents, unnest(['licensed', 'idiot', 'pathetic']) t(w))

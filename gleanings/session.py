@@ -30,19 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as Parquet in the shared folder that the session names (spark.checkpoint.dir, or SparkContext.setCheckpointDir), read back.
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that the session names (spark.checkpoint.dir, or SparkContext.setCheckpointDir).
 
-    Its lineage is cut, and a lost executor costs no recomputation. In local mode, where driver and executors are one process, a session
-    that names no folder gets a temporary one; on a cluster that is an error. The files stay until the folder is cleared.
+    In local mode, where driver and executors are one process, a session that names no folder gets a temporary one; on a cluster that is an error.
+    The files stay until the folder is cleared.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-checkpoint-')}")
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/gleanings-{uuid.uuid4().hex}"
+    return f"{folder}/gleanings-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet at a scratch() path, read back: its lineage is cut, and a lost executor costs no recomputation."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

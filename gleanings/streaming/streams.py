@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -13,7 +14,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gleanings.functions import html as H
 from gleanings.functions import urls
 from gleanings.operators import dedup, filters, joins
+from gleanings.session import written
 from gleanings.sources import io
+from gleanings.sources.stored import KnownArticles, overwrite_parts
 
 
 ARCHIVE = "page_id long, url string, title string, source_name string, fingerprint string, published_at timestamp, topic string, body string"
@@ -28,8 +31,12 @@ def as_articles(pages: DataFrame, now: Column) -> DataFrame:
 def new_articles(batch: DataFrame, archive: DataFrame, now: Column, days: int | None = None, topics: list[tuple[str, list[str]]] = (), order: str = "page_id") -> DataFrame:
     """Rows of a batch (from as_articles) that go into the archive: young enough, the first of their address and of their title and source in the
     batch, neither archived yet, with their topic."""
+    return _admitted(batch, lambda young: dedup.new_only(young, archive), now, days, topics, order)
+
+
+def _admitted(batch: DataFrame, new_only: Callable[[DataFrame], DataFrame], now: Column, days: int | None, topics: list[tuple[str, list[str]]], order: str) -> DataFrame:
     young = filters.filter_by_age(batch, "published_at", now, days)
-    fresh = dedup.new_only(dedup.dedup_exact(young, order), archive)
+    fresh = new_only(dedup.dedup_exact(young, order))
     first = dedup.first_per(fresh, ["title", "source_name"], order)
     named = joins.classify_topics(first, list(topics), F.concat_ws("\n", "title", "body"), id_column="fingerprint")
     return first.join(named, "fingerprint").select(*[c.split()[0] for c in ARCHIVE.split(", ")])
@@ -50,6 +57,24 @@ def ingest_stream(pages: DataFrame, archive: str, checkpoint: str, now: Column |
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_known(pages: DataFrame, archive: str, known: KnownArticles, checkpoint: str, now: Column | None = None, days: int | None = None, topics: list[tuple[str, list[str]]] = (), order: str = "page_id"):
+    """ingest_stream() for a large archive: a batch asks the index of known articles, by the buckets of its own keys, and the archive itself is never read.
+
+    The archive is in folders by batch, and the index is written behind it. A batch that failed anywhere in between and is run again writes the
+    same rows to the same folders. Streams with different checkpoints may share an archive, one at a time.
+    """
+    at = F.current_timestamp() if now is None else now
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def add(batch: DataFrame, number: int) -> None:
+        name = f"{run}-{number}"
+        rows = written(_admitted(as_articles(batch, at), lambda young: known.new_only(young, name), at, days, topics, order))
+        overwrite_parts(rows.withColumn("batch", F.lit(name)), archive, "batch")
+        known.add(rows, name)
+
+    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def distinct_within(pages: DataFrame, at: str, delay: str) -> DataFrame:
     """The variant with bounded state: an address counts as new again once the watermark has passed it."""
     return pages.withColumn("fingerprint", urls.fingerprint(F.col("url"))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["fingerprint"])
