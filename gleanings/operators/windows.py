@@ -76,8 +76,10 @@ def series_context(chapters: DataFrame) -> DataFrame:
     """chapters (series_id, chapter_order, title, summary, status) -> the earlier done chapters in order, next title, opener and closer."""
     o = W.partitionBy("series_id").orderBy("chapter_order")
     done = F.when(F.col("status") == "done", F.concat_ws(": ", "title", "summary"))
+    whole = F.collect_list(done).over(o.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))  # one array for all rows of a series
+    before = F.coalesce(F.count(done).over(o.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int")
     return chapters.select(
-        "series_id", "chapter_order", F.array_join(F.collect_list(done).over(o.rowsBetween(W.unboundedPreceding, -1)), "\n").alias("context"), F.lead("title").over(o).alias("next_title"),
+        "series_id", "chapter_order", F.array_join(F.slice(whole, F.lit(1), before), "\n").alias("context"), F.lead("title").over(o).alias("next_title"),
         F.lag("title").over(o).isNull().alias("opener"), F.lead("title").over(o).isNull().alias("closer"),
     )
 
