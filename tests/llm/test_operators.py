@@ -139,6 +139,15 @@ def test_url_filter(spark):
     assert url_filter.match_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_url_rules_are_those_of_the_contract(spark, tmp_path):
+    """Each of the five rules by name, and what lies beside it."""
+    wanted = {"http://b.com/en/1": ("com/en/", "block"), "http://a.example.com/en/77": ("example.com/en/7", "allow"), "http://x.net/de/1": ("net/de/", "allow")}
+    wanted |= {"http://example.net/de/80": ("example.net/de/8", "block"), "http://x.org/es/": ("org/es/", "block"), "http://x.org/en/": (None, "allow")}
+    urls = list(wanted)
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {urls[r.page_id]: (r.rule, r.verdict) for r in QUERIES["op1_url_filter"](spark, str(tmp_path)).collect()} == wanted
+
+
 def test_url_filter_over_many_ranges(spark):
     """Nested rules that reach over the bounds of ranges, long addresses, null ids, clashing columns and a parent key that all hosts share."""
     r = random.Random(17)
