@@ -237,6 +237,53 @@ def test_minhash_finds_nine_of_ten_pairs(spark, monkeypatch):
     assert {(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()} <= exact
 
 
+def test_near_pairs_across_blocks(spark, monkeypatch):
+    """Sets of very different sizes in many small blocks: no pair is lost, none is wrong, by either metric."""
+    import random
+
+    r = random.Random(4)
+    base = ["".join(r.choice("abcdefgh") for _ in range(600)) for _ in range(3)]
+    texts = [b[i : i + r.choice([3, 6, 30, 200, 500])] for b in base for i in (r.randrange(100) for _ in range(30))] + base + [b + "𝒳é" for b in base]
+    texts += ["".join(r.choice("xyz") if r.random() < 0.02 else c for c in b) for b in base for _ in range(5)]
+    grams = {i: frozenset(t[k : k + 5] for k in range(max(1, len(t) - 4))) for i, t in enumerate(texts)}
+    first = {x: min(i for i in grams if grams[i] == x) for x in grams.values()}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(dedup, "BLOCK_LETTERS", 2000)
+    for metric in ("overlap", "jaccard"):
+        wanted = {(a, b, len(x & y), len(x)) for x, a in first.items() for y, b in first.items() if (len(x), a) < (len(y), b) and len(x & y) * 100 >= 82 * (len(x) if metric == "overlap" else len(x | y))}
+        assert {tuple(p) for p in dedup.near_pairs(df, "doc_id", F.col("text"), metric=metric).collect()} == wanted
+
+
+@pytest.mark.parametrize("found", ["classes", "overlap", "jaccard", "kept", "minhash"])
+def test_near_duplicates_write_no_shingles(spark, tmp_path, monkeypatch, found):
+    """What is written on the way is no more than the texts; for the classes it is two keys of each."""
+    import random
+    import uuid
+
+    from gleanings import session
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(session, "scratch", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    if found == "classes":
+        dedup.shingle_classes(df, "doc_id", F.col("text"))[0].collect()
+    elif found in ("kept", "minhash"):
+        assert dedup.near_duplicates(df, "doc_id", "text", approximate=found == "minhash").count() == 200
+    else:
+        assert dedup.near_pairs(df, "doc_id", F.col("text"), metric=found).count() == 0
+    size = sum(p.stat().st_size for p in tmp_path.rglob("*.parquet"))
+    assert size < sum(map(len, texts)) * (0.1 if found == "classes" else 1.5)
+
+
+def test_shingles_of_a_pair_stay_in_its_row(spark):
+    """The texts are joined, and their sets made behind the join: no plan node has an array of shingles."""
+    from gleanings.plans import record_queries
+
+    plan = record_queries.shingle_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "xxhash64" not in plan and "array_join" not in plan
+
+
 def test_many_copies_are_one_class(spark):
     """Copies meet nobody: the rows stay as many as the documents, and no group is handed to one task."""
     body = "the same page " * 30
