@@ -81,6 +81,10 @@ class KeyedTable:
         overwrite_parts(staged.repartition("_bucket").sortWithinPartitions("_bucket", *self.keys), self.path, "_bucket")
 
 
+#: Rows that a task orders when an OrderedTable is made, where its ranges have fewer: tasks report to the driver, ranges do not.
+ROWS_A_TASK = 100_000
+
+
 @dataclass(frozen=True)
 class OrderedTable:
     """A table at ``path`` in ranges of its order, newest first: by ``at`` descending (null last), then ``tie`` descending; ``tie`` has no repeated values.
@@ -96,11 +100,14 @@ class OrderedTable:
         """Write the table, some ``each`` rows a range."""
         total = rows.count()
         order = self._order()
-        ranged = rows.repartitionByRange(max(1, -(-total // each)), *order).withColumn("_range", F.spark_partition_id()).sortWithinPartitions("_range", *order)
+        cut = rows.repartitionByRange(max(1, -(-total // max(each, ROWS_A_TASK))), *order).sortWithinPartitions(*order)
+        placed = cut.withColumn("_at", F.monotonically_increasing_id())  # the partition, and in the lower 33 bits the place in it
+        at = F.col("_at").bitwiseAND((1 << 33) - 1)
+        ranged = written(placed.withColumn("_range", F.col("_at") - at + F.floor(at / each)).drop("_at"))
         by = ["_range"] if total else []  # without rows there are no folders, and a file keeps the columns
         ranged.write.partitionBy(*by).parquet(f"{self.path}/rows")
         last = F.min(F.struct(self.at, self.tie)).alias("last")
-        ends = self._rows(rows.sparkSession).groupBy("_range").agg(F.count("*").alias("n"), last)
+        ends = ranged.groupBy("_range").agg(F.count("*").alias("n"), last)
         before = F.coalesce(F.sum("n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a range
         ends.withColumn("before", before).coalesce(1).write.parquet(f"{self.path}/ranges")
 
@@ -126,7 +133,10 @@ class OrderedTable:
             held += n if taken[1:] else 1
             if held >= most:
                 break
-        return self._rows(spark).filter(F.col("_range").isin(taken) if taken else F.lit(False)).drop("_range")
+        if not taken:
+            return self._rows(spark).filter(F.lit(False)).drop("_range")
+        # only these folders are listed, however many there are
+        return self._rows(spark, [f"/_range={number}" for number in taken]).filter(F.col("_range").isin(taken)).drop("_range")
 
     def _order(self) -> list[Column]:
         return [F.col(self.at).desc_nulls_last(), F.col(self.tie).desc()]
@@ -139,8 +149,8 @@ class OrderedTable:
             return F.col(self.at).isNull() & (F.col(self.tie) < F.lit(tie))
         return F.col(self.at).isNull() | (F.col(self.at) < F.lit(at)) | ((F.col(self.at) == F.lit(at)) & (F.col(self.tie) < F.lit(tie)))
 
-    def _rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/rows")
+    def _rows(self, spark: SparkSession, folders: list[str] | None = None) -> DataFrame:
+        return spark.read.option("basePath", f"{self.path}/rows").parquet(*[f"{self.path}/rows{f}" for f in folders or [""]])
 
     def _ranges(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/ranges")

@@ -86,6 +86,24 @@ def test_pages_by_cursor_are_pages_by_offset(spark, tmp_path):
     assert [tuple(r) for r in same] == want[20:29]
 
 
+def test_small_ranges_make_no_tasks(spark, tmp_path):
+    """Tasks report to the driver; a table of many small ranges has few of them, and a page lists the folders it reads only."""
+    stored = OrderedTable(str(tmp_path / "t"), "at", "id")
+    table = spark.range(200).select((F.col("id") % 7).alias("at"), "id")
+    spark.sparkContext.setJobGroup("small ranges", "")
+    try:
+        stored.create(table, 2)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("small ranges") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(list((tmp_path / "t" / "rows").glob("_range=*"))) == 100
+    assert max(s.numTasks for s in stages if s) < 20
+    page = stored.page_at(spark, 101, 5)
+    assert [r.id for r in page.collect()] == [r.id for r in table.orderBy(F.desc("at"), F.desc("id")).collect()][101:106]
+    assert len(page.inputFiles()) <= 4
+
+
 def test_pages_of_an_empty_table(spark, tmp_path):
     stored = OrderedTable(str(tmp_path / "t"), "at", "id")
     stored.create(spark.createDataFrame([], "at int, id int"))
