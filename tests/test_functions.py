@@ -276,6 +276,45 @@ def test_near_duplicates_write_no_shingles(spark, tmp_path, monkeypatch, found):
     assert size < sum(map(len, texts)) * (0.1 if found == "classes" else 1.5)
 
 
+def test_minhash_writes_keys_and_no_texts(spark, tmp_path, monkeypatch):
+    """Texts that meet no other one are read once, and neither they nor their sets are written."""
+    import random
+    import uuid
+
+    from gleanings import session
+
+    r = random.Random(7)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:3] + ["", "!!"])), "doc_id long, text string")
+    monkeypatch.setattr(session, "scratch", lambda _: f"file://{tmp_path}/{uuid.uuid4().hex}")
+    assert {tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text", approximate=True).collect()} == {(i, i) for i in [*range(100), 103, 104]}
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.6 * sum(map(len, texts))
+
+
+def test_minhash_pairs_in_many_tiles(spark, monkeypatch):
+    """Families larger than a block: tiles lose no pair, and the chosen documents are those of one tile."""
+    import random
+
+    r = random.Random(9)
+    texts = []
+    for _ in range(4):
+        base = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500)]
+        texts += ["".join(c if r.random() > 0.004 else r.choice("0123456789") for c in base) + r.choice(["", "!", "?!"]) for _ in range(25)]
+    df = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string").repartition(3)
+    _, sets = dedup.shingle_classes(df, "doc_id", F.col("text"))
+    whole = {tuple(x) for x in dedup.minhash_pairs(sets).collect()}
+    kept = {tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text", approximate=True).collect()}
+    exact = {tuple(x) for x in dedup.near_pairs(df, "doc_id", F.col("text"), metric="jaccard").collect()}
+    assert whole <= exact and len(whole) >= 0.9 * len(exact) > 500
+    monkeypatch.setattr(dedup, "TILE_SHINGLES", 3000)
+    assert {tuple(x) for x in dedup.minhash_pairs(sets).collect()} == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a component's rows come in several batches
+    try:
+        assert {tuple(x) for x in dedup.near_duplicates(df, "doc_id", "text", approximate=True).collect()} == kept
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_shingles_of_a_pair_stay_in_its_row(spark):
     """The texts are joined, and their sets made behind the join: no plan node has an array of shingles."""
     from gleanings.plans import record_queries
