@@ -212,6 +212,26 @@ def test_rounds_decide_as_the_order_does(spark):
     assert {tuple(x) for x in got.collect()} == wanted
 
 
+def test_rounds_are_few_in_one_family(spark, monkeypatch):
+    """Near copies that all meet and a chain behind them: rounds go by the number of links, not by how many decisions follow each other."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(3)
+    n = 60
+    links = {(a, b) for a in range(n) for b in range(n) if a != b} | {x for i in range(n - 1, 2 * n) for x in ((i, i + 1), (i + 1, i))}
+    rows = [(i, i, r.randint(1, 9)) for i in range(2 * n + 1)] + [(7, 7, 9), (2**60 + 1, 90, 8)]  # an id twice, and one that a double does not hold
+    both = {c: [b for a, b in links if a == c] for c in range(2 * n + 1)}
+    wanted = {tuple(x) for x in dedup._follow(pd.DataFrame([(i, c, m, both[c]) for i, c, m in rows], columns=["id", "class_id", "chars", "near"])).itertuples(index=False)}
+    frame, linked = spark.createDataFrame(rows, "id long, class_id long, chars int"), spark.createDataFrame(sorted(links), "a long, b long")
+    writes = []
+    monkeypatch.setattr(dedup, "written", lambda df, *a, f=dedup.written, **b: writes.append(1) or f(df, *a, **b))
+    assert {tuple(x) for x in dedup.follow_in_rounds(frame, linked).collect()} == wanted and len(writes) < 20
+    monkeypatch.setattr(dedup, "ROUND", 2500)
+    assert {tuple(x) for x in dedup.follow_in_rounds(frame, linked).collect()} == wanted
+
+
 def test_minhash_finds_nine_of_ten_pairs(spark, monkeypatch):
     import random
 
