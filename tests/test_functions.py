@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,26 @@ def test_minhash_finds_nine_of_ten_pairs(spark, monkeypatch):
     assert {(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()} <= exact
 
 
+@pytest.mark.parametrize("most", [7, 512])
+def test_large_buckets_keep_all_their_pairs(spark, monkeypatch, most):
+    """A family of which most members meet in the same bands: each pair of a bucket is found, once, as from all shared keys."""
+    import random
+
+    r = random.Random(10)
+    base = [r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900)]
+    texts = ["".join(base[:k] + [r.choice("0123456789")] + base[k + 1 :]) for k in r.sample(range(900), 110)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, sets = dedup.shingle_classes(df, "doc_id", F.col("text"))
+    shingles = [dedup.shingle_set(t) for t in texts]
+    keys = dedup._band_keys([dedup._minima()(s) for s in shingles])
+    size = [len(s) for s in shingles]
+    meeting = {(a, b) for a in range(110) for b in range(110) if (size[a], a) < (size[b], b) and (keys[a] == keys[b]).any()}
+    near = {(a, b) for a, b in meeting if 100 * (k := len(np.intersect1d(shingles[a], shingles[b]))) >= 82 * (size[a] + size[b] - k)}
+    monkeypatch.setattr(dedup, "MOST_IN_BUCKET", most)
+    found = [(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()]
+    assert len(found) == len(set(found)) and set(found) == near and len(near) > 5000
+
+
 def test_near_pairs_across_blocks(spark, monkeypatch):
     """Sets of very different sizes in many small blocks: no pair is lost, none is wrong, by either metric."""
     import random
