@@ -258,6 +258,21 @@ def test_minhash_finds_nine_of_ten_pairs(spark, monkeypatch):
     assert {(x.a, x.b) for x in dedup.minhash_pairs(sets).collect()} <= exact
 
 
+@pytest.mark.parametrize("size", [1, 9, 40, 300, 5000])
+def test_minima_agree_by_similarity(size):
+    """Minima are hashes of the set itself, one for a range, and two sets have as many in common as their similarity says, whatever their size."""
+    r = np.random.default_rng(size)
+    agreed, wanted = [], []
+    for _ in range(60):
+        union = r.integers(0, 2**64, size + size // 10, np.uint64)
+        a, b = np.sort(union[:size]), np.sort(union[len(union) - size :])
+        x, y = dedup._minima(a), dedup._minima(b)
+        assert len(x) == 128 and np.isin(x, a).all() and (size < 5000 or (x >> np.uint64(57)).tolist() == list(range(128)))
+        agreed.append((x == y).mean())
+        wanted.append(len(np.intersect1d(a, b)) / len(union))
+    assert abs(np.mean(agreed) - np.mean(wanted)) < 0.03
+
+
 @pytest.mark.parametrize("most", [7, 512])
 def test_large_buckets_keep_all_their_pairs(spark, monkeypatch, most):
     """A family of which most members meet in the same bands: each pair of a bucket is found, once, as from all shared keys."""
@@ -269,7 +284,7 @@ def test_large_buckets_keep_all_their_pairs(spark, monkeypatch, most):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     _, sets = dedup.shingle_classes(df, "doc_id", F.col("text"))
     shingles = [dedup.shingle_set(t) for t in texts]
-    keys = dedup._band_keys([dedup._minima()(s) for s in shingles])
+    keys = dedup._band_keys([dedup._minima(s) for s in shingles])
     size = [len(s) for s in shingles]
     meeting = {(a, b) for a in range(110) for b in range(110) if (size[a], a) < (size[b], b) and (keys[a] == keys[b]).any()}
     near = {(a, b) for a, b in meeting if 100 * (k := len(np.intersect1d(shingles[a], shingles[b]))) >= 82 * (size[a] + size[b] - k)}
