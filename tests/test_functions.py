@@ -310,6 +310,24 @@ def test_near_pairs_across_blocks(spark, monkeypatch):
         assert {tuple(p) for p in dedup.near_pairs(df, "doc_id", F.col("text"), metric=metric).collect()} == wanted
 
 
+@pytest.mark.parametrize("metric", ["overlap", "jaccard"])
+def test_blocks_compare_by_exact_marks(monkeypatch, metric):
+    """Pairs of two blocks without a sort a pair, few rows and hashes at a time; hashes that differ in their last bits only are told apart."""
+    r = np.random.default_rng(4)
+    pool = np.concatenate((r.integers(0, 2**63, 300), (1 << 40) + np.arange(60)))
+    sets = sorted((np.unique(np.concatenate((r.choice(pool[k : k + 90], r.integers(5, 85), replace=False), pool[300:][: r.integers(0, 60)]))) for k in r.integers(0, 200, 90)), key=len)
+    monkeypatch.setattr(dedup, "_shared", None)
+    monkeypatch.setattr(dedup, "PLACES", 500)
+    x, y = (dedup._Block.of([i for i, _ in part], [s.tolist() for _, s in part], 5) for part in (list(enumerate(sets))[:50], list(enumerate(sets))[50:]))
+    assert (x.hashes[np.argsort(x.code_of)][x.code] == np.concatenate(sets[:50]).view(np.uint64)).all()
+    for one, two in ((x, x), (x, y), (y, y)):
+        found = [p for v in dedup._met(one, two, 82, metric) for p in zip(*(c.tolist() for c in v), strict=True)]
+        both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in one.ids.tolist() for b in two.ids.tolist() if a < b}
+        near = {(a, b, k, len(sets[a])) for (a, b), k in both.items() if k * 100 >= 82 * (len(sets[a]) if metric == "overlap" else len(sets[a]) + len(sets[b]) - k)}
+        assert len(found) == len(set(found)) and set(found) == near
+    assert near
+
+
 @pytest.mark.parametrize("found", ["classes", "overlap", "jaccard", "kept", "minhash"])
 def test_near_duplicates_write_no_shingles(spark, tmp_path, monkeypatch, found):
     """What is written on the way is no more than the texts; for the classes it is two keys of each."""
